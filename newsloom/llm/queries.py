@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, sharding
+from . import chat_format, line_dedup, quality_rules, sharding, simhash
 from .common import read_table
 
 
@@ -16,6 +16,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.quality_ledger(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return ledger.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.verdict(quality_rules.BASE)).alias("base_failed"), quality_rules.verdict(quality_rules.POLICIES["v1"]).alias("kept"), "failures",
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_records(read_table(spark, sf_dir, "documents"), shards=16, seed=42)
     text = F.coalesce("text", F.lit(""))
@@ -38,6 +46,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, seed=42, bits=4)
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
