@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -39,7 +39,7 @@ def reduce_by_dominance(left: _Lengths, capacity: int) -> list[tuple[int, list[t
 
     From the largest length down: alone if nothing fits with it; with the largest that fits if only
     one more can, or if they fill the bin; with that one too if no two that fit are longer together;
-    with two if only two more can and these are both longest and each at least as long as the one.
+    with two if only two more can, the longer is that one and the shorter the longest that can be second.
     """
     fixed: list[tuple[int, list[tuple[int, int]]]] = []
     size = left.largest(capacity)
@@ -59,7 +59,7 @@ def reduce_by_dominance(left: _Lengths, capacity: int) -> list[tuple[int, list[t
                 a, b = _best_pair(left, room)
                 if one >= a + b:
                     best = [one]
-                elif a == one and (b - small[0] == 0 or b >= one):
+                elif a == one and b >= _longest_second(left, room):
                     best = [a, b]
             left.n[size] += 1
             if best is None:
@@ -68,8 +68,8 @@ def reduce_by_dominance(left: _Lengths, capacity: int) -> list[tuple[int, list[t
             for s in [size, *best]:
                 need[s] = need.get(s, 0) + 1
             times = min(int(left.n[s]) // k for s, k in need.items())
-            if len(best) == 2:
-                times = min(times, 1)  # the smallest pieces may change
+            if len(best) == 2:  # the same set again while two pieces of each of its lengths are left
+                times = max(1, min((int(left.n[s]) - 2) // k for s, k in need.items()))
             for s, k in need.items():
                 left.n[s] -= times * k
             fixed.append((times, sorted(need.items(), reverse=True)))
@@ -91,6 +91,15 @@ def _best_pair(left: _Lengths, room: int) -> tuple[int, int]:
     return best
 
 
+def _longest_second(left: _Lengths, room: int) -> int:
+    """The longest length that can be the shorter of two pieces that fit together."""
+    for b in np.flatnonzero(left.n[: room // 2 + 1])[::-1]:
+        longer = np.flatnonzero(left.n[int(b) + 1 : room - int(b) + 1])
+        if left.n[b] > 1 or len(longer):
+            return int(b)
+    return 0
+
+
 def best_fit(left: _Lengths, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Best fit decreasing, for all pieces of a length at a time: groups of like bins (bins, [(length, in each)])."""
     open_bins: dict[int, list[tuple[int, tuple]]] = {}
@@ -175,8 +184,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
     table = {size: np.array(x, np.int64).T for size, x in slots.items()}
     shared = docs.sparkSession.sparkContext.broadcast(table)  # at most a row for each length in each group of bins
 
-    from pyspark.sql import Window
-
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")) - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_files
+from . import chat_format, graph_ann, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_files
 from .common import read_table
 
 
@@ -63,6 +63,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1).withColumnRenamed("id", "doc_id")
 
