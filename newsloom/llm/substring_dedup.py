@@ -253,7 +253,7 @@ def _keep(text: bytes, spans: list[dict], window: int, layout: str) -> tuple[str
         kept = text
     else:
         ends = [0, *(m.end() for m in _WORD.finditer(text))]
-        kept = b"".join([text[a:b] for a, b, g in zip(ends, ends[1:], gone.tolist(), strict=True) if not g])
+        kept = b"".join([text[a:b] for a, b, g in zip(ends[:-1], ends[1:], gone.tolist(), strict=True) if not g])
     return kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
 
 
