@@ -59,12 +59,17 @@ def format_trees(messages: DataFrame, *, best: int = 1) -> DataFrame:
     links = rows.join(there, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps"))
     levels = [materialise(links, "chat-links")]
     while len(levels) <= deepest and levels[-1].filter("up is not null").limit(1).count():
-        lo = levels[-1]
-        hi = lo.select("c", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"), F.col("steps").alias("on"))
-        step = lo.join(hi, ["c", "up"], "left").select("c", "node", F.col("far").alias("up"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("on", F.lit(0))).alias("steps"))
-        levels.append(materialise(step, "chat-links"))
-
-    totals = levels[-1].filter("up is null")
+        # only rows whose link has not come to a root yet are joined again
+        ahead = levels[-1]
+        for done in levels[:-1]:
+            ahead = ahead.unionByName(done.filter("up is null"))
+        ahead = ahead.select("c", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"), F.col("steps").alias("on"))
+        step = levels[-1].filter("up is not null").join(ahead, ["c", "up"])
+        levels.append(materialise(step.select("c", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("steps") + F.col("on")).alias("steps")), "chat-links"))
+
+    totals = levels[0].filter("up is null")
+    for links in levels[1:]:
+        totals = totals.unionByName(links.filter("up is null"))
     inner = rows.select("c", F.col("parent").alias("node")).filter("node is not null").distinct()
     rank = Window.partitionBy("c").orderBy(F.desc("gain"), F.desc("steps"), "node")
     leaves = totals.join(inner, ["c", "node"], "left_anti").withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= best)
