@@ -146,7 +146,7 @@ def first_object(x: Column | str) -> Column:
 def sentences(x: Column | str) -> Column:
     """Cut after ". ", "! " and "? "; only sentences of over 30 characters."""
     parts = F.split(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"([.!?]) ", "$1\u0001"), "\u0001", -1)
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 30)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 30)
 
 
 def word_count(x: Column | str) -> Column:

@@ -26,7 +26,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def clamp01(x: Column, default: Column | None = None) -> Column:
     """A number within 0 and 1; the default (0.0) for what is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.try_cast("double"))), F.lit(0.0) if default is None else default)
+    number = x.try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(F.lit(0.0) if default is None else default)
 
 
 def recency(days: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 
     def step(row: Column, x: Column) -> Column:
         diagonal = F.concat(F.array(F.lit(0)), F.slice(row, 1, F.greatest(F.size(row) - 1, F.lit(0))))
-        options = F.zip_with(F.zip_with(b, diagonal, lambda y, d: F.when(x == y, d + 1).otherwise(0)), row, F.greatest)
+        options = F.zip_with(F.zip_with(b, diagonal, lambda y, d: F.when(x == y, d + 1).otherwise(0)), row, lambda p, q: F.greatest(p, q))
         start = F.expr("cast(array() as array<int>)")
         return F.aggregate(options, start, lambda acc, o: F.concat(acc, F.array(F.greatest(o, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
 
@@ -98,6 +99,26 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(0))
 
 
+def _lcs(a: list[str], b: list[str]) -> int:
+    """Bit-parallel over the shorter side: one pass over the longer."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for w in b:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf("double")
+def rouge_l_long(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    """rouge_l() for texts of any length, in Arrow batches."""
+    return pd.Series([2.0 * _lcs(list(a), list(b)) / (len(a) + len(b)) if len(a) + len(b) else 0.0 for a, b in zip(candidate, reference, strict=True)])
+
+
 def rouge_l(candidate: Column, reference: Column) -> Column:
     """ROUGE-L F1 of two token arrays."""
     return F.coalesce(F.try_divide(F.lit(2.0) * lcs_length(candidate, reference), (F.size(candidate) + F.size(reference)).cast("double")), F.lit(0.0))

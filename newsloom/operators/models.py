@@ -44,7 +44,7 @@ def parse_canon(raw: Column, form: Column) -> Column:
     """A canonicalisation reply with safe defaults: the form as its name and among its aliases, confidence within 0..1."""
     schema = "canonical_name string, type string, aliases array<string>, wikidata_query string, is_br_gov_org boolean, confidence string, not_an_entity boolean"
     r = F.from_json(F.nullif(t.first_object(raw), F.lit("")), schema)
-    aliases = F.filter(F.transform(F.coalesce(r["aliases"], F.array().cast("array<string>")), F.trim), lambda a: a != "")
+    aliases = F.filter(F.transform(F.coalesce(r["aliases"], F.array().cast("array<string>")), lambda s: F.trim(s)), lambda a: a != "")
     return F.struct(
         F.coalesce(F.nullif(F.trim(r["canonical_name"]), F.lit("")), form).alias("canonical_name"),
         t.sanctioned_type(r["type"]).alias("type"),

@@ -39,7 +39,7 @@ def chunk_fixed(docs: DataFrame, *, size: int = 1000, overlap: int = 200) -> Dat
 
 def chunk_paragraph(docs: DataFrame, *, separator: str = "\n") -> DataFrame:
     """Non-empty paragraphs in order."""
-    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator, -1), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator, -1), lambda s: F.trim(s)), lambda p: p != "")
     return docs.select("id", F.posexplode(parts).alias("chunk_index", "content"), F.lit("paragraph").alias("chunk_type"))
 
 
@@ -128,12 +128,16 @@ def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, score=v.co
     return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def _is(term: str):
+    return lambda w: w == F.lit(term)
+
+
 def fulltext_match(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents (id, text) that hold all terms, ranked by how often: id, hits, rank_score (hits over 1 + ln of words)."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
     rows = docs.select("id", words.alias("words"))
     for k, term in enumerate(terms):
-        rows = rows.withColumn(f"_{k}", F.size(F.filter("words", lambda w, term=term: w == term)))
+        rows = rows.withColumn(f"_{k}", F.size(F.filter("words", _is(term))))
     present = [F.col(f"_{k}") for k in range(len(terms))]
     found = rows
     for p in present:
@@ -174,8 +178,8 @@ def context_block(rank: Column, title: Column, published: Column, content: Colum
 
 
 def with_recency(rows: DataFrame, *, now: str, weight: float | None = None, query: Column | None = None) -> DataFrame:
-    """final = (1 - w) * similarity + w * 1 / (1 + days / 30); w is 0.3, or .5 / .1 as the query asks for what is recent."""
-    days = F.date_diff(F.to_date(F.lit(now)), F.to_date("published_at"))
+    """final = (1 - w) * similarity + w * 1 / (1 + days / 30); w is 0.3, or .5 / .1 as the query asks for what is recent. Later days count as today."""
+    days = F.greatest(F.lit(0), F.date_diff(F.to_date(F.lit(now)), F.to_date("published_at")))
     w = F.lit(0.3 if weight is None else weight) if query is None else F.when(t.has_temporal_term(query), 0.5).otherwise(0.1)
     return rows.withColumn("recency", v.recency(days)).withColumn("final_score", (F.lit(1.0) - w) * F.col("similarity") + w * F.col("recency"))
 

@@ -42,9 +42,15 @@ def corpus_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("source", "n_docs", F.round(F.lit(100.0) * F.col("n_docs") / F.col("total"), 6).alias("share_pct"), "mean_chars", "min_chars", "max_chars", "median_chars", "p95_chars")
 
 
+def _load() -> None:
+    from . import corpus_queries, entity_queries, retrieval_queries, stream_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
