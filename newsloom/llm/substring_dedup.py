@@ -29,25 +29,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """128 hash bits of each word seen, as a place in two arrays."""
+    """128 hash bits of each word seen, as a place in an array that doubles as it fills."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
-        self.most, self.codes = most, [[], []]
+        self.most, self.codes, self.fresh = most, np.empty((1 << 16, 2), np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_128_intdigest(word)
-        self.codes[0].append(code & 0xFFFFFFFFFFFFFFFF)
-        self.codes[1].append(code >> 64)
+        self.fresh.append(xxhash.xxh3_128_digest(word))
         self[word] = at = len(self)
         return at
 
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.most:
             self.clear()
-            self.codes = [[], []]
+        old = len(self)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return tuple(np.array(c, np.uint64)[at] for c in self.codes)
+        if self.fresh:
+            while len(self) > len(self.codes):
+                self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
+            self.codes[old : len(self)] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
+            self.fresh = []
+        return self.codes[at, 0], self.codes[at, 1]
 
 
 class Spans:
@@ -229,12 +232,17 @@ def _edges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for chunk in _chunks(batches, 1 << 22):
+            words, starts, keys, marks, places = [], [], [], [], []
             for key, mark, text, spans in chunk:
-                words = text.split()
                 at = np.unique(np.concatenate([np.arange(s["pos"], s["pos"] + s["n"]) for s in spans.as_py()]))
-                sums = Spans(known.hashes(words))
-                h1, h2 = (sums.hash(k, at, at + window).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), mark, np.int32)), pa.array(at.astype(np.int32))], names=["h1", "h2", "key", "mark", "pos"])
+                starts.append(at + len(words))
+                keys.append(np.full(len(at), key, np.int64))
+                marks.append(np.full(len(at), mark, np.int32))
+                places.append(at.astype(np.int32))
+                words += text.split()
+            sums, at = Spans(known.hashes(words)), np.concatenate(starts)
+            h1, h2 = (sums.hash(k, at, at + window).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *(pa.array(np.concatenate(x)) for x in (keys, marks, places))], names=["h1", "h2", "key", "mark", "pos"])
 
     return run
 
