@@ -8,6 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: Column | str) -> Column:
@@ -42,7 +43,7 @@ def normalize(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r"[\s\x1c-\x1f]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_exact(x: pd.Series) -> pd.Series:
     """normalize() for any script, in Arrow batches."""
     return x.map(lambda s: " ".join(unicodedata.normalize("NFKD", s or "").encode("ascii", "ignore").decode().lower().split()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import vectors as v
 
@@ -113,7 +114,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_long(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     """rouge_l() for texts of any length, in Arrow batches."""
     return pd.Series([2.0 * _lcs(list(a), list(b)) / (len(a) + len(b)) if len(a) + len(b) else 0.0 for a, b in zip(candidate, reference, strict=True)])

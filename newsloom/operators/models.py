@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import text as t
 from newsloom.functions.vectors import clamp01
@@ -107,7 +108,7 @@ def provided(rows: DataFrame, make: Callable[[], Callable[[str], str]], *, attem
                 errors.append(error)
             yield b.assign(response=said, error=errors)[names]
 
-    schema = rows.schema.add("response", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
     return rows.mapInPandas(run, schema)
 
 
