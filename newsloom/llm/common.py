@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ASCII_SPACE = " \t\n\u000b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the cluster named none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+from newsloom.sources.scratch import materialise, scratch_path
 
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "map_arrow", "materialise", "read_table", "scratch_path", "without"]
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write once and read back: cuts lineage in storage that outlives any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+ASCII_SPACE = " \t\n\u000b\f\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def without(df: DataFrame, names) -> list[Column]:
@@ -54,3 +22,9 @@ def without(df: DataFrame, names) -> list[Column]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: run sees and yields columns called c0, c1, ..."""
+    numbered = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, numbered).toDF(*schema.names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, without
+from .common import map_arrow, materialise, without
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -304,10 +304,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first")).select("key", "mark", "pos", F.lit(1).alias("n"))
 
     gone = spans.filter(F.col("kind") == GONE).select("key", "mark", "pos", "n").unionByName(again)
-    gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("\u0001spans"))
+    gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("\u0001spans")).withColumnsRenamed({"key": "key\u0002", "mark": "mark\u0002"})
     rows = docs.select(*without(docs, ["n_words", "n_removed"]), key.alias("key\u0001"), mark.alias("mark\u0001"))
     names = rows.columns[:-2]
-    rows = rows.join(gone, (rows["key\u0001"] == gone["key"]) & (rows["mark\u0001"] == gone["mark"]), "left").select(*[F.col(f"`{c}`") for c in names], "\u0001spans")
+    rows = rows.join(gone, (rows["key\u0001"] == gone["key\u0002"]) & (rows["mark\u0001"] == gone["mark\u0002"]), "left").select(*[F.col(f"`{c}`") for c in names], "\u0001spans")
     place = names.index(text_col)
     schema = T.StructType([*[T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in rows.schema.fields[:-1]], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -316,6 +316,6 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out = [_keep((t.as_py() or "").encode("utf-8", "surrogatepass"), s.as_py() or [], window, layout) for t, s in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True)]
             columns = list(batch.columns[:-1])
             columns[place] = pa.array([x[0] for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[f"c{k}" for k in range(len(schema))])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
