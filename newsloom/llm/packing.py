@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import Encoder, crc32, shared_definition
+from .tokens import crc32, parts_of, shared_definition, worker_encoder
 
 
 class _Lengths:
@@ -137,12 +137,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts_of(batch, 1):
                 rows = []
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids = np.r_[ids, np.uint32(end_id)]
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]

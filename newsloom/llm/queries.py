@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, graph_ann, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_files
+from . import chat_format, graph_ann, line_dedup, packing, quality_rules, sentence_pieces, sharding, simhash, substring_dedup, token_files
 from .common import read_table
 
 
@@ -41,6 +41,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.substring_dedup(docs, window=20)

@@ -111,8 +111,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     offsets. path/code holds the code lengths, path/shards each shard's number of ids. The code is
     built from the counts of all ids, at most one count for each entry of the vocabulary.
 
-    Null texts are empty; a null id comes first; rows of equal ids are in the order of their ids'
-    bytes. No rows in: files without blocks.
+    Null texts are empty; a null id comes first; rows of equal ids are in the order of a hash of
+    their ids. No rows in: files without blocks.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_json(tokenizer_path))
@@ -164,7 +164,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
         if parts:
             yield flush()
 
-    ordered = plain.select("id", "ids").repartitionByRange(F.col("id").asc_nulls_first(), F.col("ids")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    # ranges are found from samples of the keys: a hash stands for the ids there
+    keyed = plain.select("id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(F.col("id").asc_nulls_first(), "h")
+    ordered = keyed.sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "ids").select("id", "ids")
     ordered.mapInArrow(write, _FILE).write.parquet(f"{path}/blocks")
     spark.read.schema(_FILE).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def tokenizer_json(path: str) -> str:
     """The tokenizer file's contents: read once on the driver, then sent to the executors."""
     with open(path, encoding="utf-8") as f:
@@ -39,55 +45,124 @@ def _splits_at_space(definition: str) -> bool:
     )
 
 
-class Encoder:
-    """Encodes texts; words met before come from a table of bounded size."""
+#: A word of Latin letters, each of them one code point in any normal form, and marks that end no special token.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-!-&(-,./:;=?@\\[-`{}~|]*)")
 
-    def __init__(self, definition: str, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.by_word = _splits_at_space(definition)
-        self.most = most
-        self.clear()
+class _Table:
+    """Ids by key, as places in shared arrays."""
 
-    def clear(self) -> None:
-        self.places: dict[bytes, int] = {}
+    def __init__(self):
+        self.places: dict = {}
         self.ids = np.empty(0, np.uint32)
-        self.sizes = np.empty(0, np.int64)
-        self.starts = np.empty(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.sizes = self.starts = np.empty(0, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
-        self.sizes = np.r_[self.sizes, sizes]
-        self.ids = np.r_[self.ids, np.array([i for x in found for i in x], np.uint32)]
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+        self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+        self.places.update(zip(keys, range(len(self.places), len(self.places) + len(keys)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens added."""
-        if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for at in range(0, len(texts), 256):
-            cut = [(t or "").encode("utf-8").split() for t in texts[at : at + 256]]
-            if len(self.places) > self.most:
-                self.clear()
-            self.learn(list({w for words in cut for w in words}.difference(self.places)))
-            out += map(self._gather, cut)
-        return out
-
-    def _gather(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+    def at(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids at all these places, one after another."""
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
 
 
+class Encoder:
+    """Encodes texts; letter words and runs of marks met before come from a table of bounded size.
+
+    The distinct words between white space of a batch are encoded once. One of plain letters and
+    closing marks is the ids of its letters in lower case, which many words share, and those of its
+    marks; new letter words are encoded as one text and told apart by the model's end-of-word tokens.
+    """
+
+    def __init__(self, definition: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.by_word = _splits_at_space(definition)
+        self.most = most
+        model = json.loads(definition)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool) if suffix and not model.get("unk_token") else None
+        if self.ends is not None:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.parts = _Table()
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        if ids.max(initial=0) < len(self.ends):
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words) and last[-1] == len(ids) - 1:
+                return ids, np.diff(np.r_[-1, last])
+        return self._whole(words)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Two places in the table for each word: its letters (or all of it) and its closing marks."""
+        cuts = [_PLAIN.fullmatch(w) for w in words] if self.ends is not None else [None] * len(words)
+        heads = [m[1].lower() if m else w for m, w in zip(cuts, words, strict=True)]
+        tails = [m[2] if m else "" for m in cuts]
+        if len(self.parts.places) > self.most:
+            self.parts = _Table()
+        known = self.parts.places
+        letters = list({h for h, m in zip(heads, cuts, strict=True) if m and h not in known})
+        if letters:
+            self.parts.add(letters, *self._letters(letters))
+        others = list({*(h for h, m in zip(heads, cuts, strict=True) if not m), *tails}.difference(known))
+        if others:
+            self.parts.add(others, *self._whole(others))
+        at = np.empty(2 * len(words), np.int64)
+        at[::2], at[1::2] = self.parts.at(heads), self.parts.at(tails)
+        return at
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without special tokens added."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        at = self._places(words.dictionary.to_pylist())
+        own = self.parts.sizes[at]
+        table = _Table()
+        table.ids, table.sizes = self.parts.gather(at), own[::2] + own[1::2]
+        table.starts = np.cumsum(table.sizes) - table.sizes
+        index = words.indices.to_numpy().astype(np.int64)
+        ids = table.gather(index)
+        ends = np.r_[0, np.cumsum(table.sizes[index])]
+        offsets = cut.offsets.to_numpy()
+        edges = ends[offsets - offsets[0]]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `most` bytes of text each, and a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(sizes) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def worker_encoder(definition: str) -> Encoder:
+    """One encoder for each worker process and tokenizer: its tables outlive tasks and only save time."""
+    held = sys.__dict__.setdefault("_newsloom_tokens", {})
+    name = hashlib.sha256(definition.encode()).hexdigest()
+    if name not in held:
+        held[name] = Encoder(definition)
+    return held[name]
+
+
 def crc32(ids: np.ndarray) -> int:
     """Of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -107,11 +182,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, i
     width = id_width(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [np.r_[x, np.uint32(end_id)].astype(width) for x in encoder.encode(part.column(1).to_pylist())]
+            for part in parts_of(batch, 1):
+                ids = [np.r_[x, np.uint32(end_id)].astype(width) for x in encoder.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")

@@ -277,7 +277,7 @@ ODD_TEXTS = ["<|endoftext|>", "a<|startoftext|> b", "x\u000by", "x\u001cy z\u008
 def test_words_encode_like_whole_texts(path):
     encoder = tokens.Encoder(tokens.tokenizer_json(path), most=3)
     assert encoder.by_word
-    texts = [*ODD_TEXTS, *(t for _, t in ROWS)]
+    texts = [*ODD_TEXTS, "(word) word's Straße! Öde... e\u0301= a=\u0338 <|x|> mix'd,", None, *(t for _, t in ROWS)]
     want = [i[:-1] for _, i in ids_by_hand(path, enumerate(texts))]
     assert [x.tolist() for x in encoder.encode(texts)] == want
 
@@ -473,3 +473,37 @@ def test_oracles_match(spark):
         assert order == sorted(want.columns)
         pairs = [json.dumps(f[order].sort_values(key).astype(str).values.tolist()) for f in (got, want)]
         assert hashlib.sha256(pairs[0].encode()).digest() == hashlib.sha256(pairs[1].encode()).digest(), name
+
+
+def test_sentence_pieces(spark, docs, none, twice):
+    public = pytest.importorskip("public_tokenizers")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from newsloom.llm import sentence_pieces
+
+    model = public.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    odd = [*ODD_TEXTS, " ", "  a  b ", "\n\n", "x▁y ▁▁z", "<s> <0x0A> <unk>", " " * 50 + "x", "a" * 99, "=" * 77, "😀é\u0301", "\x00"]
+    encoder = sentence_pieces.PieceEncoder(sentence_pieces.load_pieces(model), most=20)
+    for texts in (odd, odd[::-1]):
+        got = encoder.encode(texts)
+        assert [g.tolist() for g in got] == [library.encode(x) for x in texts]
+        assert [encoder.decode(g) for g in got] == [x.replace("▁", " ") for x in texts]
+    back = {r.id: r for r in sentence_pieces.decode(sentence_pieces.encode(docs, model), model).collect()}
+    for i, text in ROWS:
+        ids = library.encode(text or "")
+        assert (back[i].text, back[i].n_tokens, back[i].ids_crc32) == (text or "", len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sentence_pieces.encode(none, model).count() == 0 and sentence_pieces.encode(twice, model).count() == twice.count()
+
+
+def test_suffix_array_ranges():
+    from newsloom.llm import sentence_pieces
+
+    rng = np.random.default_rng(2)
+    text = "".join("abc"[k] for k in rng.integers(0, 3, 400))
+    codes = np.array([ord(c) for c in text], np.int64)
+    order = sentence_pieces.suffix_array(codes, 8)
+    words = ["a", "ab", "abc", "cba", "ccc", "bbbbbbbb", "z"]
+    patterns = np.array([[*map(ord, w), *[0] * (8 - len(w))] for w in words])
+    low, high = sentence_pieces.occurrence_ranges(codes, order, patterns, np.array(list(map(len, words))))
+    for w, a, b in zip(words, low, high, strict=True):
+        assert sorted(order[a:b].tolist()) == [k for k in range(len(text)) if text.startswith(w, k)]
