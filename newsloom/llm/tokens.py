@@ -100,7 +100,8 @@ class Encoder:
         return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        joined = [" ".join(words[k : k + 128]) for k in range(0, len(words), 128)]
+        ids, _ = self._whole(joined)
         if ids.max(initial=0) < len(self.ends):
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(words) and last[-1] == len(ids) - 1:
