@@ -301,6 +301,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fork = spans.filter(F.col("kind") == BRANCH).groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     edges = materialise(lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(_edges(window), _EDGES).distinct(), "branching-edges")
     first = edges.groupBy("h1", "h2").agg(F.min(F.struct("key", "mark", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = materialise(first, "first-edges")  # a join of two plain exchanges, which Spark can split where an edge is frequent
     again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first")).select("key", "mark", "pos", F.lit(1).alias("n"))
 
     gone = spans.filter(F.col("kind") == GONE).select("key", "mark", "pos", "n").unionByName(again)
