@@ -117,13 +117,15 @@ def enrich_chunk(content: Column, context: Column) -> Column:
     return F.concat(F.lit("Contexto: "), context, F.lit("\n\n"), content)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, score=v.cosine) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, score=v.cosine, blocks: int = 64) -> DataFrame:
     """Exact top k items for each of a stated set of queries (query_id, q); items: id, v.
 
-    The queries are the small, stated side; each partition of items keeps k rows a query
-    (a group limit below the exchange) before any row is shuffled.
+    Items are dealt into blocks by hash, the stated queries go to every block, and each task keeps
+    k rows a query (a group limit below the exchange) before scores are shuffled.
     """
-    pairs = items.join(queries, F.size("v") == F.size("q")).withColumn("score", score(F.col("v"), F.col("q")))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = dealt.join(asked, "block").filter(F.size("v") == F.size("q")).withColumn("score", score(F.col("v"), F.col("q")))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
