@@ -95,3 +95,42 @@ def textrank(docs: DataFrame, *, n: int = 3, longest: int = 300) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "summary": [" ".join(whole(s)) for s in b["text"].fillna("")]})
 
     return docs.select("id", "text").mapInPandas(run, "id long, summary string")
+
+
+def synthetic_corpus(spark, *, documents: int = 250, queries: int = 60, notes: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A generated corpus for trials: documents, queries, annotations; the same at each call."""
+    kinds = F.array(*[F.lit(c) for c in ("economia", "saude", "educacao", "cultura", "seguranca")])
+    kind = lambda k: F.get(kinds, (F.col("id") % 5).cast("int")).alias(k)
+    text = F.concat_ws(" ", F.lit("Documento"), F.col("id").cast("string"), F.get(kinds, (F.col("id") % 5).cast("int")), F.repeat(F.lit("texto "), (F.col("id") % 40 + 1).cast("int")))
+    docs = spark.range(documents).select(F.format_string("doc_%04d", "id").alias("id"), F.concat(F.lit("Título "), F.col("id").cast("string")).alias("title"), text.alias("content"), kind("category"), F.length(text).alias("length"))
+    asks = spark.range(queries).select(F.format_string("q_%03d", "id").alias("id"), F.concat_ws(" ", F.lit("sobre"), F.get(kinds, (F.col("id") % 5).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "jargon").otherwise("general").alias("query_type"), kind("expected_category"))
+    marks = spark.range(notes).select(F.format_string("q_%03d", F.col("id") % queries).alias("query_id"), F.format_string("doc_%04d", (F.col("id") * 7) % documents).alias("doc_id"), (F.col("id") % 4).cast("int").alias("relevance"), F.lit(None).cast("string").alias("notes"))
+    return docs, asks, marks
+
+
+def batch_outcome(ok: Column, n: Column) -> Column:
+    return F.when(ok == n, "success").when(ok == 0, "failed").otherwise("partial")
+
+
+def break_even(fixed_month: float, per_query: float) -> float:
+    """Queries an hour from which a fixed monthly price is the cheaper one."""
+    return fixed_month / per_query / (30 * 24)
+
+
+def triplet_loss(positive: Column, negative: Column, margin: float = 0.2) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(margin) + negative - positive)
+
+
+def aligned(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Exactly these fields (name: type), those that are missing as null."""
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in fields.items()])
+
+
+def required(df: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that have all required fields, and the others with the names of what they lack."""
+    missing = [c for c in fields if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    lack = F.filter(F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in fields]), lambda x: x.isNotNull())
+    rows = df.withColumn("lacks", lack)
+    return rows.filter(F.size("lacks") == 0).drop("lacks"), rows.filter(F.size("lacks") > 0)

@@ -189,3 +189,71 @@ def reuse_by_name(probes: DataFrame, registry: DataFrame) -> DataFrame:
     pairs = pairs.filter((F.col("score") >= threshold(F.col("type"))) | F.col("variant"))
     best = Window.partitionBy("name", "type").orderBy(F.desc(F.col("score") >= threshold(F.col("type"))), F.desc("score"), "entity_id")
     return pairs.withColumn("r", F.row_number().over(best)).filter("r = 1").select("name", "type", "entity_id", "score")
+
+
+def find_by_public_id(probes: DataFrame, registry: DataFrame) -> DataFrame:
+    """For each probe (qid) the registry row with that wikidata_id or entity_id: two equi-joins, one row each."""
+    by_link = registry.select(F.col("wikidata_id").alias("qid"), "entity_id", F.lit(1).alias("via"))
+    by_key = registry.select(F.col("entity_id").alias("qid"), "entity_id", F.lit(0).alias("via"))
+    found = probes.select("qid").distinct().join(by_link.unionByName(by_key), "qid")
+    best = Window.partitionBy("qid").orderBy("via", "entity_id")
+    return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("qid", "entity_id")
+
+
+def merge_registry(registry: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Apply (source, target) to the registry: targets inherit missing links and all aliases, sources go.
+
+    registry: entity_id, canonical_name, aliases (array), wikidata_id, description.
+    """
+    moved = registry.join(mapping, registry["entity_id"] == mapping["source"], "left").withColumn("home", F.coalesce("target", "entity_id"))
+    own = Window.partitionBy("home").orderBy((F.col("entity_id") != F.col("home")).cast("int"), "entity_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(c, ignorenulls=True).over(own).alias(c)
+    flat = moved.select("home", "entity_id", first("canonical_name"), first("wikidata_id"), first("description"), "aliases")
+    return flat.groupBy(F.col("home").alias("entity_id")).agg(F.first("canonical_name").alias("canonical_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"), F.first("wikidata_id").alias("wikidata_id"), F.first("description").alias("description"))
+
+
+def merge_aliases(aliases: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Redirect aliases to the targets; one row for each (alias_norm, type, entity_id)."""
+    moved = aliases.join(mapping.withColumnRenamed("source", "entity_id"), "entity_id", "left")
+    return moved.select("alias_norm", "type", F.coalesce("target", "entity_id").alias("entity_id")).distinct()
+
+
+def orphans(features: DataFrame, registry: DataFrame) -> DataFrame:
+    """Mentions whose canonical_id the registry does not know."""
+    used = features.select("unique_id", F.explode("entities.canonical_id").alias("entity_id")).filter("entity_id is not null")
+    return used.join(registry.select("entity_id"), "entity_id", "left_anti")
+
+
+def queue(state: DataFrame, *, limit: int, most_attempts: int = 5) -> DataFrame:
+    """Pending forms, oldest first."""
+    rows = state.filter((F.col("status") == "pending") & (F.coalesce("attempts", F.lit(0)) < most_attempts))
+    return rows.orderBy(F.col("first_seen_at").asc_nulls_last(), "surface_norm").limit(limit)
+
+
+def record_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """New state after a run: (surface_norm, type, status, entity_id, error); an error leaves the form pending, an attempt later."""
+    new = outcomes.select("surface_norm", "type", F.col("status").alias("s"), F.col("entity_id").alias("e"), F.substring("error", 1, 500).alias("x"), F.lit(True).alias("ran"))
+    rows = state.join(new, ["surface_norm", "type"], "left")
+    failed, ran = F.col("x").isNotNull(), F.col("ran").isNotNull()
+    return rows.select(
+        "surface_norm", "type",
+        F.when(ran & ~failed, F.col("s")).otherwise(F.col("status")).alias("status"),
+        F.when(ran & ~failed, F.col("e")).otherwise(F.col("entity_id")).alias("entity_id"),
+        (F.coalesce("attempts", F.lit(0)) + (ran & failed).cast("int")).alias("attempts"),
+        F.when(ran, F.col("x")).otherwise(F.col("last_error")).alias("last_error"),
+        "first_seen_at",
+    )
+
+
+def persist_decisions(decided: DataFrame, registry: DataFrame) -> DataFrame:
+    """Final id of each decision: reuse by public id, then by name under the type's threshold, then what the gates minted."""
+    known = find_by_public_id(decided.select(F.col("entity_id").alias("qid")), registry).select(F.col("qid").alias("entity_id"), F.col("entity_id").alias("by_id"))
+    named = reuse_by_name(decided.filter("action = 'internal'").select(F.col("form").alias("name"), "type"), registry).select(F.col("name").alias("form"), "type", F.col("entity_id").alias("by_name"))
+    rows = decided.join(known, "entity_id", "left").join(named, ["form", "type"], "left")
+    return rows.withColumn("final_id", F.coalesce("by_id", F.when(F.col("action") == "internal", F.col("by_name")), "entity_id")).drop("by_id", "by_name")
+
+
+def without_raw(articles: DataFrame, raw_log: DataFrame, *, task: str, version: str) -> DataFrame:
+    """Articles that have no logged reply for this task and prompt version."""
+    done = raw_log.filter((F.col("task") == task) & (F.col("prompt_version") == version)).select("unique_id")
+    return articles.join(done, "unique_id", "left_anti")

@@ -216,3 +216,79 @@ TEMPLATES = {
 def answer_prompt(context: Column, question: Column, kind: str = "default") -> Column:
     out = F.lit(TEMPLATES[kind])
     return F.replace(F.replace(out, F.lit("{context}"), context), F.lit("{question}"), question)
+
+
+def ivf_index(items: DataFrame, *, lists: int = 100, sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """Cells of an inverted-file index: items (id, v) with the cell of the nearest of `lists` centres.
+
+    Centres come from k-means over at most `sample` items in hash order; every item is indexed.
+    """
+    from newsloom.operators.corpus import draw
+
+    rows = np.array([r.v for r in items.orderBy(draw(F.col("id"), seed), "id").limit(sample).select("v").collect()], np.float64)
+    rng = np.random.default_rng(seed)
+    centres = rows[rng.permutation(len(rows))[: min(lists, len(rows))]].copy()
+    for _ in range(10):
+        near = ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) if len(rows) * len(centres) < 5_000_000 else _nearest_centre(rows, centres)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centres[c] = rows[near == c].mean(axis=0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.array(b["v"].tolist(), np.float64)
+            yield b.assign(cell=_nearest_centre(x, centres) if len(b) else [])
+
+    return items.select("id", "v").mapInPandas(run, "id long, v array<float>, cell long"), centres
+
+
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1)[None] - 2 * x @ centres.T).argmin(axis=1)
+
+
+def ivf_search(queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: int = 10, probes: int = 10) -> DataFrame:
+    """Top k of the cells whose centres are nearest: an equi-join on the probed cells."""
+    cells, centres = index
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q = np.array(b["q"].tolist(), np.float64)
+            near = np.argsort((centres**2).sum(axis=1)[None] - 2 * q @ centres.T, axis=1, kind="stable")[:, :probes]
+            yield b.assign(cells=near.tolist())
+
+    probed = queries.select("query_id", "q").mapInPandas(run, "query_id long, q array<float>, cells array<long>").select("query_id", "q", F.explode("cells").alias("cell"))
+    pairs = cells.join(probed, "cell").withColumn("score", v.cosine(F.col("v"), F.col("q")))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+
+def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: RetrieverConfig = RetrieverConfig()) -> DataFrame:
+    """Vector only, full text only and hybrid, side by side: mode, id, rank."""
+    one = lambda d, mode: d.filter(F.col("rank") <= config.final_k).select(F.lit(mode).alias("mode"), "id", "rank")
+    return one(vector_ranking, "vector").unionByName(one(text_ranking, "fulltext")).unionByName(one(hybrid_search(vector_ranking, text_ranking, config), "hybrid"))
+
+
+def answer_key(query: Column, ids: Column) -> Column:
+    """Cache key of an answer: the question and the documents it was drawn from."""
+    return F.xxhash64(query, F.array_join(ids.cast("array<string>"), ","))
+
+
+def cached_answers(asked: DataFrame, cache: DataFrame, *, now: str, seconds: int = 3600) -> DataFrame:
+    """Questions (key) with the cached answer that is younger than the time to live; others without."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("stored_at").cast("timestamp"))
+    fresh = cache.filter((age >= 0) & (age < seconds)).groupBy("key").agg(F.max_by("answer", "stored_at").alias("answer"))
+    return asked.join(fresh, "key", "left")
+
+
+def answer_context(chunks: DataFrame, *, question: str, budget_chars: int = 32_000, least_score: float = 0.0, kind: str = "default") -> DataFrame:
+    """From scored chunks (document_id, chunk_index, title, published_at, content, score) to one prompt.
+
+    Low scores drop out, the best chunk of each document stays, sources are numbered by score and
+    packed up to the budget; the prompt is one row.
+    """
+    best = best_chunk(chunks.filter(F.col("score") >= least_score))
+    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=50).withColumn("one", F.lit(1))
+    packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
+    block = context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content"))
+    joined = packed.groupBy("one").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_sources"))
+    return joined.select("n_sources", answer_prompt(F.col("context"), F.lit(question), kind).alias("prompt"))

@@ -315,3 +315,78 @@ def usage_from_json(spark, sf_dir):
 def prompt_hashes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", t.prompt_hash(models.ner_prompt(F.col("source"), F.col("text"))).alias("prompt_hash"))
+
+
+@register("SELECT * FROM (VALUES ('Q1','e1'),('Q2','Q2')) AS t(qid, entity_id)")
+def public_id_lookup(spark, sf_dir):
+    reg = _rows(spark, "('e1','Q1'),('Q2','Q2'),('e3',NULL),('e9','Q2')", "entity_id, wikidata_id")
+    return entities.find_by_public_id(_rows(spark, "('Q1'),('Q2'),('Q7')", "qid"), reg)
+
+
+@register("SELECT * FROM (VALUES ('Q9','A','a|b|c|d','Q9','from b'),('dgb_c','C','c1|d1',NULL,NULL),('dgb_y','Y','','Q4','why'),('dgb_n','N','n',NULL,NULL)) AS t(entity_id, canonical_name, aliases, wikidata_id, description)")
+def registry_merge(spark, sf_dir):
+    reg = _rows(
+        spark,
+        "('Q9','A',array('a','b'),'Q9',NULL),('dgb_a','A1',array('c'),NULL,NULL),('dgb_b','B',array('d','a'),NULL,'from b'),('dgb_c','C',array('c1'),NULL,NULL),('dgb_d','D',array('d1'),NULL,NULL),"
+        "('dgb_y','Y',NULL,NULL,'why'),('dgb_z','Z',array(),'Q4','zed'),('dgb_n','N',array('n'),NULL,NULL)",
+        "entity_id, canonical_name, aliases, wikidata_id, description",
+    )
+    out = entities.merge_registry(reg, entities.merge_map(_rows(spark, _MERGES, "source, target")))
+    return out.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@register("SELECT * FROM (VALUES ('a','ORG','Q9'),('b','ORG','Q9'),('n','ORG','dgb_n')) AS t(alias_norm, type, entity_id)")
+def alias_redirect(spark, sf_dir):
+    al = _rows(spark, "('a','ORG','dgb_a'),('a','ORG','Q9'),('b','ORG','dgb_b'),('n','ORG','dgb_n')", "alias_norm, type, entity_id")
+    return entities.merge_aliases(al, entities.merge_map(_rows(spark, _MERGES, "source, target")))
+
+
+@register("SELECT * FROM (VALUES ('c',1),('a',2),('n',3)) AS t(surface_norm, place)")
+def work_queue(spark, sf_dir):
+    state = _rows(spark, "('a','pending',1,'2024-01-02'),('b','resolved',0,'2024-01-01'),('c','pending',0,'2024-01-01'),('d','pending',9,'2023-01-01'),('n','pending',0,NULL)", "surface_norm, status, attempts, first_seen_at")
+    rows = entities.queue(state, limit=10).select("surface_norm", F.col("first_seen_at").alias("s"))
+    from pyspark.sql import Window
+
+    return rows.select("surface_norm", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last(), "surface_norm")).alias("place"))
+
+
+@register("SELECT * FROM (VALUES ('a','resolved','Q1',0,NULL),('b','pending',NULL,2,'boom'),('c','pending',NULL,0,NULL)) AS t(surface_norm, status, entity_id, attempts, last_error)")
+def queue_outcomes(spark, sf_dir):
+    state = _rows(spark, "('a','ORG','pending',NULL,0,NULL,'2024'),('b','ORG','pending',NULL,1,'old','2024'),('c','ORG','pending',NULL,0,NULL,'2024')", "surface_norm, type, status, entity_id, attempts, last_error, first_seen_at")
+    state = state.withColumn("entity_id", F.col("entity_id").cast("string")).withColumn("last_error", F.col("last_error").cast("string"))
+    out = _rows(spark, "('a','ORG','resolved','Q1',NULL),('b','ORG','resolved',NULL,'boom')", "surface_norm, type, status, entity_id, error")
+    return entities.record_outcomes(state, out).select("surface_norm", "status", "entity_id", "attempts", "last_error")
+
+
+@register("SELECT * FROM (VALUES ('Q10','Finep','Q155',true,'Q1|Q2'),('Q11','Other',NULL,false,''),('Q12','Autre','Q30',false,'Q5')) AS t(qid, label, country, country_is_br, instance_of)")
+def claims(spark, sf_dir):
+    say = lambda *q: "[" + ",".join('{"mainsnak":{"datavalue":{"value":{"id":"%s"}}}}' % i for i in q) + "]"
+    rows = [("Q10", {"en": "x", "pt": "Finep"}, '{"P17":%s,"P31":%s}' % (say("Q155", "Q30"), say("Q1", "Q2"))), ("Q11", {"en": "Other"}, "{}"), ("Q12", {"fr": "Autre"}, '{"P17":%s,"P31":%s}' % (say("Q30"), say("Q5")))]
+    from newsloom.operators import knowledge
+
+    out = knowledge.with_claims(spark.createDataFrame(rows, "qid string, labels map<string,string>, claims string"))
+    return out.withColumn("instance_of", F.array_join("instance_of", "|"))
+
+
+@register("SELECT * FROM (VALUES ('finep','ORG','Q2|Q1'),('lula','PER','')) AS t(surface_norm, type, candidates)")
+def search_candidates(spark, sf_dir):
+    from newsloom.operators import knowledge
+
+    out = knowledge.candidates(_rows(spark, "('finep','ORG'),('lula','PER')", "surface_norm, type"), _rows(spark, "('Q1','FINEP',2),('Q2','Finep',1),('Q3','Outra',1)", "qid, name, place"))
+    return out.select("surface_norm", "type", F.array_join("candidates", "|").alias("candidates"))
+
+
+_TOPICS = "('01.01.01','Política Fiscal','Economia'),('01.01.02','Juros','Economia'),('03.01.01','Vacinas','Saúde')"
+
+
+@register("SELECT * FROM (VALUES ('01.01.02','01.01.02'),('03.01.01 - Vacinas','03.01.01'),('politica fiscal','01.01.01'),('economia','01.01.01'),('???','20.01.01')) AS t(said, code)")
+def category_cascade(spark, sf_dir):
+    topics = _rows(spark, _TOPICS, "code, name, area").agg(F.array_sort(F.collect_list(F.struct("code", "name", "area"))).alias("topics"))
+    rows = _rows(spark, "('01.01.02'),('03.01.01 - Vacinas'),('politica fiscal'),('economia'),('???')", "said")
+    return rows.join(F.broadcast(topics)).select("said", t.validated_category(F.col("said"), F.col("topics"), "20.01.01").alias("code"))
+
+
+@register("SELECT * FROM (VALUES ('As eleições municipais do Brasil','eleicao|municipal|brasil'),('de a o',''),('Papéis e leis','papel|leis')) AS t(q, terms)")
+def search_terms(spark, sf_dir):
+    rows = _rows(spark, "('As eleições municipais do Brasil'),('de a o'),('Papéis e leis')", "q")
+    return rows.select("q", F.array_join(t.search_terms("q"), "|").alias("terms"))

@@ -330,3 +330,46 @@ def context_blocks(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     block = retrieval.context_block(F.col("doc_id") % 9 + 1, F.col("source"), F.lit("2024-03-05").cast("date"), t.preview("text", 300))
     return docs.select("doc_id", F.sha2(block, 256).alias("block"))
+
+
+@register()
+def ivf_search(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    return retrieval.ivf_search(q, retrieval.ivf_index(e.select("id", "v"), lists=20), k=10, probes=10).select("query_id", "rank", "id")
+
+
+@register("SELECT * FROM (VALUES ('vector','A',1),('vector','B',2),('vector','C',5),('fulltext','C',1),('fulltext','A',3),('hybrid','A',1),('hybrid','C',2),('hybrid','B',3)) AS t(mode, id, rank)")
+def compare_modes(spark, sf_dir):
+    a = spark.createDataFrame([("A", 1), ("B", 2), ("C", 5)], "id string, rank int")
+    b = spark.createDataFrame([("C", 1), ("A", 3)], "id string, rank int")
+    return retrieval.compare_modes(a, b)
+
+
+@register("SELECT 2::BIGINT AS n_sources, 'Use somente os fatos do contexto.' || chr(10) || '[Fonte 1: B] (02/01/2024)' || chr(10) || 'bbb' || chr(10) || chr(10) || '[Fonte 2: A] (01/01/2024)' || chr(10) || 'aa2' || chr(10) || chr(10) || 'Pergunta: o que?' || chr(10) || 'Fatos:' AS prompt")
+def answer_context(spark, sf_dir):
+    rows = [(1, 0, "A", "2024-01-01", "aa1", 0.5), (1, 1, "A", "2024-01-01", "aa2", 0.7), (2, 0, "B", "2024-01-02", "bbb", 0.9), (3, 0, "C", "2024-01-03", "c" * 99, 0.4), (4, 0, "D", "2024-01-04", "low", 0.1)]
+    chunks = spark.createDataFrame(rows, "document_id int, chunk_index int, title string, published_at string, content string, score double").withColumn("published_at", F.col("published_at").cast("date"))
+    return retrieval.answer_context(chunks, question="o que?", budget_chars=20, least_score=0.3, kind="factual")
+
+
+@register("SELECT * FROM (VALUES (1,'new'),(2,NULL),(3,NULL)) AS t(key, answer)")
+def answer_cache(spark, sf_dir):
+    cache = spark.createDataFrame([(1, "old", "2024-01-01 09:10:00"), (1, "new", "2024-01-01 09:30:00"), (2, "late", "2024-01-01 08:00:00")], "key int, answer string, stored_at string")
+    return retrieval.cached_answers(spark.createDataFrame([(1,), (2,), (3,)], "key int"), cache, now="2024-01-01 10:00:00")
+
+
+@register("SELECT id, batch_ok::INTEGER AS ok, CASE WHEN batch_ok = 5 THEN 'success' WHEN batch_ok = 0 THEN 'failed' ELSE 'partial' END AS outcome FROM (SELECT event_id // 5 AS id, count(*) FILTER (event_type <> 'error') AS batch_ok FROM events GROUP BY 1)")
+def batch_outcomes(spark, sf_dir):
+    from newsloom.operators import corpus
+
+    by = _t(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 5).cast("long").alias("id")).agg(F.count_if(F.col("event_type") != "error").cast("int").alias("ok"))
+    return by.select("id", "ok", corpus.batch_outcome(F.col("ok"), F.lit(5)).alias("outcome"))
+
+
+@register("SELECT * FROM (VALUES ('documents', 250), ('queries', 60), ('annotations', 75)) AS t(part, n)")
+def synthetic_corpus(spark, sf_dir):
+    from newsloom.operators import corpus
+
+    parts = zip(("documents", "queries", "annotations"), corpus.synthetic_corpus(spark), strict=True)
+    counts = [d.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(name).alias("part"), "n") for name, d in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
