@@ -114,7 +114,7 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray
 class PieceEncoder:
     """Encodes texts chunk by chunk; chunks met before come from a table of bounded size."""
 
-    def __init__(self, model: Pieces, most: int = 300_000):
+    def __init__(self, model: Pieces, most: int = 200_000):
         self.model, self.most = model, most
         self.depth = max(len(model.pieces[int(k)]) for k in model.usable)
         self.sizes_of = np.array([len(model.pieces[int(k)]) for k in model.usable], np.int64)
@@ -136,7 +136,7 @@ class PieceEncoder:
 
     def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two symbols side by side stay two; each pair is merged by hand once."""
-        keys = (left << 26) | right
+        keys = (left.astype(np.int64) << 26) | right
         pairs, back = np.unique(keys, return_inverse=True)
         at = np.searchsorted(self.known, pairs)
         new = pairs[(at >= len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != pairs)] if len(self.known) else pairs
@@ -167,15 +167,19 @@ class PieceEncoder:
         count = high - low
         total = int(count.sum())
         at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        start, size, symbol = order[at], np.repeat(self.sizes_of, count), np.repeat(self.model.usable, count)
+        small = np.int32  # edges are many: places, sizes and symbols of a batch fit
+        start = order[at].astype(small)
+        del at, order
+        size, symbol = np.repeat(self.sizes_of.astype(small), count), np.repeat(self.model.usable.astype(small), count)
         lone = np.flatnonzero(~np.isin(codes, [0, *(ord(c) + 1 for c in self.single)]))
-        start, size, symbol = np.r_[start, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[symbol, LONE + codes[lone] - 1]
+        start, size, symbol = np.r_[start, lone.astype(small)], np.r_[size, np.ones(len(lone), small)], np.r_[symbol, (LONE + codes[lone] - 1).astype(small)]
 
         chunk = np.repeat(np.arange(len(chunks)), lengths + 1)[: len(codes)]
         end = start + size
-        offset = end - begin[chunk[start]]
-        rank = np.argsort(offset, kind="stable")
+        offset = end - begin.astype(small)[chunk[start]]
+        rank = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 1 << 16 else offset, kind="stable")
         start, end, symbol, offset = start[rank], end[rank], symbol[rank], offset[rank]
+        del rank, size
         last, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
         first = np.zeros(len(codes) + 1, bool)
         first[begin] = True
@@ -263,7 +267,7 @@ def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
         yield keys, texts
 
 
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 2 << 20) -> DataFrame:
     """id (long), n_tokens (long), ids (binary: little-endian unsigned 32-bit) of each whole text.
 
     Texts are cut where no piece reaches over (before white space, around line ends). The distinct
