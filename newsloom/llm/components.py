@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = materialise(now, "links"), None
     while True:
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first()
+        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         before = state
