@@ -39,4 +39,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM said GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op7_chat_formatting": OP7}
+_WORDS = r"""
+w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents)
+)
+"""
+
+OP3 = rf"""
+WITH {_WORDS}, tri AS (
+  SELECT doc_id, pos, word, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+), rep AS (
+  SELECT doc_id, pos, length(word) AS n, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c) > 1 AS again FROM tri
+), covered AS (
+  SELECT doc_id, n, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM rep
+), words AS (
+  SELECT doc_id, count(*) AS n_words, sum(n)::BIGINT AS word_chars, sum(hit)::BIGINT AS n_repeat_words FROM covered GROUP BY 1
+), line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
+), m AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) AS n_lower, length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')) AS n_exclaims
+  FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)
+), f AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (5 * n_dup_lines > 2 * n_lines)::BIGINT
+    + 16 * (n_upper > 2 * n_lower AND n_upper > 100)::BIGINT + 32 * (2 * n_exclaims > n_words)::BIGINT + 64 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT)::BIGINT AS failures FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
+OP6 = rf"""
+WITH {_WORDS}, windows AS (
+  SELECT doc_id, pos, word, list(word) OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), placed AS (
+  SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY n = 20, key ORDER BY doc_id, pos) > 1 AS later FROM windows
+), covered AS (
+  SELECT doc_id, pos, word, max(later::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM placed
+)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY 1
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op6_substring_dedup": OP6, "op7_chat_formatting": OP7}
