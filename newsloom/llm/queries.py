@@ -23,8 +23,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = token_files.round_trip(read_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
-    return token_files.token_digest(back).withColumnRenamed("id", "doc_id")
+    back = token_files.round_trip(read_table(spark, sf_dir, "documents"), word_tokenizer(), digest=True, end_id=1)
+    return back.withColumnRenamed("id", "doc_id")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

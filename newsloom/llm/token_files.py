@@ -121,8 +121,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                now = np.bincount(np.frombuffer(x.as_py(), width))
+            for at in range(0, batch.num_rows, 256):
+                now = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 256).to_pylist()), width))
                 if len(now) > len(total):
                     now[: len(total)] += total
                     total = now
@@ -171,44 +171,36 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     spark.read.schema(_FILE).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Documents back from the files: id, start (ids of all documents before it), n_tokens, ids (binary: little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, path: str, *, digest: bool = False) -> DataFrame:
+    """Documents back from the files: id, start (ids of all documents before it), n_tokens, ids (binary: little-endian unsigned 32-bit).
+
+    digest: ids_crc32 (long) of those bytes in the place of ids.
+    """
     code = spark.read.schema("symbol int, bits int").parquet(f"{path}/code").toArrow()  # vocabulary-sized
     lengths = np.zeros(max(code.column("symbol").to_pylist(), default=0) + 1, np.int64)
     lengths[code.column("symbol").to_numpy()] = code.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(decode_table(lengths))
+    last = "ids_crc32" if digest else "ids"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n, keys, sizes, points, bits in zip(*(batch.column(k) for k in range(6)), strict=True):
-                ids = decode_block(bits.as_py(), points.as_py(), n.as_py(), shared.value).astype("<u4")
+                ids = decode_block(bits.as_py(), points.as_py(), n.as_py(), shared.value)
                 sizes = np.array(sizes.as_py(), np.int64)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.as_py(), pa.int64()), pa.array(ends - sizes + start.as_py()), pa.array(sizes), pa.array([ids[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary())],
-                    names=["id", "start", "n_tokens", "ids"],
-                )
+                each = [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
+                out = pa.array([crc32(x) for x in each], pa.int64()) if digest else pa.array([x.astype("<u4").tobytes() for x in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), pa.array(ends - sizes + start.as_py()), pa.array(sizes), out], names=["id", "start", "n_tokens", last])
 
     shards = spark.read.schema("shard int, n_tokens long").parquet(f"{path}/shards")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("shard", before.alias("before"))  # a row for each written file
     blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks").join(F.broadcast(starts), "shard")
-    return blocks.select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(decode, "id long, start long, n_tokens long, ids binary")
-
-
-def token_digest(documents: DataFrame) -> DataFrame:
-    """id, start, n_tokens and the CRC-32 of each document's ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [crc32(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.select("id", "start", "n_tokens", "ids").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(decode, f"id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, *, digest: bool = False, **options) -> DataFrame:
     """Write token files to the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer_path, **options)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, digest=digest)

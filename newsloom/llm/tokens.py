@@ -81,7 +81,7 @@ class Encoder:
     marks; new letter words are encoded as one text and told apart by the model's end-of-word tokens.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,8 +96,12 @@ class Encoder:
         self.parts = _Table()
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        ids, sizes = [], []
+        for k in range(0, len(words), 32):  # the library's results are large: few of them at a time
+            found = [e.ids for e in self.tokenizer.encode_batch(words[k : k + 32], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            sizes += map(len, found)
+        return np.concatenate(ids), np.array(sizes, np.int64)
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = [" ".join(words[k : k + 128]) for k in range(0, len(words), 128)]
@@ -146,7 +150,7 @@ class Encoder:
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def parts_of(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text each, and a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
