@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -45,8 +44,10 @@ def _splits_at_space(definition: str) -> bool:
     )
 
 
-#: A word of Latin letters, each of them one code point in any normal form, and marks that end no special token.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-!-&(-,./:;=?@\\[-`{}~|]*)")
+#: A word of Latin letters, each of them one code point in any normal form.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Marks that may close such a word: none of them begins or ends a special token or a contraction.
+_MARKS = "-!\"#$%&()*+,./:;=?@[\\]^_`{}~|"
 
 
 class _Table:
@@ -112,22 +113,30 @@ class Encoder:
                 return ids, np.diff(np.r_[-1, last])
         return self._whole(words)
 
-    def _places(self, words: list[str]) -> np.ndarray:
+    def _places(self, words: pa.Array) -> np.ndarray:
         """Two places in the table for each word: its letters (or all of it) and its closing marks."""
-        cuts = [_PLAIN.fullmatch(w) for w in words] if self.ends is not None else [None] * len(words)
-        heads = [m[1].lower() if m else w for m, w in zip(cuts, words, strict=True)]
-        tails = [m[2] if m else "" for m in cuts]
         if len(self.parts.places) > self.most:
             self.parts = _Table()
         known = self.parts.places
-        letters = list({h for h, m in zip(heads, cuts, strict=True) if m and h not in known})
-        if letters:
-            self.parts.add(letters, *self._letters(letters))
-        others = list({*(h for h, m in zip(heads, cuts, strict=True) if not m), *tails}.difference(known))
+        heads = pc.ascii_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(heads, _LETTERS) if self.ends is not None else pa.array(np.zeros(len(words), bool))
+        shared = pc.if_else(plain, pc.utf8_lower(heads), words).dictionary_encode()
+        names, index = shared.dictionary.to_pylist(), shared.indices.to_numpy()
+        letters = np.zeros(len(names), bool)
+        plain = plain.to_numpy(zero_copy_only=False)
+        letters[index[plain]] = True
+        cut = pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()
+        ended = np.flatnonzero(plain & (cut > 0))
+        tails = [w[-k:] for w, k in zip(words.take(pa.array(ended)).to_pylist(), cut[ended].tolist(), strict=True)]
+        new = [n for n, is_word in zip(names, letters.tolist(), strict=True) if is_word and n not in known]
+        if new:
+            self.parts.add(new, *self._letters(new))
+        others = list({"", *tails, *(n for n, is_word in zip(names, letters.tolist(), strict=True) if not is_word)}.difference(known))
         if others:
             self.parts.add(others, *self._whole(others))
-        at = np.empty(2 * len(words), np.int64)
-        at[::2], at[1::2] = self.parts.at(heads), self.parts.at(tails)
+        at = np.full(2 * len(words), known[""], np.int64)
+        at[::2] = self.parts.at(names)[index]
+        at[1::2][ended] = self.parts.at(tails)
         return at
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
@@ -137,7 +146,7 @@ class Encoder:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        at = self._places(words.dictionary.to_pylist())
+        at = self._places(words.dictionary)
         own = self.parts.sizes[at]
         table = _Table()
         table.ids, table.sizes = self.parts.gather(at), own[::2] + own[1::2]
