@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import line_dedup, packing, quality_rules, simhash, substring_dedup
+from newsloom.llm import line_dedup, near_texts, packing, quality_rules, substring_dedup
 from newsloom.llm.common import materialise
 from newsloom.llm.queries import word_tokenizer
 
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that of the smallest id. Rows without id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=4, bits=4)
+    """One document of each group of texts linked by 0.8 of their five-word shingles: that of the smallest id. Rows without id stay."""
+    found = near_texts.near_duplicates(docs.select("doc_id", "text"), shingle=5, least=0.8)
     gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
     once = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return once.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(once.filter("doc_id is null"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, common, graph_ann, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_files, tokens
+from newsloom.llm import chat_format, common, graph_ann, line_dedup, near_texts, packing, quality_rules, sharding, simhash, substring_dedup, token_files, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A = "the quick brown fox jumps over the lazy dog and runs far away from here today"
@@ -453,6 +453,39 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in last} == {r.doc_id for r in kept[3]}
 
 
+def test_near_texts(spark, docs, none, twice):
+    """Copies at similarities about 0.8 against all pairs; groups of over `few` members and chains included."""
+    rng = np.random.default_rng(1)
+    rows, base = [(100 + i, t) for i, t in ROWS], [[f"b{g}x{j}" for j in range(200)] for g in range(6)]
+    for g, words in enumerate(base):
+        for c in range(12):
+            copy = list(words)
+            for at in rng.choice(200, c // 2, replace=False):
+                copy[at] = f"new{g}x{c}x{at}"
+            rows.append((1000 + 100 * g + c, " ".join(copy)))
+    sets = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows if i >= 1000}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in close)
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a, b in close:
+            want[a] = want[b] = min(want[a], want[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.component for r in near_texts.near_duplicates(frame).collect()}
+    assert {i: c for i, c in got.items() if i >= 1000} == want
+    assert {i - 100 for i, c in got.items() if c == 106} == {6, 7, 8} and got[109] == got[110] == 109
+    assert near_texts.near_duplicates(none).count() == 0 and near_texts.near_duplicates(twice).count() == twice.count()
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{j}" for j in range(200)]
+    rows = [(k, " ".join(words[: 50 * k] + [f"new{k}"] + words[50 * k + 1 :])) for k in range(4)] + [(9, " ".join(words[:100]))]
+    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == {0, 9}
+
+
 def test_oracles_match(spark):
     import os
 
