@@ -7,7 +7,7 @@ the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import line_dedup, near_texts, packing, quality_rules, substring_dedup
@@ -34,11 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by 0.8 of their five-word shingles: that of the smallest id. Rows without id stay."""
-    found = near_texts.near_duplicates(docs.select("doc_id", "text"), shingle=5, least=0.8)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    once = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return once.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(once.filter("doc_id is null"))
+    """One row of each group of texts linked by 0.8 of their five-word shingles; rows without id stay.
+
+    It is the row of the smallest id; of several with that id in the group, that of the smallest text
+    hash, then of the smallest other columns. Rows of one id whose texts are in different groups stay
+    apart.
+    """
+    found = near_texts.near_duplicates(docs.select("doc_id", "text"), shingle=5, least=0.8).filter("id is not null")
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "v")).alias("s")).select(F.col("s.id").alias("doc_id"), F.col("s.v").alias("_v"))
+    once = docs.filter("doc_id is not null").withColumn("_v", near_texts.text_hash(F.col("text"))).join(kept, ["doc_id", "_v"], "left_semi")
+    order = Window.partitionBy("doc_id", "_v").orderBy(F.lit(0), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = once.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*docs.columns)
+    return first.unionByName(docs.filter("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

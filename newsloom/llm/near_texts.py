@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -122,8 +122,12 @@ def similar_roots(texts: DataFrame, *, shingle: int = 5, seed: int = 42, least:
         last = across <= few * n or k > rounds
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
-    """id, v (long: hash of the text) and component (long): the smallest id reachable by links of similar texts.
+    """id, v (long: text_hash()), root (long: the smallest v of the component) and component (long): the smallest id reachable by links of similar texts.
 
     Texts are similar if the Jaccard similarity of their sets of word shingles is `least` or more
     (null as empty; A-Z in lower case, words between ASCII white space, fewer words than a shingle
@@ -131,7 +135,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stated at BANDS; no other pair is. A row comes out for each row in, repeated rows too; a null id
     never names a component of rows with ids. No rows in, no rows out.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("v", F.xxhash64("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("v", text_hash(F.col("text")))
     roots = similar_roots(rows, shingle=shingle, seed=seed, least=least)
     each = rows.select("id", "v").join(roots, "v", "left").select("id", "v", F.coalesce("root", "v").alias("root"))
-    return each.join(each.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "v", "component")
+    return each.join(each.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "v", "root", "component")

@@ -486,6 +486,15 @@ def test_pipeline_drops_near_copies(spark):
     assert {r.doc_id for r in got} == {0, 9}
 
 
+def test_pipeline_keeps_rows_of_one_id_with_other_texts(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    rows = [(1, a, "de"), (1, b, "en"), (2, a, "en"), (2, c, "en"), (3, b, "en"), (1, a, "en"), (None, a, "en"), (None, a, "en")]
+    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, r.text, r.lang) for r in got) == [(0, a, "en"), (0, a, "en"), (1, a, "de"), (1, b, "en"), (2, c, "en")]
+
+
 def test_oracles_match(spark):
     import os
 
