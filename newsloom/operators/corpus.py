@@ -51,8 +51,12 @@ def triplets(annotations: DataFrame, *, positive: int = 2) -> DataFrame:
     return pos.join(neg, "query_id")
 
 
-def textrank_sentences(text: str, n: int, *, damping: float = 0.85, redundancy: float = 0.7, rounds: int = 50) -> list[str]:
-    """The n best sentences in their order: power iteration over word overlap, early ones boosted, near repeats skipped."""
+def textrank_sentences(text: str, n: int, *, damping: float = 0.85, redundancy: float = 0.7, rounds: int = 50, block: int = 1024, held: int = 1 << 24) -> list[str]:
+    """The n best sentences in their order: power iteration over word overlap, early ones boosted, near repeats skipped.
+
+    Similarities are computed in blocks of rows and kept up to `held` of them; those of longer texts
+    are computed again in each round.
+    """
     import re
 
     sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if len(s.strip()) >= 20]
@@ -60,15 +64,31 @@ def textrank_sentences(text: str, n: int, *, damping: float = 0.85, redundancy:
         return []
     bags = [set(re.findall(r"\w+", s.lower())) for s in sentences]
     m = len(bags)
-    like = np.zeros((m, m))
-    for i in range(m):
-        for j in range(i):
-            if bags[i] and bags[j]:
-                like[i, j] = like[j, i] = len(bags[i] & bags[j]) / (np.log(len(bags[i]) + 1) + np.log(len(bags[j]) + 1))
-    sums = like.sum(axis=1, keepdims=True)
-    walk, rank = like / np.where(sums == 0, 1, sums), np.full(m, 1 / m)
+    postings: dict[str, list[int]] = {}
+    for i, bag in enumerate(bags):
+        for w in bag:
+            postings.setdefault(w, []).append(i)
+    places = {w: np.array(p) for w, p in postings.items()}
+    logs = np.log(np.array([len(bag) for bag in bags]) + 1.0)
+
+    def walk_rows(at: int) -> np.ndarray:
+        like = np.zeros((min(block, m - at), m))
+        for r in range(len(like)):
+            if bags[at + r]:
+                shared = np.bincount(np.concatenate([places[w] for w in bags[at + r]]), minlength=m)
+                shared[at + r] = 0
+                np.divide(shared, logs[at + r] + logs, out=like[r], where=shared > 0)
+        sums = like.sum(axis=1, keepdims=True)
+        return like / np.where(sums == 0, 1, sums)
+
+    starts, rank = range(0, m, block), np.full(m, 1 / m)
+    kept_rows = {at: walk_rows(at) for at in starts} if m * m <= held else {}
     for _ in range(rounds):
-        rank = (1 - damping) / m + damping * walk.T @ rank
+        flow = np.zeros(m)
+        for at in starts:
+            rows = kept_rows[at] if kept_rows else walk_rows(at)
+            flow += rows.T @ rank[at : at + len(rows)]
+        rank = (1 - damping) / m + damping * flow
     rank = rank * (1 + 0.2 * (1 - np.arange(m) / m))
     kept: list[int] = []
     for i in np.argsort(-rank, kind="stable"):
@@ -79,20 +99,12 @@ def textrank_sentences(text: str, n: int, *, damping: float = 0.85, redundancy:
     return [sentences[i] for i in sorted(kept)]
 
 
-def textrank(docs: DataFrame, *, n: int = 3, longest: int = 300) -> DataFrame:
-    """id, summary. Texts of over `longest` sentences are summarised in parts and their summaries once more."""
-
-    def whole(text: str) -> list[str]:
-        import re
-
-        parts = re.split(r"(?<=[.!?])\s+|\n+", text)
-        while len(parts) > longest:
-            parts = [s for at in range(0, len(parts), longest) for s in textrank_sentences("\n".join(parts[at : at + longest]), max(n, longest // 10))]
-        return textrank_sentences("\n".join(parts), n)
+def textrank(docs: DataFrame, *, n: int = 3) -> DataFrame:
+    """id, summary. All sentences of a text are ranked together, whatever its length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "summary": [" ".join(whole(s)) for s in b["text"].fillna("")]})
+            yield pd.DataFrame({"id": b["id"], "summary": [" ".join(textrank_sentences(s, n)) for s in b["text"].fillna("")]})
 
     return docs.select("id", "text").mapInPandas(run, "id long, summary string")
 

@@ -1,5 +1,6 @@
 """Vectors for names, ids and parsers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,28 @@ def test_provider_isolates_failures(spark):
 def test_clamp(spark):
     rows = spark.createDataFrame([("2.0",), ("-5",), ("x",), (None,), ("0.5",)], "x string")
     assert [r.y for r in rows.select(v.clamp01(F.col("x")).alias("y")).collect()] == [1.0, 0.0, 0.0, 0.0, 0.5]
+
+
+def textrank_by_hand(text, n):
+    sentences = text.split("\n")
+    bags = [set(s.lower().split()) for s in sentences]
+    m = len(bags)
+    like = np.array([[0.0 if i == j else len(a & b) / (np.log(len(a) + 1) + np.log(len(b) + 1)) for j, b in enumerate(bags)] for i, a in enumerate(bags)])
+    walk, rank = like / like.sum(axis=1, keepdims=True), np.full(m, 1 / m)
+    for _ in range(50):
+        rank = 0.15 / m + 0.85 * walk.T @ rank
+    kept = []
+    for i in np.argsort(-rank * (1 + 0.2 * (1 - np.arange(m) / m)), kind="stable"):
+        if len(kept) < n and all(len(bags[i] & bags[j]) < 0.7 * min(len(bags[i]), len(bags[j])) for j in kept):
+            kept.append(i)
+    return [sentences[i] for i in sorted(kept)]
+
+
+def test_textrank_ranks_long_texts_whole(spark):
+    rng = np.random.default_rng(0)
+    text = "\n".join(" ".join(f"word{x}" for x in {0, *(rng.zipf(1.3, 12) % 400).tolist()}) for _ in range(700))
+    text = "\n".join(s for s in text.split("\n") if len(s) >= 20)
+    want = textrank_by_hand(text, 3)
+    got = corpus.textrank(spark.createDataFrame([(1, text)], "id long, text string")).first()
+    assert got.summary == " ".join(want)
+    assert corpus.textrank_sentences(text, 3) == want == corpus.textrank_sentences(text, 3, block=64, held=0)
