@@ -219,13 +219,14 @@ def answer_prompt(context: Column, question: Column, kind: str = "default") -> C
 
 
 def ivf_index(items: DataFrame, *, lists: int = 100, sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Cells of an inverted-file index: items (id, v) with the cell of the nearest of `lists` centres.
+    """Cells of an inverted-file index: items (id, v) with the cell of the nearest of `lists` centres and their angle to it.
 
-    Centres come from k-means over at most `sample` items in hash order; every item is indexed.
+    Centres come from k-means over at most `sample` items in hash order, all vectors at unit length;
+    every item is indexed. A zero vector has the angle pi.
     """
     from newsloom.operators.corpus import draw
 
-    rows = np.array([r.v for r in items.orderBy(draw(F.col("id"), seed), "id").limit(sample).select("v").collect()], np.float64)
+    rows = _unit([r.v for r in items.orderBy(draw(F.col("id"), seed), "id").limit(sample).select("v").collect()])
     rng = np.random.default_rng(seed)
     centres = rows[rng.permutation(len(rows))[: min(lists, len(rows))]].copy()
     for _ in range(10):
@@ -236,10 +237,23 @@ def ivf_index(items: DataFrame, *, lists: int = 100, sample: int = 20_000, seed:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["v"].tolist(), np.float64)
-            yield b.assign(cell=_nearest_centre(x, centres) if len(b) else [])
+            if len(b):
+                x = _unit(b["v"].tolist())
+                cell = _nearest_centre(x, centres)
+                angle = np.where(x.any(axis=1), _angles(x, centres)[np.arange(len(x)), cell], np.pi)
+                yield b.assign(cell=cell, angle=angle)
 
-    return items.select("id", "v").mapInPandas(run, "id long, v array<float>, cell long"), centres
+    return items.select("id", "v").mapInPandas(run, "id long, v array<float>, cell long, angle double"), centres
+
+
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    norms = np.linalg.norm(x, axis=-1, keepdims=True)
+    return x / np.where(norms == 0, 1, norms)
+
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ _unit(centres).T, -1, 1))
 
 
 def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -247,19 +261,46 @@ def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def ivf_search(queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: int = 10, probes: int = 10) -> DataFrame:
-    """Top k of the cells whose centres are nearest: an equi-join on the probed cells."""
-    cells, centres = index
+    """Exact top k: an equi-join on the probed cells, then on every other cell that can hold a better item.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = np.array(b["q"].tolist(), np.float64)
-            near = np.argsort((centres**2).sum(axis=1)[None] - 2 * q @ centres.T, axis=1, kind="stable")[:, :probes]
-            yield b.assign(cells=near.tolist())
+    The `probes` nearest cells are searched first. By the triangle inequality of angles no item of a
+    cell is nearer to a query than its centre's angle less the cell's widest one, so cells beyond the
+    k-th angle found are left out without loss; the driver sees one widest angle a cell.
+    """
+    cells, centres = index
+    widest = np.full(len(centres), -1.0)  # no items
+    for r in cells.groupBy("cell").agg(F.max("angle").alias("a")).collect():
+        widest[r.cell] = r.a
+
+    def probe(first: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                q = _unit(b["q"].tolist())
+                order = np.argsort((centres**2).sum(axis=1)[None] - 2 * q @ centres.T, axis=1, kind="stable")
+                if first:
+                    yield b[["query_id", "q"]].assign(cells=order[:, :probes].tolist())
+                    continue
+                reach = np.arccos(np.clip(np.nan_to_num(b["kth"].to_numpy(np.float64), nan=-1.0), -1, 1)) + 1e-6
+                can = (_angles(q, centres) - widest <= reach[:, None]) & (widest >= 0)
+                yield b[["query_id", "q"]].assign(cells=[[int(c) for c in o[probes:] if ok[c]] for o, ok in zip(order, can, strict=True)])
+
+        return run
 
-    probed = queries.select("query_id", "q").mapInPandas(run, "query_id long, q array<float>, cells array<long>").select("query_id", "q", F.explode("cells").alias("cell"))
-    pairs = cells.join(probed, "cell").withColumn("score", v.cosine(F.col("v"), F.col("q")))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+    def search(asked: DataFrame, first: bool) -> DataFrame:
+        probed = asked.mapInPandas(probe(first), "query_id long, q array<float>, cells array<long>").select("query_id", "q", F.explode("cells").alias("cell"))
+        return best(cells.join(probed, "cell").withColumn("score", v.cosine(F.col("v"), F.col("q"))))
+
+    near = search(queries.select("query_id", "q"), True)
+    kth = near.groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("kth"))
+    rest = search(queries.select("query_id", "q").join(kth, "query_id", "left"), False)
+    return best(near.drop("rank").unionByName(rest.drop("rank")))
 
 
 def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: RetrieverConfig = RetrieverConfig()) -> DataFrame:

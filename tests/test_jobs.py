@@ -50,6 +50,15 @@ def test_index_reaches_the_exact_answer(spark):
     assert found == exact
 
 
+@pytest.mark.parametrize(("lists", "probes"), [(20, 10), (100, 10), (30, 1)])
+def test_index_finds_all_with_few_probes(spark, lists, probes):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = {(r.query_id, r.id) for r in retrieval.vector_topk(q, e, k=10).collect()}
+    found = {(r.query_id, r.id) for r in retrieval.ivf_search(q, retrieval.ivf_index(e, lists=lists), k=10, probes=probes).collect()}
+    assert len(found & exact) / len(exact) == 1.0 and len(found) == len(exact)
+
+
 def test_required_and_aligned(spark):
     df = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id int, title string")
     good, bad = corpus.required(df, ["title"])
