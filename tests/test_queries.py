@@ -57,6 +57,12 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_index_asks_for_every_twentieth_row(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    got = catalogue.queries()["ivf_search"](spark, SF).collect()
+    assert sorted(r.query_id for r in got if r["rank"] == 1) == sorted(i for i in ids if i % 20 == 0)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
