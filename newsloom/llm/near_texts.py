@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-#: Two texts of similarity s share no band with probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, 8e-13 at 0.9.
+#: Two texts of similarity s share no band with probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, 4e-13 at 0.9.
 BANDS, ROWS = 32, 5
 
 
