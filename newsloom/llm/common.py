@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.sources.scratch import materialise, scratch_path
+from newsloom.sources.scratch import discard, materialise, scratch_path
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "map_arrow", "materialise", "read_table", "scratch_path", "without"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "discard", "map_arrow", "materialise", "read_table", "scratch_path", "without", "worker_held"]
 
 ASCII_SPACE = " \t\n\u000b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,3 +31,15 @@ def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow for columns of any name: run sees and yields columns called c0, c1, ..."""
     numbered = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, numbered).toDF(*schema.names)
+
+
+def worker_held(name: str, make):
+    """make()'s result, kept for later tasks of the same worker process.
+
+    Functions of this package reach the workers by value, each time with globals of their own, so what
+    is to outlive a task lies in a module that is registered in the process itself.
+    """
+    held = sys.modules.setdefault("_worker_held", types.ModuleType("_worker_held")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

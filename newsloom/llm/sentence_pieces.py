@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import worker_held
 from .tokens import crc32
 
 SPACE = "▁"
@@ -245,12 +245,15 @@ class PieceEncoder:
         return data.decode("utf-8", "replace")
 
 
-def _encoder(model: Pieces) -> PieceEncoder:
+def _shared(spark: SparkSession, model_path: str):
+    """A model's fields, broadcast as plain values: executors have no copy of this package to find a class in."""
+    model = load_pieces(model_path)
+    return spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))  # the vocabulary
+
+
+def _encoder(values: tuple) -> PieceEncoder:
     """One encoder for each worker process and model: its tables outlive tasks and only save time."""
-    held = sys.__dict__.setdefault("_newsloom_pieces", {})
-    if model.name not in held:
-        held[model.name] = PieceEncoder(model)
-    return held[model.name]
+    return worker_held(f"pieces {values[0]}", lambda: PieceEncoder(Pieces(*values)))
 
 
 def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
@@ -267,11 +270,12 @@ def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
         yield keys, texts
 
 
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 20) -> DataFrame:
     """id (long), n_tokens (long), ids (binary: little-endian unsigned 32-bit) of each whole text.
 
     Texts are cut where no piece reaches over (before white space, around line ends). The distinct
-    cuts of a batch are joined and indexed by a suffix array; every piece's occurrences are a range
+    cuts of a batch that a worker has not met yet (a table of bounded size holds the others' ids) are
+    joined and indexed by a suffix array; every piece's occurrences are a range
     of it, found by binary search. The occurrences are the edges of a lattice, sorted by where they
     end and relaxed in that order. The lattice's paths are checked with the model's merge order
     instead of summed scores: a BPE model defines its encoding by merges, and the library's ids are
@@ -280,7 +284,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     Null and empty texts give no ids. Rows are encoded one by one: repeated rows and null ids come
     through; extra columns are ignored. No rows in, no rows out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))  # the vocabulary
+    shared = _shared(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
@@ -294,7 +298,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """id, n_tokens, ids_crc32 (long) and text of encoded rows."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    shared = _shared(encoded.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)

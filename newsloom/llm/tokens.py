@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import worker_held
+
 
 def tokenizer_json(path: str) -> str:
     """The tokenizer file's contents: read once on the driver, then sent to the executors."""
@@ -78,8 +79,8 @@ class Encoder:
     """Encodes texts; letter words and runs of marks met before come from a table of bounded size.
 
     The distinct words between white space of a batch are encoded once. One of plain letters and
-    closing marks is the ids of its letters in lower case, which many words share, and those of its
-    marks; new letter words are encoded as one text and told apart by the model's end-of-word tokens.
+    closing marks is the ids of its letters (in lower case, which many words share, if the tokenizer
+    lower-cases) and those of its marks; new letter words are encoded as one text and told apart by the model's end-of-word tokens.
     """
 
     def __init__(self, definition: str, most: int = 250_000):
@@ -89,6 +90,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.by_word = _splits_at_space(definition)
         self.most = most
+        self.folds = any(n["type"] == "Lowercase" for n in (json.loads(definition).get("normalizer") or {}).get("normalizers", []))
         model = json.loads(definition)["model"]
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool) if suffix and not model.get("unk_token") else None
@@ -120,7 +122,7 @@ class Encoder:
         known = self.parts.places
         heads = pc.ascii_rtrim(words, characters=_MARKS)
         plain = pc.match_substring_regex(heads, _LETTERS) if self.ends is not None else pa.array(np.zeros(len(words), bool))
-        shared = pc.if_else(plain, pc.utf8_lower(heads), words).dictionary_encode()
+        shared = pc.if_else(plain, pc.utf8_lower(heads) if self.folds else heads, words).dictionary_encode()
         names, index = shared.dictionary.to_pylist(), shared.indices.to_numpy()
         letters = np.zeros(len(names), bool)
         plain = plain.to_numpy(zero_copy_only=False)
@@ -170,11 +172,7 @@ def parts_of(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterato
 
 def worker_encoder(definition: str) -> Encoder:
     """One encoder for each worker process and tokenizer: its tables outlive tasks and only save time."""
-    held = sys.__dict__.setdefault("_newsloom_tokens", {})
-    name = hashlib.sha256(definition.encode()).hexdigest()
-    if name not in held:
-        held[name] = Encoder(definition)
-    return held[name]
+    return worker_held(f"tokens {hashlib.sha256(definition.encode()).hexdigest()}", lambda: Encoder(definition))
 
 
 def crc32(ids: np.ndarray) -> int:
