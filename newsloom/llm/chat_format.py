@@ -52,7 +52,7 @@ def format_trees(messages: DataFrame, *, best: int = 1) -> DataFrame:
     first = Window.partitionBy("conv_id", "node").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = messages.select("conv_id", "node", "parent", "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
     rows = rows.filter("node is not null").withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
-    rows = materialise(rows.withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.lit("null conv"))), "chat-rows")
+    rows = materialise(rows.withColumn("c", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))), "chat-rows")
     deepest = max(1, rows.count()).bit_length() + 1
 
     there = rows.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))

@@ -109,6 +109,19 @@ def test_sharding(spark, docs, none, twice):
     assert len(spread) == 16 and max(spread.values()) - min(spread.values()) <= 1
 
 
+def test_shards_do_not_depend_on_the_layout(spark, twice):
+    rows = spark.createDataFrame([(k % 40 if k % 3 else None, "t" * (k % 7)) for k in range(600)], "doc_id long, text string").unionByName(twice)
+    found = [sorted((r.doc_id or -1, r.text or "", r.shard, r.slot) for r in sharding.shard_records(d, shards=4, bucket_bytes=4096).collect()) for d in (rows, rows.repartition(7))]
+    assert found[0] == found[1]
+    assert Counter(x[:2] for x in found[0]) == Counter((r.doc_id or -1, r.text or "") for r in rows.collect())
+
+
+def test_repeated_rows_are_multiplied_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    same = spark.createDataFrame([(1, "same")] * 50 + [(2, "x")], "doc_id long, text string")
+    assert Counter(r.doc_id for r in sharding.shard_records(same).collect()) == {1: 50, 2: 1}
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard_records(docs, shards=4), str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(ROWS)
@@ -246,6 +259,19 @@ def test_chat_round_trip(spark):
     assert chat_format.format_trees(chat_format.chains(frame.limit(0))).count() == 0
 
 
+def test_null_conversation_is_its_own(spark):
+    rows = [(None, 1, "user", "a"), ("null conv", 1, "user", "b"), ("", 1, "user", "c"), (None, 2, "assistant", "d"), (None, 2, "assistant", "d")]
+    back = chat_format.read_back(chat_format.format_trees(chat_format.chains(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")))).collect()
+    assert {r.conv_id: [t.text for t in r.turns] for r in back} == {None: ["a", "d", "d"], "null conv": ["b"], "": ["c"]}
+
+
+def test_repeated_nodes_of_null_conversations(spark):
+    rows = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "b", 1.0), (None, 2, 1, "assistant", "a", 5.0), (7, 1, None, None, None, None), (7, 2, 99, "user", "other root", None)]
+    frame = spark.createDataFrame(rows, "conv_id int, node int, parent int, role string, text string, score double")
+    back = {(r.conv_id, r.branch): [t.text for t in r.turns] for r in chat_format.read_back(chat_format.format_trees(frame, best=3)).collect()}
+    assert back == {(None, 1): ["q", "a"], (7, 1): [""], (7, 2): ["other root"]}
+
+
 def test_trees_are_ranked(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", None), (1, 5, 4, "assistant", "end", 0.5), (1, 6, 7, "user", "loop", 1.0), (1, 7, 6, "user", "loop", 1.0), (1, None, None, "x", "y", 9.0), (1, 3, 1, "zz", "repeat", 0.9)]
     frame = spark.createDataFrame(rows, "conv_id int, node int, parent int, role string, text string, score double")
@@ -290,6 +316,18 @@ def test_other_tokenizers_encode_whole_texts(path):
     assert [x.tolist() for x in encoder.encode([A])] == [ids_by_hand(other, [(0, A)])[0][1][:-1]]
 
 
+def test_case_is_kept_without_a_lowercase_step(path):
+    from tokenizers import Tokenizer
+
+    definition = json.loads(tokens.tokenizer_json(path))
+    definition["normalizer"]["normalizers"] = [n for n in definition["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    cased = json.dumps(definition)
+    encoder, library = tokens.Encoder(cased), Tokenizer.from_str(cased)
+    texts = ["Hello World FOO bar", "hello world foo BAR, Öl", A.upper()]
+    assert encoder.by_word
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_files(spark, docs, none, twice, path):
     rows = sorted(ids_by_hand(path, ROWS))
     got = sorted(token_files.round_trip(docs, path, block=1000).collect(), key=lambda r: r.start)
@@ -549,3 +587,25 @@ def test_suffix_array_ranges():
     low, high = sentence_pieces.occurrence_ranges(codes, order, patterns, np.array(list(map(len, words))))
     for w, a, b in zip(words, low, high, strict=True):
         assert sorted(order[a:b].tolist()) == [k for k in range(len(text)) if text.startswith(w, k)]
+
+
+def test_sentence_pieces_where_workers_lack_the_package(tmp_path):
+    """A driver that has the package on its path alone, started from another folder."""
+    import os
+    import subprocess
+    import sys
+
+    public = pytest.importorskip("public_tokenizers")
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from newsloom.llm import sentence_pieces
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
+model = {public.path("piece_bpe_32k.model")!r}
+print("GOT", sorted((r.id, r.text) for r in sentence_pieces.decode(sentence_pieces.encode(docs, model), model).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "GOT [(1, 'a few words'), (2, '')]" in done.stdout, done.stderr[-2000:]
