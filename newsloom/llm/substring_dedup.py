@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,14 +113,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tupl
             yield held
 
 
-_PIECES = T.StructType([T.StructField(n, t) for n, t in (("core", T.LongType()), ("kind", T.ByteType()), ("body", T.LongType()), ("key", T.LongType()), ("mark", T.IntegerType()), ("pos", T.IntegerType()), ("n", T.IntegerType()))])
-_SPANS = T.StructType(_PIECES.fields[1:2] + _PIECES.fields[3:])
+#: A row that is gone holds the key of its first place in body, and that place's mark and word in first.
+_PIECES = "core long, kind byte, body long, key long, mark int, pos int, n int, first long"
+_SPANS = "kind byte, key long, mark int, pos int, n int, fkey long, fmark int, fpos int"
+_COLUMNS = {schema: [part.split() for part in schema.split(", ")] for schema in (_PIECES, _SPANS)}
 PIECE, GONE, BRANCH = 0, 1, 2
 
 
-def _batch(schema: T.StructType, **cols: np.ndarray) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8()}
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name].view(np.int64) if cols[f.name].dtype == np.uint64 else cols[f.name], kinds[f.dataType.simpleString()]) for f in schema.fields], names=schema.names)
+def _fold(mark: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A place's mark and word as one number."""
+    return (mark.astype(np.int64) << 32) | pos.astype(np.int64)
+
+
+def _batch(schema: str, size: int, **cols: np.ndarray) -> pa.RecordBatch:
+    """Rows of a schema; columns that are not given hold zeros, single numbers are repeated."""
+    kinds = {"long": np.int64, "int": np.int32, "byte": np.int8}
+    out = []
+    for name, kind in _COLUMNS[schema]:
+        x = cols.get(name, 0)
+        x = x.view(np.int64) if isinstance(x, np.ndarray) and x.dtype == np.uint64 else x
+        out.append(pa.array(np.broadcast_to(x, size).astype(kinds[kind])))
+    return pa.RecordBatch.from_arrays(out, names=[name for name, _ in _COLUMNS[schema]])
 
 
 def _cut(window: int, core: int, chunk_bytes: int):
@@ -161,15 +174,19 @@ def _cut(window: int, core: int, chunk_bytes: int):
             heads = np.flatnonzero(~same)[np.cumsum(~same) - 1]
             later = same & ((key != key[heads]) | (mark != mark[heads]) | (pos != pos[heads]))
             stay = ~same
-            yield _batch(_PIECES, core=cores[stay], kind=np.zeros(stay.sum(), np.int8), body=body[stay], key=key[stay], mark=mark[stay], pos=pos[stay], n=n[stay])
+            yield _batch(_PIECES, int(stay.sum()), core=cores[stay], body=body[stay], key=key[stay], mark=mark[stay], pos=pos[stay], n=n[stay])
             if later.any():
-                order = np.lexsort((pos[later], mark[later], key[later]))
-                key, mark, pos, n = (x[later][order] for x in (key, mark, pos, n))
-                heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (pos[1:] != pos[:-1] + n[:-1])])
+                fkey, fmark, fpos = (x[heads][later] for x in (key, mark, pos))
+                key, mark, pos, n = (x[later] for x in (key, mark, pos, n))
+                order = np.lexsort((pos, mark, key))
+                key, mark, pos, n, fkey, fmark, fpos = (x[order] for x in (key, mark, pos, n, fkey, fmark, fpos))
+                goes_on = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1]) & (pos[1:] == pos[:-1] + n[:-1])
+                goes_on &= (fkey[1:] == fkey[:-1]) & (fmark[1:] == fmark[:-1]) & (fpos[1:] == fpos[:-1] + n[:-1])
+                heads = np.flatnonzero(np.r_[True, ~goes_on])
                 n = np.add.reduceat(n, heads)
-                key, mark, pos = key[heads], mark[heads], pos[heads]
+                key, mark, pos, fkey, fmark, fpos = (x[heads] for x in (key, mark, pos, fkey, fmark, fpos))
                 spread = _mix(key.astype(np.uint64) * np.uint64(_ODD[0]) + pos.astype(np.uint64))
-                yield _batch(_PIECES, core=spread, kind=np.full(len(n), GONE, np.int8), body=spread, key=key, mark=mark, pos=pos, n=n)
+                yield _batch(_PIECES, len(n), core=spread, kind=GONE, body=fkey, key=key, mark=mark, pos=pos, n=n, first=_fold(fmark, fpos))
 
     return run
 
@@ -183,10 +200,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # core, body, key, mark, pos of the last body's first piece
     waiting = None  # the first piece of the last core, not sent yet
     for batch in batches:
-        core, kind, body, key, mark, pos, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        core, kind, body, key, mark, pos, n, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         done = kind == GONE
         if done.any():
-            yield _batch(_SPANS, kind=kind[done], key=key[done], mark=mark[done], pos=pos[done], n=n[done])
+            at = place[done]
+            yield _batch(_SPANS, len(at), kind=GONE, key=key[done], mark=mark[done], pos=pos[done], n=n[done], fkey=body[done], fmark=at >> 32, fpos=at & 0xFFFFFFFF)
         core, body, key, mark, pos, n = (x[~done] for x in (core, body, key, mark, pos, n))
         if not len(core):
             continue
@@ -215,11 +233,12 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = None
         out = np.flatnonzero(branch)
         if send:
-            yield _batch(_SPANS, kind=np.array([BRANCH], np.int8), **{c: np.array([v]) for c, v in zip(("key", "mark", "pos", "n"), send[0], strict=True)})
+            yield _batch(_SPANS, 1, kind=BRANCH, **dict(zip(("key", "mark", "pos", "n"), send[0], strict=True)))
         if len(out):
-            yield _batch(_SPANS, kind=np.full(len(out), BRANCH, np.int8), key=key[out], mark=mark[out], pos=pos[out], n=n[out])
+            yield _batch(_SPANS, len(out), kind=BRANCH, key=key[out], mark=mark[out], pos=pos[out], n=n[out])
         if gone.any():
-            yield _batch(_SPANS, kind=np.full(gone.sum(), GONE, np.int8), key=key[gone], mark=mark[gone], pos=pos[gone], n=n[gone])
+            first = heads[gone]
+            yield _batch(_SPANS, len(first), kind=GONE, key=key[gone], mark=mark[gone], pos=pos[gone], n=n[gone], fkey=key[first], fmark=mark[first], fpos=pos[first])
         last = (core[end], body[end], key[end], mark[end], pos[end])
 
 
@@ -231,15 +250,17 @@ def _edges(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for chunk in _chunks(batches, 1 << 22):
+        for chunk in _chunks(batches, 1 << 21):
             words, starts, keys, marks, places = [], [], [], [], []
             for key, mark, text, spans in chunk:
+                own = text.split()
                 at = np.unique(np.concatenate([np.arange(s["pos"], s["pos"] + s["n"]) for s in spans.as_py()]))
+                at = at[at + window <= len(own)]
                 starts.append(at + len(words))
                 keys.append(np.full(len(at), key, np.int64))
                 marks.append(np.full(len(at), mark, np.int32))
                 places.append(at.astype(np.int32))
-                words += text.split()
+                words += own
             sums, at = Spans(known.hashes(words)), np.concatenate(starts)
             h1, h2 = (sums.hash(k, at, at + window).view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *(pa.array(np.concatenate(x)) for x in (keys, marks, places))], names=["h1", "h2", "key", "mark", "pos"])
@@ -247,13 +268,53 @@ def _edges(window: int):
     return run
 
 
+def compacted(spans: DataFrame) -> DataFrame:
+    """Repeated paths that go on in both places become one: spans (key, mark, pos, n, fkey, fmark, fpos) of rising length.
+
+    A span is followed by another if that begins where it ends, here and at the first place. Joins
+    find the spans that follow none and those that none follows; on one pair of texts at one distance
+    the k-th beginning belongs to the k-th end.
+    """
+    line = ["key", "mark", "fkey", "fmark", "far"]
+    each = spans.select("key", "mark", "fkey", "fmark", (F.col("fpos") - F.col("pos")).alias("far"), "pos", (F.col("pos") + F.col("n")).alias("end")).distinct()
+    each = materialise(each, "repeated-spans")
+    order = lambda c: F.row_number().over(Window.partitionBy(*line).orderBy(c)).alias("k")
+    starts = each.select(*line, "pos").join(each.select(*line, F.col("end").alias("pos")), [*line, "pos"], "left_anti").select(*line, "pos", order("pos"))
+    ends = each.select(*line, "end").join(each.select(*line, F.col("pos").alias("end")), [*line, "end"], "left_anti").select(*line, "end", order("end"))
+    whole = starts.join(ends, [*line, "k"])
+    return whole.select("key", "mark", "pos", (F.col("end") - F.col("pos")).alias("n"), "fkey", "fmark", (F.col("far") + F.col("pos")).alias("fpos"))
+
+
+def _digest(words: list[bytes], pos: int, n: int, window: int) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words[pos : pos + n + window - 1]))
+
+
+def _first_words(window: int):
+    """The words at first places: a digest of each span asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, marks, places, sizes, found = [], [], [], [], []
+            for key, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                words = text.as_py().encode("utf-8", "surrogatepass").split()
+                for s in spans.as_py():
+                    keys.append(key), marks.append(mark), places.append(s["pos"]), sizes.append(s["n"])
+                    found.append(_digest(words, s["pos"], s["n"], window))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (marks, places, sizes)), pa.array(found, pa.binary())], names=["fkey", "fmark", "fpos", "n", "words"]
+            )
+
+    return run
+
+
 def _keep(text: bytes, spans: list[dict], window: int, layout: str) -> tuple[str, int, int]:
-    """A text without the words of its spans, its number of words, and of words removed."""
+    """A text without the words of its spans, its number of words, and of words removed; spans whose words are not those of their first place stay."""
     words = text.split()
     change = np.zeros(len(words) + 1, np.int64)
     for s in spans:
-        change[s["pos"]] += 1
-        change[min(len(words), s["pos"] + s["n"] + window - 1)] -= 1
+        if _digest(words, s["pos"], s["n"], window) == s["words"]:
+            change[s["pos"]] += 1
+            change[s["pos"] + s["n"] + window - 1] -= 1
     gone = np.cumsum(change[:-1]) > 0
     if layout == "words":
         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
@@ -265,7 +326,7 @@ def _keep(text: bytes, spans: list[dict], window: int, layout: str) -> tuple[str
     return kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 8, layout: str = "words", chunk_bytes: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 8, layout: str = "words", chunk_bytes: int = 2 << 20) -> DataFrame:
     """Remove each word covered by a window of words that also starts earlier in the corpus.
 
     Windows are the edges of a De Bruijn graph over the words of all texts. Each text is cut into
@@ -273,11 +334,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known by hash. One shuffle by core finds equal paths, of which all but the first place are gone
     as a whole, and paths that share a core but differ, where the graph may branch. Only the first
     places of those are taken apart into single edges, whose first places a second aggregation and
-    join give. Spans of source coordinates then go back to their texts, where overlapping spans
-    close up. Equal paths of a chunk of text are merged before the shuffle, and a core of any
-    number of paths is resolved as a sorted stream that holds one row.
+    join give. Repeated paths and edges that go on in both places are compacted by joins into spans
+    of source coordinates. The words at each span's first place are looked up there; a span goes only
+    if its own words are the same (128 bits of their digest, computed from the words at the
+    coordinates and independent of the hashes that found the span). Equal paths of a chunk of text
+    are merged before the shuffle, and a core of any number of paths is resolved as a sorted stream
+    that holds one row. A collision of hashes can hide a repeat; it cannot remove a word.
 
-    Paths and edges are equal if 128 hash bits are. Judged is the input, not what is left of it.
+    Judged is the input, not what is left of it.
 
     Returns the columns of docs with the text replaced, and n_words and n_removed (long). layout
     "words" joins the kept words by one space; "text" cuts removed words and the space before them.
@@ -302,10 +366,17 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = materialise(lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(_edges(window), _EDGES).distinct(), "branching-edges")
     first = edges.groupBy("h1", "h2").agg(F.min(F.struct("key", "mark", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     first = materialise(first, "first-edges")  # a join of two plain exchanges, which Spark can split where an edge is frequent
-    again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first")).select("key", "mark", "pos", F.lit(1).alias("n"))
-
-    gone = spans.filter(F.col("kind") == GONE).select("key", "mark", "pos", "n").unionByName(again)
-    gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("\u0001spans")).withColumnsRenamed({"key": "key\u0002", "mark": "mark\u0002"})
+    again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first"))
+    again = again.select("key", "mark", "pos", F.lit(1).alias("n"), F.col("first.key").alias("fkey"), F.col("first.mark").alias("fmark"), F.col("first.pos").alias("fpos"))
+
+    paths = spans.filter(F.col("kind") == GONE).select(*again.columns)
+    gone = materialise(compacted(paths.unionByName(again)), "repeated-spans")
+    asked = gone.select("fkey", "fmark", F.struct(F.col("fpos").alias("pos"), "n").alias("s")).distinct().groupBy("fkey", "fmark").agg(F.collect_list("s").alias("spans"))
+    at_first = lean.join(asked.withColumnsRenamed({"fkey": "key", "fmark": "mark"}), ["key", "mark"]).select("key", "mark", "text", "spans")
+    words = at_first.mapInArrow(_first_words(window), "fkey long, fmark int, fpos int, n int, words binary")
+    words = materialise(words.dropDuplicates(["fkey", "fmark", "fpos", "n"]), "first-words")
+    gone = gone.join(words, ["fkey", "fmark", "fpos", "n"])
+    gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n", "words")).alias("\u0001spans")).withColumnsRenamed({"key": "key\u0002", "mark": "mark\u0002"})
     rows = docs.select(*without(docs, ["n_words", "n_removed"]), key.alias("key\u0001"), mark.alias("mark\u0001"))
     names = rows.columns[:-2]
     rows = rows.join(gone, (rows["key\u0001"] == gone["key\u0002"]) & (rows["mark\u0001"] == gone["mark\u0002"]), "left").select(*[F.col(f"`{c}`") for c in names], "\u0001spans")
