@@ -2,34 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from newsloom.operators.components import connected_components
 
-from .common import materialise
-
-
-def _nearest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long) to (v, root): root is the smallest vertex that v reaches, for all v that is not its own root.
-
-    Steps after Kiveris et al. (2014): large-star hangs the larger neighbours of each vertex on its
-    smallest, small-star the smaller ones; both pre-aggregate the smallest neighbour before the
-    shuffle and join it back, so a vertex of many links is a skewed join that Spark can split. Each
-    round is written to the shared folder. Self-links and repeated links do no harm.
-    """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = materialise(now, "links"), None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.filter("v > u").join(_nearest(both).select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.unionByName(now.select("u", "v").groupBy("u").agg(F.min("v").alias("v"))).distinct()
-        near = _nearest(large)
-        small = large.join(near, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = materialise(small, "links")
+__all__ = ["connected_components"]

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings
 from .common import materialise
 from .components import connected_components
 
@@ -58,89 +59,23 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _near(x: np.ndarray, bits: int) -> np.ndarray:
-    """Of differences x: those that share at least 8 - bits positional bytes and differ in at most bits bits."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
-    return (shared >= BYTES - bits) & (np.bitwise_count(x) <= bits)
-
-
-def bucket_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected in one bucket of distinct fingerprints: a tree for each component.
-
-    Each fingerprint reached is compared with those not reached yet, so a dense bucket costs little
-    more than its size and never yields more links than members.
-    """
-    rest, found = np.sort(fps), []
-    while len(rest):
-        todo, rest, root = [rest[0]], rest[1:], int(rest[0])
-        while todo and len(rest):
-            near = _near(rest ^ todo.pop(), bits)
-            if near.any():
-                reached, rest = rest[near], rest[~near]
-                found += [(root, int(v)) for v in reached]
-                todo += list(reached)
-    return found
-
-
-def _bucket_runs(keys: np.ndarray, fps: np.ndarray, bits: int, small: int = 16) -> np.ndarray:
-    """Links within runs of equal keys: pairs at a short distance at once, long runs one by one."""
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    sizes = np.diff(edges)
-    short = np.repeat(sizes <= small, sizes)
-    pairs = []
-    for d in range(1, min(small, int(sizes.max(initial=0)))):
-        at = np.flatnonzero((keys[d:] == keys[:-d]) & short[d:])
-        if not len(at):
-            break
-        at = at[_near(fps[at] ^ fps[at + d], bits)]
-        pairs.append(np.stack([fps[at], fps[at + d]], axis=1))
-    for k in np.flatnonzero(sizes > small):
-        if own := bucket_links(fps[edges[k] : edges[k + 1]], bits):
-            pairs.append(np.array(own, np.uint64))
-    return np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.uint64)
-
-
-def _as_links(found: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
-
-
 def links(distinct: DataFrame, *, bits: int = 4, hot: int = 50_000) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within `bits` bits (4 at most).
 
-    Two such fingerprints differ in at most `bits` bytes, so at least 8 - bits of their positional
-    bytes are equal. The inverted index posts each fingerprint under 20 triples of positional bytes,
-    one of which any 4 shared bytes contain; inside a posting list the shared bytes of pairs are
-    tallied, pairs that reach the guaranteed minimum are kept and their bits counted. A list of over
-    `hot` members is cut into blocks, every two of which meet in a task of their own.
+    Two such fingerprints differ in at most `bits` bytes, so they share 8 - bits positional bytes at
+    least. A posting list holds the fingerprints that are equal in three positional bytes (postings
+    of single bytes, intersected; one byte alone leaves a 256th of all fingerprints in a list): 20
+    triples of positions, one of which lies in any four. In a list the positional bytes that a pair
+    shares are tallied; only pairs that reach the guaranteed minimum have their bits counted. No pair
+    leaves its list but as a link. Lists of over `hot` members are split into blocks.
     """
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees links of up to 4 bits")
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [F.lit(k << 24).cast("long") + F.shiftleft(byte(a), 16) + F.shiftleft(byte(b), 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)]
-    index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = materialise(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot-bytes")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            held_k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            held_f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(held_k):
-                continue
-            cut = int(np.searchsorted(held_k, held_k[-1]))  # the last list may go on
-            if cut:
-                yield _as_links(_bucket_runs(held_k[:cut], held_f[:cut], bits))
-                held_k, held_f = held_k[cut:], held_f[cut:]
-        if len(held_k):
-            yield _as_links(_bucket_runs(held_k, held_f, bits))
-
-    if large.limit(1).count():
-        n_blocks = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-        hot_rows = index.join(large, "key").select("key", "fp", n_blocks.alias("m")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-        meet = hot_rows.select("fp", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"), "key", "mine")
-        meet = meet.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
-        index = index.join(large.select("key"), "key", "left_anti").select("fp", "key").unionByName(meet)
-    return index.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    index = distinct.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("v"), F.col("fp").alias("w"))
+    least = BYTES - bits
+    return postings.links(index, ["w"], lambda x: postings.near(x, least, bits), hot=hot)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, bits: int = 4) -> DataFrame:
