@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, common, graph_ann, line_dedup, near_texts, packing, quality_rules, sharding, simhash, substring_dedup, token_files, tokens
+from newsloom.llm import chat_format, common, graph_ann, line_dedup, near_texts, packing, postings, quality_rules, sharding, simhash, substring_dedup, token_files, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A = "the quick brown fox jumps over the lazy dog and runs far away from here today"
@@ -231,6 +231,28 @@ def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in out.collect()} == substrings_by_hand(rows)
 
 
+def test_words_at_the_first_place_decide(spark, monkeypatch):
+    """With hashes that tell words apart by their first letter only, all paths look alike; none of their words goes."""
+    rows = [(1, " ".join(f"a{k}" for k in range(40))), (2, " ".join(f"a{k}" for k in range(50, 90))), (3, " ".join(f"b{k}" for k in range(30)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def first_letters(self, words):
+        codes = np.array([w[0] for w in words], np.uint64)
+        return codes, codes + np.uint64(1)
+
+    monkeypatch.setattr(substring_dedup._Words, "hashes", first_letters)
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame).collect()} == {1: (40, 0), 2: (40, 0), 3: (30, 0)}
+    monkeypatch.setattr(substring_dedup, "_digest", lambda *_: b"")
+    assert sum(r.n_removed for r in substring_dedup.substring_dedup(frame).collect()) > 40
+
+
+def test_paths_are_compacted_by_joins(spark):
+    spans = [(2, 0, p, 1, 1, 0, p + 3) for p in range(5)] + [(2, 0, 5, 4, 1, 0, 8), (2, 0, 9, 1, 7, 0, 12), (2, 0, 12, 2, 1, 0, 15), (2, 0, 12, 2, 1, 0, 15), (3, 0, 0, 1, 1, 0, 3)]
+    frame = spark.createDataFrame(spans, "key long, mark int, pos int, n int, fkey long, fmark int, fpos int")
+    got = sorted(tuple(r) for r in substring_dedup.compacted(frame).collect())
+    assert got == [(2, 0, 0, 9, 1, 0, 3), (2, 0, 9, 1, 7, 0, 12), (2, 0, 12, 2, 1, 0, 15), (3, 0, 0, 1, 1, 0, 3)]
+
+
 def test_layout_is_kept(spark):
     rows = [(1, f"x {B}"), (2, f"start\n\n{B}  end\n")]
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), layout="text")
@@ -491,8 +513,32 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in last} == {r.doc_id for r in kept[3]}
 
 
-def test_near_texts(spark, docs, none, twice):
-    """Copies at similarities about 0.8 against all pairs; groups of over `few` members and chains included."""
+def near_by_hand(rows, least=0.8):
+    """Component of each row by all pairs of five-word shingle sets."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").translate(str.maketrans(common.UPPER, common.LOWER))
+        w = WORD.findall(w)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: not (a | b) or len(a & b) >= least * len(a | b)
+    left, out = set(range(len(rows))), {}
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            found = {y for y in left if alike(sets[x], sets[y])}
+            left -= found
+            todo += found
+        ids = [rows[x][0] for x in group if rows[x][0] is not None]
+        out |= {x: min(ids, default=None) for x in group}
+    return out
+
+
+@pytest.mark.parametrize("block", [4 << 20, 3000])
+def test_near_texts(spark, docs, none, twice, monkeypatch, block):
+    """Copies at similarities about 0.8 against all pairs; chains, repeated rows and ids included; groups in one block and in many."""
+    monkeypatch.setattr(near_texts, "BLOCK_BYTES", block)
     rng = np.random.default_rng(1)
     rows, base = [(100 + i, t) for i, t in ROWS], [[f"b{g}x{j}" for j in range(200)] for g in range(6)]
     for g, words in enumerate(base):
@@ -501,18 +547,25 @@ def test_near_texts(spark, docs, none, twice):
             for at in rng.choice(200, c // 2, replace=False):
                 copy[at] = f"new{g}x{c}x{at}"
             rows.append((1000 + 100 * g + c, " ".join(copy)))
-    sets = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows if i >= 1000}
-    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert any(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in close)
-    want = {i: i for i in sets}
-    for _ in sets:
-        for a, b in close:
-            want[a] = want[b] = min(want[a], want[b])
+    rows += [(1, B), (1, A), (None, B), (None, None), (7, f"{B} one more")]
+    want = Counter((rows[k][0], near_texts_hash, c) for k, c in near_by_hand(rows).items() for near_texts_hash in [rows[k][1] or ""])
+    assert len({c for (_, _, c), _ in want.items()}) < len(rows) - 50
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.id: r.component for r in near_texts.near_duplicates(frame).collect()}
-    assert {i: c for i, c in got.items() if i >= 1000} == want
-    assert {i - 100 for i, c in got.items() if c == 106} == {6, 7, 8} and got[109] == got[110] == 109
-    assert near_texts.near_duplicates(none).count() == 0 and near_texts.near_duplicates(twice).count() == twice.count()
+    names = {r.v: r.text for r in frame.select(near_texts.text_hash(F.col("text")).alias("v"), F.coalesce("text", F.lit("")).alias("text")).collect()}
+    assert Counter((r.id, names[r.v], r.component) for r in near_texts.near_duplicates(frame).collect()) == want
+    assert near_texts.near_duplicates(none).count() == 0
+
+
+def test_no_count_or_verification_no_exactness(spark):
+    """Without the tally, or without the bits, more pairs of a posting list go on; the links that are right do not change."""
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+    flips = lambda n: sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    prints = np.unique(np.concatenate([centre ^ np.array([flips(n)], np.uint64) for n in rng.integers(0, 9, 400)]))
+    x = (prints[:, None] ^ prints[None, :])[..., None]
+    tallied, bits = postings.tally(x) >= 4, np.bitwise_count(x).sum(axis=-1) <= 4
+    assert (postings.near(x, 4, 4) == bits).all() and (bits <= tallied).all()
+    assert bits.sum() < tallied.sum() < x.size
 
 
 def test_pipeline_drops_near_copies(spark):
