@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.sources.scratch import discard, materialise, scratch_path
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "discard", "map_arrow", "materialise", "read_table", "scratch_path", "without", "worker_held"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "discard", "map_arrow", "materialise", "read_table", "scratch_path", "trimmed", "without", "worker_held"]
 
 ASCII_SPACE = " \t\n\u000b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +33,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow for columns of any name: run sees and yields columns called c0, c1, ..."""
     numbered = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, numbered).toDF(*schema.names)
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(trimmed(run), numbered).toDF(*schema.names)
 
 
 def worker_held(name: str, make):
@@ -43,3 +46,19 @@ def worker_held(name: str, make):
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def trimmed(run):
+    """run for mapInArrow, after which the worker hands free memory back: workers wait for their next task beside others that work."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return each

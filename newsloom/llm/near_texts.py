@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .common import discard, materialise
+from .common import discard, materialise, trimmed
 from .components import connected_components
 
 #: Posting lists a text is in: one for each of as many pairs of positional bytes of its fingerprint.
@@ -66,7 +66,7 @@ def _fingerprints(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
             carried = np.ascontiguousarray(prints[:, : 8 * CARRIED]).view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *[pa.array(np.ascontiguousarray(carried[:, k])) for k in range(CARRIED)]], names=["v", "keys", *words])
 
-    return texts.select("v", "text").mapInArrow(run, "v long, keys array<int>, " + ", ".join(f"{w} long" for w in words))
+    return texts.select("v", "text").mapInArrow(trimmed(run), "v long, keys array<int>, " + ", ".join(f"{w} long" for w in words))
 
 
 def similar_links(names: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -117,7 +117,7 @@ def _verified(members: DataFrame, shingle: int, seed: int, least: float) -> Data
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    return members.select("key", "v", "text").repartition("key").sortWithinPartitions("key", "v").mapInArrow(run, "a long, b long")
+    return members.select("key", "v", "text").repartition("key").sortWithinPartitions("key", "v").mapInArrow(trimmed(run), "a long, b long")
 
 
 def similar_roots(texts: DataFrame, *, shingle: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:

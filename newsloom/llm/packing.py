@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 from .tokens import crc32, parts_of, shared_definition, worker_encoder
 
 
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[: len(names)]], names=names)
 
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(off)], names=[*columns, "sequence_id", "offset"])
 
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(trimmed(place), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, trimmed
 
 
 def tally(x: np.ndarray) -> np.ndarray:
@@ -106,4 +106,4 @@ def links(index: DataFrame, words: list[str], accept: Accept, *, hot: int = 50_0
         index = index.join(large.select("key"), "key", "left_anti").select(*columns).unionByName(meet)
     else:
         discard(large)
-    return index.select(*columns).repartition("key").sortWithinPartitions("key", "v").mapInArrow(run, "a long, b long")
+    return index.select(*columns).repartition("key").sortWithinPartitions("key", "v").mapInArrow(trimmed(run), "a long, b long")

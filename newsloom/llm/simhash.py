@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .common import materialise
+from .common import materialise, trimmed
 from .components import connected_components
 
 BYTES = 8
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = np.array([fingerprint(x.as_py(), shingle=shingle, seed=seed) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "id long, fp long")
 
 
 def links(distinct: DataFrame, *, bits: int = 4, hot: int = 50_000) -> DataFrame:

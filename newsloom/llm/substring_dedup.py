@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialise, without
+from .common import map_arrow, materialise, trimmed, without
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -276,11 +276,12 @@ def compacted(spans: DataFrame) -> DataFrame:
     the k-th beginning belongs to the k-th end.
     """
     line = ["key", "mark", "fkey", "fmark", "far"]
-    each = spans.select("key", "mark", "fkey", "fmark", (F.col("fpos") - F.col("pos")).alias("far"), "pos", (F.col("pos") + F.col("n")).alias("end")).distinct()
+    each = spans.select("key", "mark", "fkey", "fmark", (F.col("fpos") - F.col("pos")).alias("far"), "pos", (F.col("pos") + F.col("n")).alias("end"))
     each = materialise(each, "repeated-spans")
     order = lambda c: F.row_number().over(Window.partitionBy(*line).orderBy(c)).alias("k")
-    starts = each.select(*line, "pos").join(each.select(*line, F.col("end").alias("pos")), [*line, "pos"], "left_anti").select(*line, "pos", order("pos"))
-    ends = each.select(*line, "end").join(each.select(*line, F.col("pos").alias("end")), [*line, "end"], "left_anti").select(*line, "end", order("end"))
+    # distinct on the join's own keys: spans of repeated rows meet there without another shuffle
+    starts = each.select(*line, "pos").join(each.select(*line, F.col("end").alias("pos")), [*line, "pos"], "left_anti").distinct().select(*line, "pos", order("pos"))
+    ends = each.select(*line, "end").join(each.select(*line, F.col("pos").alias("end")), [*line, "end"], "left_anti").distinct().select(*line, "end", order("end"))
     whole = starts.join(ends, [*line, "k"])
     return whole.select("key", "mark", "pos", (F.col("end") - F.col("pos")).alias("n"), "fkey", "fmark", (F.col("far") + F.col("pos")).alias("fpos"))
 
@@ -358,12 +359,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mark = (F.crc32(text.cast("binary")) - (1 << 31)).cast("int")
     lean = docs.select(key.alias("key"), mark.alias("mark"), text.alias("text"))
 
-    cut = lean.mapInArrow(_cut(window, core, chunk_bytes), _PIECES)
+    cut = lean.mapInArrow(trimmed(_cut(window, core, chunk_bytes)), _PIECES)
     order = ["core", "kind", "body", "key", "mark", "pos"]
-    spans = materialise(cut.repartition("core").sortWithinPartitions(*order).mapInArrow(_resolve, _SPANS), "repeated-paths")
+    spans = materialise(cut.repartition("core").sortWithinPartitions(*order).mapInArrow(trimmed(_resolve), _SPANS), "repeated-paths")
 
     fork = spans.filter(F.col("kind") == BRANCH).groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    edges = materialise(lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(_edges(window), _EDGES).distinct(), "branching-edges")
+    edges = materialise(lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(trimmed(_edges(window)), _EDGES).distinct(), "branching-edges")
     first = edges.groupBy("h1", "h2").agg(F.min(F.struct("key", "mark", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     first = materialise(first, "first-edges")  # a join of two plain exchanges, which Spark can split where an edge is frequent
     again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first"))
@@ -373,7 +374,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = materialise(compacted(paths.unionByName(again)), "repeated-spans")
     asked = gone.select("fkey", "fmark", F.struct(F.col("fpos").alias("pos"), "n").alias("s")).distinct().groupBy("fkey", "fmark").agg(F.collect_list("s").alias("spans"))
     at_first = lean.join(asked.withColumnsRenamed({"fkey": "key", "fmark": "mark"}), ["key", "mark"]).select("key", "mark", "text", "spans")
-    words = at_first.mapInArrow(_first_words(window), "fkey long, fmark int, fpos int, n int, words binary")
+    words = at_first.mapInArrow(trimmed(_first_words(window)), "fkey long, fmark int, fpos int, n int, words binary")
     words = materialise(words.dropDuplicates(["fkey", "fmark", "fpos", "n"]), "first-words")
     gone = gone.join(words, ["fkey", "fmark", "fpos", "n"])
     gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n", "words")).alias("\u0001spans")).withColumnsRenamed({"key": "key\u0002", "mark": "mark\u0002"})

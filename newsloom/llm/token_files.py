@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import materialise, scratch_path, trimmed
 from .tokens import crc32, encode_documents, id_width, tokenizer_json
 
 #: Symbols between two bit offsets of a block.
@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["symbol", "n"])
 
-    counts = plain.select("ids").mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    counts = plain.select("ids").mapInArrow(trimmed(count), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     top = max(counts.column("symbol").to_pylist(), default=0) + 1
     dense = np.zeros(top, np.int64)
     dense[counts.column("symbol").to_numpy()] = counts.column("n").to_numpy()
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     # ranges are found from samples of the keys: a hash stands for the ids there
     keyed = plain.select("id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(F.col("id").asc_nulls_first(), "h")
     ordered = keyed.sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "ids").select("id", "ids")
-    ordered.mapInArrow(write, _FILE).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(trimmed(write), _FILE).write.parquet(f"{path}/blocks")
     spark.read.schema(_FILE).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 
 
@@ -196,7 +196,7 @@ def read_token_files(spark: SparkSession, path: str, *, digest: bool = False) ->
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("shard", before.alias("before"))  # a row for each written file
     blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks").join(F.broadcast(starts), "shard")
-    return blocks.select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(decode, f"id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
+    return blocks.select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(trimmed(decode), f"id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, *, digest: bool = False, **options) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_held
+from .common import trimmed, worker_held
 
 
 def tokenizer_json(path: str) -> str:
@@ -200,7 +200,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, i
                 ids = [np.r_[x, np.uint32(end_id)].astype(width) for x in encoder.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
 
 
 def id_width(definition: str) -> str:
