@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
 from newsloom.functions import vectors as v
-from newsloom.operators import corpus, ledger, retrieval, taxonomy
+from newsloom.operators import corpus, ledger, ranks, retrieval, taxonomy
 from newsloom.sources import tables
 
 from .catalogue import register
@@ -245,8 +245,8 @@ def status_tally(spark, sf_dir):
 
 @register("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
+    p = ranks.percentiles(_t(spark, sf_dir, "events"), by=["event_type"], value="value", shares={"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")])
 
 
 @register(_LEDGER + "SELECT model_id, round(sum(input_tokens / 1e6 * 0.25 + output_tokens / 1e6 * 1.25), 9)::DOUBLE AS cost, round(30 * sum(input_tokens / 1e6 * 0.25 + output_tokens / 1e6 * 1.25) / count(DISTINCT day), 9)::DOUBLE AS monthly FROM ledger GROUP BY 1")
@@ -387,13 +387,13 @@ def chunk_paragraph(spark, sf_dir):
     """
     WITH c AS (SELECT doc_id, length(substring(text, s + 1, 1000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 800)) AS s FROM documents WHERE length(text) > 0)),
     d AS (SELECT doc_id, count(*) AS k FROM c GROUP BY 1)
-    SELECT (SELECT round(avg(n), 6) FROM c) AS mean_length, (SELECT quantile_cont(n, 0.5)::DOUBLE FROM c) AS median_length, round(avg(k), 6) AS mean_chunks, round(stddev_samp(k), 6) AS std_chunks FROM d
+    SELECT (SELECT round(avg(n), 6) FROM c) AS mean_length, (SELECT quantile_cont(n, 0.5)::DOUBLE FROM c) AS median_length, (SELECT min(n) FROM c) AS min_length, (SELECT max(n) FROM c) AS max_length, min(k) AS min_chunks, max(k) AS max_chunks, round(avg(k), 6) AS mean_chunks, round(stddev_samp(k), 6) AS std_chunks FROM d
     """
 )
 def chunk_stats(spark, sf_dir):
     chunks = retrieval.chunk_fixed(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    sizes = chunks.agg(F.round(F.avg(F.length("content")), 6).alias("mean_length"), F.percentile(F.length("content"), 0.5).alias("median_length"))
-    per = chunks.groupBy("id").count().agg(F.round(F.avg("count"), 6).alias("mean_chunks"), F.round(F.stddev_samp("count"), 6).alias("std_chunks"))
+    sizes = chunks.agg(F.round(F.avg(F.length("content")), 6).alias("mean_length"), F.percentile(F.length("content"), 0.5).alias("median_length"), F.min(F.length("content").cast("long")).alias("min_length"), F.max(F.length("content").cast("long")).alias("max_length"))
+    per = chunks.groupBy("id").count().agg(F.min("count").alias("min_chunks"), F.max("count").alias("max_chunks"), F.round(F.avg("count"), 6).alias("mean_chunks"), F.round(F.stddev_samp("count"), 6).alias("std_chunks"))
     return sizes.join(F.broadcast(per))
 
 
