@@ -53,6 +53,37 @@ def f1_by_label(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def averages(by_label: DataFrame) -> DataFrame:
+    """One row from f1_by_label(): macro and support-weighted precision, recall and F1."""
+    total = F.sum("support").cast("double")
+    out = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    out += [F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), total), F.lit(0.0)).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return by_label.agg(*out)
+
+
+def accuracy_by_level(rows: DataFrame, levels: dict[str, tuple[str, str]]) -> DataFrame:
+    """level, accuracy, n for each (truth, prediction) pair of columns; rows without a true label do not count, one without a prediction is wrong."""
+    sides = [F.struct(F.lit(k).alias("level"), F.col(a).cast("string").alias("truth"), F.col(b).cast("string").alias("pred")) for k, (a, b) in levels.items()]
+    each = rows.select(F.explode(F.array(*sides)).alias("s")).select("s.*").filter("truth is not null")
+    return each.groupBy("level").agg(F.avg(F.coalesce((F.col("truth") == F.col("pred")).cast("double"), F.lit(0.0))).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def mean_over_queries(per_query: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """Means of measures by query; null measures count as 0."""
+    return per_query.groupBy(*(by or [])).agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in measures], F.count(F.lit(1)).alias("n_queries"))
+
+
+def search_report(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row over all queries (query_id, expected): share whose best result has the expected category, mean best score, mean number of results.
+
+    results: query_id, rank, score, category. Queries without results count with score and number 0.
+    """
+    own = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min_by("category", "rank").alias("category"))
+    rows = queries.select("query_id", "expected").join(own, "query_id", "left")
+    match = F.coalesce((F.col("category") == F.col("expected")).cast("double"), F.lit(0.0))
+    return rows.agg(F.avg(match).alias("match_rate"), F.avg(F.coalesce("top", F.lit(0.0))).alias("mean_top_score"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_results"))
+
+
 def agreement(a: Column, b: Column, c: Column) -> Column:
     n = F.size(F.array_distinct(F.array(a, b, c)))
     return F.when(n == 1, "total").when(n == 2, "partial").otherwise("none")
@@ -70,20 +101,52 @@ def wilson(ok: Column, n: Column, z: float = 1.959963984540054) -> Column:
     return F.struct(((mid - span) / (1 + F.lit(z * z) / n)).alias("low"), ((mid + span) / (1 + F.lit(z * z) / n)).alias("high"))
 
 
+def _upper_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of a binomial."""
+    from math import exp, lgamma, log
+
+    if p <= 0 or p >= 1:
+        return float(k <= 0 or p >= 1)
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    top = max(logs, default=0.0)
+    return exp(top) * sum(exp(x - top) for x in logs)
+
+
+def exact_interval(ok: int, n: int, *, confidence: float = 0.95, steps: int = 60) -> tuple[float, float]:
+    """Exact binomial (Clopper and Pearson) interval for ok of n, by bisection on the binomial tails."""
+    half = (1 - confidence) / 2
+
+    def root(k: int, target: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _upper_tail(k, n, mid) < target else (low, mid)
+        return (low + high) / 2
+
+    return (0.0 if ok == 0 else root(ok, half)), (1.0 if ok == n else root(ok + 1, 1 - half))
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def binomial_interval(ok: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """exact_interval() of counts that are aggregated already: a row for each group."""
+    return pd.DataFrame([exact_interval(int(a), int(b)) if b else (0.0, 1.0) for a, b in zip(ok, n, strict=True)], columns=["low", "high"])
+
+
 def grams(tokens: Column, n: int) -> Column:
     size = F.size(tokens)
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def rouge_n(pairs: DataFrame, *, n: int, key: str = "id") -> DataFrame:
-    """ROUGE-n F1 of (key, candidate, reference), from multisets of n-grams."""
+    """ROUGE-n F1 of (key, candidate, reference), from multisets of n-grams; 0 without any."""
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = pairs.select(key, grams(words("candidate"), n).alias("c"), grams(words("reference"), n).alias("r"))
-    sizes = rows.select(key, F.size("c").alias("nc"), F.size("r").alias("nr"))
-    count = lambda c: rows.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(f"n_{c}"))
-    both = count("c").join(count("r"), [key, "g"]).groupBy(key).agg(F.sum(F.least("n_c", "n_r")).alias("hit"))
-    f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.coalesce("hit", F.lit(0)), (F.col("nc") + F.col("nr")).cast("double")), F.lit(0.0))
-    return sizes.join(both, key, "left").select(key, f1.alias(f"rouge_{n}"))
+    side = lambda c, a, b: F.struct(words(c).alias("words"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    # one pass over the texts: words are cut before the sides are exploded, grams after
+    sides = pairs.select(key, F.explode(F.array(side("candidate", 1, 0), side("reference", 0, 1))).alias("s"))
+    each = sides.select(key, "s.a", "s.b", F.explode_outer(grams(F.col("s.words"), n) if n > 1 else F.col("s.words")).alias("g"))
+    counts = each.groupBy(key, "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("real", F.col("g").isNotNull().cast("int"))
+    sums = counts.groupBy(key).agg(F.sum(F.least("a", "b") * F.col("real")).alias("hit"), F.sum((F.col("a") + F.col("b")) * F.col("real")).alias("all"))
+    return sums.select(key, F.coalesce(F.try_divide(F.lit(2.0) * F.col("hit"), F.col("all").cast("double")), F.lit(0.0)).alias(f"rouge_{n}"))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

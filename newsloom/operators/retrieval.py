@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,23 +118,109 @@ def enrich_chunk(content: Column, context: Column) -> Column:
     return F.concat(F.lit("Contexto: "), context, F.lit("\n\n"), content)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, score=v.cosine, blocks: int = 64) -> DataFrame:
-    """Exact top k items for each of a stated set of queries (query_id, q); items: id, v.
+def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, item_block: int = 16_384, query_block: int = 1024) -> DataFrame:
+    """Exact top k items by cosine similarity for each of a stated set of queries (query_id, q); items: id, v.
 
-    Items are dealt into blocks by hash, the stated queries go to every block, and each task keeps
-    k rows a query (a group limit below the exchange) before scores are shuffled.
+    Items and queries are dealt by hash into blocks whose number follows from the row counts; each
+    pair of blocks is one matrix product that gives k rows a query, so no pair of rows is ever a row.
+    Vectors of another length, null or zero vectors take no part; null numbers in one count as 0.
+    Ties go to the smaller id.
     """
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = dealt.join(asked, "block").filter(F.size("v") == F.size("q")).withColumn("score", score(F.col("v"), F.col("q")))
+    n_items, n_queries = items.count(), queries.count()
+    columns, rows = max(1, -(-n_items // item_block)), max(1, -(-n_queries // query_block))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda c: F.coalesce(c.cast("array<double>"), F.array().cast("array<double>"))
+    dealt = items.select("id", number(F.col("v")).alias("v"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("x")).withColumn("y", spread(rows))
+    asked = queries.select("query_id", number(F.col("q")).alias("q"), F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("y")).withColumn("x", spread(columns))
+
+    def unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+        x = np.nan_to_num(np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, dim), nan=0.0)
+        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norms, out=np.full_like(x, np.nan), where=norms > 0)
+
+    def best(own: pa.Table, stated: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if own.num_rows and stated.num_rows and (own.column("dim")[0].as_py() or 0) > 0:
+            dim = own.column("dim")[0].as_py()
+            ids, x = own.column("id").to_numpy(), unit(own.column("v"), dim)
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            ids, x = ids[~np.isnan(x[:, 0])], x[~np.isnan(x[:, 0])]
+            names, q = stated.column("query_id").to_numpy(), unit(stated.column("q"), dim)
+            names, q = names[~np.isnan(q[:, 0])], q[~np.isnan(q[:, 0])]
+            for at in range(0, len(q) if len(x) else 0, 64):
+                scores = q[at : at + 64] @ x.T
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out.append((np.repeat(names[at : at + 64], top.shape[1]), ids[top].reshape(-1), np.take_along_axis(scores, top, 1).reshape(-1)))
+        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+
+    keys = ["dim", "x", "y"]
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+
+def class_similarity(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Mean cosine similarity of each query (query_id, q, label) to its class (itself left out) and to all else: query_id, intra, inter.
+
+    The mean over a class is the product with the class's mean unit vector, so classes are summed
+    once, by place in the vector, and no query meets an item. items: v, label. Zero and null vectors
+    take no part.
+    """
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    units = lambda d, c: d.withColumn("_u", F.col(c).cast("array<double>")).withColumn("_n", norm(F.col("_u"))).filter("_n > 0").withColumn("_u", F.transform("_u", lambda x: x / F.col("_n")))
+    each = units(items, "v").select("label", F.size("_u").alias("dim"), F.posexplode("_u").alias("p", "x"))
+    sums = each.groupBy("label", "dim", "p").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    vector = lambda d, by, n, s: d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias(s), F.max("n").alias(n))
+    own = vector(sums, ["label", "dim"], "n_own", "own")
+    whole = vector(sums.groupBy("dim", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")), ["dim"], "n_all", "all")
+    q = units(queries, "q").select("query_id", "label", F.col("_u").alias("u"), F.size("_u").alias("dim"))
+    rows = q.join(whole, "dim").join(own, ["label", "dim"], "left")
+    to_own = F.coalesce(v.inner_product(F.col("u"), F.col("own")), F.lit(0.0))
+    n_own = F.coalesce("n_own", F.lit(0))
+    intra = F.try_divide(to_own - 1, (n_own - 1).cast("double"))
+    inter = F.try_divide(v.inner_product(F.col("u"), F.col("all")) - to_own, (F.col("n_all") - n_own).cast("double"))
+    return rows.select("query_id", intra.alias("intra"), inter.alias("inter"))
+
+
+def grouped_documents(chunks: DataFrame, documents: DataFrame, *, filters: dict[str, object] | None = None) -> DataFrame:
+    """Chunks with their document's columns, an equi-join on document_id; filters that are None do not filter.
+
+    chunks: document_id and more; documents: id and more.
+    """
+    for column, value in (filters or {}).items():
+        if value is not None:
+            documents = documents.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
+    return chunks.join(documents.withColumnRenamed("id", "document_id"), "document_id")
+
+
+def linear_fusion(first: DataFrame, second: DataFrame, *, alpha: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """alpha * first score + (1 - alpha) * second score of (id, score); a score that is missing is 0."""
+    keys = [*(by or []), "id"]
+    a, b = first.select(*keys, F.col("score").alias("_a")), second.select(*keys, F.col("score").alias("_b"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return a.join(b, keys, "full_outer").select(*keys, (F.lit(alpha) * zero("_a") + F.lit(1 - alpha) * zero("_b")).alias("score"))
 
 
 def _is(term: str):
     return lambda w: w == F.lit(term)
 
 
+def stemmed_match(docs: DataFrame, question: str) -> DataFrame:
+    """fulltext_match() at language level: the question's and the texts' words are normalised, without stop words and stemmed.
+
+    A question of stop words only matches nothing.
+    """
+    terms = sorted(set(docs.sparkSession.range(1).select(t.search_terms(F.lit(question)).alias("x")).first().x))
+    words = docs.select("id", t.search_terms("text").alias("words"))
+    marks = F.array(*[F.lit(x) for x in terms]).cast("array<string>")
+    # the words are cut and stemmed before they are counted: a generator keeps the two projections apart
+    each = words.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.when(F.array_contains(marks, F.col("word")), F.col("n")).otherwise(0)).alias("hits"), F.count_if(F.array_contains(marks, F.col("word"))).alias("present"))
+    return rows.filter((F.col("present") == len(terms)) & F.lit(bool(terms))).select("id", "hits", (F.col("hits") / (F.lit(1.0) + F.log(F.col("n").cast("double")))).alias("rank_score"))
+
+
 def fulltext_match(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents (id, text) that hold all terms, ranked by how often: id, hits, rank_score (hits over 1 + ln of words)."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -186,10 +273,19 @@ def with_recency(rows: DataFrame, *, now: str, weight: float | None = None, quer
     return rows.withColumn("recency", v.recency(days)).withColumn("final_score", (F.lit(1.0) - w) * F.col("similarity") + w * F.col("recency"))
 
 
-def dual_index(old: DataFrame, recent: DataFrame, *, k: int) -> DataFrame:
-    """Top k of each index, then of both."""
-    top = lambda d: d.orderBy(F.desc("score"), "id").limit(k)
-    return top(top(old).unionByName(top(recent)))
+def by_age(items: DataFrame, days: Column, *, recent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """Items for the index of old ones and for that of recent ones; items without an age are old."""
+    return items.filter(F.coalesce(days > recent, F.lit(True))), items.filter(days <= recent)
+
+
+def dual_index(old: DataFrame, recent: DataFrame, *, k: int, by: list[str] | None = None) -> DataFrame:
+    """Top k of each index, then of both, for each of by (all rows are one query without it)."""
+    if not by:
+        top = lambda d: d.orderBy(F.desc("score"), "id").limit(k)
+        return top(top(old).unionByName(top(recent)))
+    rank = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
+    best = lambda d: d.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return best(best(old).unionByName(best(recent)))
 
 
 def rerank(candidates: DataFrame, query: str, *, k: int = 10) -> DataFrame:
@@ -309,6 +405,29 @@ def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: Re
     return one(vector_ranking, "vector").unionByName(one(text_ranking, "fulltext")).unionByName(one(hybrid_search(vector_ranking, text_ranking, config), "hybrid"))
 
 
+def answer(question: str, chunks: DataFrame, answer_with, *, cache: DataFrame | None = None, now: str, seconds: int = 3600, budget_chars: int = 32_000, least_score: float = 0.0, kind: str = "default") -> dict:
+    """The query endpoint as a function: question and scored chunks in; answer, sources, cached and the key to store the answer under out.
+
+    answer_with(prompt) is the model. An answer in the cache (key, answer, stored_at) that is younger
+    than `seconds` and was drawn from the same documents is given again. What comes to the driver is
+    one prompt and its sources, both within the budget.
+    """
+    best = best_chunk(chunks.filter((F.col("score") >= least_score) & (F.length("content") > 0)))
+    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=budget_chars).withColumn("one", F.lit(1))
+    packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
+    sources = [r.asDict() for r in packed.select("rank", "id", "title", "score").orderBy("rank").collect()]
+    spark = chunks.sparkSession
+    key = spark.range(1).select(answer_key(F.lit(question), F.array(*[F.lit(s["id"]) for s in sources]).cast("array<string>")).alias("k")).first().k
+    if cache is not None:
+        hit = cached_answers(spark.createDataFrame([(key,)], "key long"), cache.filter(F.col("key") == key), now=now, seconds=seconds).first()
+        if hit.answer is not None:
+            return {"answer": hit.answer, "sources": sources, "cached": True, "key": key}
+    if not sources:
+        return {"answer": None, "sources": [], "cached": False, "key": key}
+    prompt = answer_context(chunks, question=question, budget_chars=budget_chars, least_score=least_score, kind=kind).first().prompt
+    return {"answer": answer_with(prompt), "sources": sources, "cached": False, "key": key}
+
+
 def answer_key(query: Column, ids: Column) -> Column:
     """Cache key of an answer: the question and the documents it was drawn from."""
     return F.xxhash64(query, F.array_join(ids.cast("array<string>"), ","))
@@ -324,11 +443,12 @@ def cached_answers(asked: DataFrame, cache: DataFrame, *, now: str, seconds: int
 def answer_context(chunks: DataFrame, *, question: str, budget_chars: int = 32_000, least_score: float = 0.0, kind: str = "default") -> DataFrame:
     """From scored chunks (document_id, chunk_index, title, published_at, content, score) to one prompt.
 
-    Low scores drop out, the best chunk of each document stays, sources are numbered by score and
-    packed up to the budget; the prompt is one row.
+    Low scores and empty contents drop out, the best chunk of each document stays, sources are
+    numbered by score and packed up to the budget; the prompt is one row. A source holds a character
+    at least, so no more than budget_chars of them can fit.
     """
-    best = best_chunk(chunks.filter(F.col("score") >= least_score))
-    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=50).withColumn("one", F.lit(1))
+    best = best_chunk(chunks.filter((F.col("score") >= least_score) & (F.length("content") > 0)))
+    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=budget_chars).withColumn("one", F.lit(1))
     packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
     block = context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content"))
     joined = packed.groupBy("one").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_sources"))

@@ -35,13 +35,13 @@ _SLUG = f"trim(regexp_replace({_norm('name')}, '[^a-z0-9]+', '-', 'g'), '-')"
 
 @register(
     f"""
-    WITH n AS (SELECT p_partkey::BIGINT AS id, p_name AS name FROM part UNION ALL SELECT -item_id - 1, text[:120] FROM benchmark), s AS (SELECT id, name, {_SLUG} AS slug FROM n)
+    WITH n AS (SELECT p_partkey::BIGINT AS id, p_name AS name FROM part UNION ALL SELECT -item_id - 1, text FROM benchmark), s AS (SELECT id, name, {_SLUG} AS slug FROM n)
     SELECT id, slug, CASE WHEN length('dgb_' || slug) <= 64 THEN 'dgb_' || slug ELSE 'dgb_' || rtrim(slug[:52], '-') || '_' || sha1(name)[:6] END AS entity_id FROM s
     """
 )
 def slug_mint(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
-    long_names = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((-F.col("item_id") - 1).alias("id"), F.substring("text", 1, 120).alias("name"))
+    long_names = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((-F.col("item_id") - 1).alias("id"), F.col("text").alias("name"))
     return part.unionByName(long_names).select("id", t.slugify("name").alias("slug"), t.mint_id("name").alias("entity_id"))
 
 

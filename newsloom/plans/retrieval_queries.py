@@ -17,16 +17,16 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Five stated queries (ids 0, 100, .., 400) and all items."""
+    """The stated queries, every row whose id is divisible by 20, and all items."""
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    stated = e.filter(F.col("id").isin(0, 100, 200, 300, 400)).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("q_label"))
+    stated = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("q_label"))
     return stated, e
 
 
 _SCORED = """
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.label = e.label AS same, q.vec_id <> e.vec_id AS other,
                   list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
-           FROM embeddings q JOIN embeddings e ON q.vec_id IN (0, 100, 200, 300, 400))
+           FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0)
 """
 
 
@@ -58,20 +58,22 @@ def vector_distances(spark, sf_dir):
 )
 def intra_inter_similarity(spark, sf_dir):
     q, e = _vectors(spark, sf_dir)
-    s = e.join(q, F.size("v") == F.size("q")).select("query_id", "id", v.cosine(F.col("v"), F.col("q")).alias("score"), (F.col("label") == F.col("q_label")).alias("same"))
-    intra, inter = F.avg(F.when(F.col("same") & (F.col("id") != F.col("query_id")), F.col("score"))), F.avg(F.when(~F.col("same"), F.col("score")))
-    return s.groupBy("query_id").agg(F.round(intra, 6).alias("intra"), F.round(inter, 6).alias("inter"), F.round(intra - inter, 6).alias("gap"))
+    s = retrieval.class_similarity(q.withColumnRenamed("q_label", "label"), e.select("v", "label"))
+    return s.select("query_id", F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"), F.round(F.col("intra") - F.col("inter"), 6).alias("gap"))
 
 
 @register(
     _SCORED
-    + """, o AS (SELECT id, score FROM s WHERE query_id = 0 AND id % 7 <> 0 ORDER BY score DESC, id LIMIT 20), r AS (SELECT id, score FROM s WHERE query_id = 0 AND id % 7 = 0 ORDER BY score DESC, id LIMIT 20)
-    SELECT id, round(score, 6) AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM r) ORDER BY score DESC, id LIMIT 20"""
+    + """, n AS (SELECT max(vec_id) AS top FROM embeddings), p AS (SELECT query_id, id, score FROM s, n QUALIFY row_number() OVER (PARTITION BY query_id, top - id <= 90 ORDER BY score DESC, id) <= 20)
+    SELECT query_id, id, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20"""
 )
 def dual_index_union(spark, sf_dir):
+    """An index of the items of the last 90 days (ids stand for days) and one of the older ones, searched apart."""
     q, e = _vectors(spark, sf_dir)
-    s = e.join(q.filter("query_id = 0"), F.size("v") == F.size("q")).select("id", v.cosine(F.col("v"), F.col("q")).alias("score"))
-    return retrieval.dual_index(s.filter("id % 7 <> 0"), s.filter("id % 7 = 0"), k=20).select("id", F.round("score", 6).alias("score"))
+    ages = e.join(F.broadcast(e.agg(F.max("id").alias("top")))).withColumn("age", F.col("top") - F.col("id"))  # one row
+    old, recent = retrieval.by_age(ages, F.col("age"))
+    top = lambda d: retrieval.vector_topk(q.select("query_id", "q"), d.select("id", "v"), k=20)
+    return retrieval.dual_index(top(old), top(recent), k=20, by=["query_id"]).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _FT = r"""
@@ -176,11 +178,11 @@ def recall_at_k(spark, sf_dir):
     return metrics.recall_at_k(_lists(spark, sf_dir, 50), totals, k=10).withColumn("recall", F.round("recall", 9))
 
 
-@register(_SCORED + _RANKED + ", f AS (SELECT query_id, min(rank) FILTER (relevance > 0) AS p FROM r GROUP BY 1) SELECT avg((coalesce(p, 999) <= 1)::INT) AS top1, avg((coalesce(p, 999) <= 5)::INT) AS top5, avg((coalesce(p, 999) <= 10)::INT) AS top10, round(avg(coalesce(1.0 / p, 0)), 9)::DOUBLE AS mrr FROM f")
+@register(_SCORED + _RANKED + ", f AS (SELECT query_id, min(rank) FILTER (relevance > 0) AS p FROM r GROUP BY 1) SELECT avg((coalesce(p, 999) <= 1)::INT) AS top1, avg((coalesce(p, 999) <= 3)::INT) AS top3, avg((coalesce(p, 999) <= 5)::INT) AS top5, avg((coalesce(p, 999) <= 10)::INT) AS top10, round(avg(coalesce(1.0 / p, 0)), 9)::DOUBLE AS mrr, round(avg(p), 9) AS mean_position FROM f")
 def anchor_topk(spark, sf_dir):
     first = _lists(spark, sf_dir, 50).groupBy("query_id").agg(F.min(F.when(F.col("relevance") > 0, F.col("rank"))).alias("p"))
     hit = lambda k: F.avg(F.coalesce((F.col("p") <= k).cast("int"), F.lit(0))).alias(f"top{k}")
-    return first.agg(hit(1), hit(5), hit(10), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("p"), F.lit(0.0))), 9).alias("mrr"))
+    return first.agg(hit(1), hit(3), hit(5), hit(10), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("p"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg("p"), 9).alias("mean_position"))
 
 
 @register("SELECT relevance, count(*) AS n FROM (SELECT (vec_id + label) % 4 AS relevance FROM embeddings) GROUP BY 1")
@@ -238,14 +240,20 @@ def majority_vote(spark, sf_dir):
 
 
 @register(
-    _PRED
-    + """, a AS (SELECT count(*) AS n, avg((truth = pred)::INT) AS p, 1.959963984540054::DOUBLE AS z FROM p)
-    SELECT round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 9) AS low, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 9) AS high FROM a"""
+    "WITH RECURSIVE "
+    + _PRED.strip().removeprefix("WITH ")
+    + """, a AS (SELECT count(*) AS n, sum((truth = pred)::INT) AS k FROM p),
+    e AS (SELECT n, k AS c, 0.025::DOUBLE AS goal, 'low' AS side FROM a UNION ALL SELECT n, k + 1, 0.975::DOUBLE, 'high' FROM a),
+    b AS (SELECT e.*, 0::INTEGER AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM e UNION ALL
+      SELECT n, c, goal, side, step + 1, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END
+      FROM (SELECT *, list_sum(list_transform(range(c::BIGINT, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) < goal AS below FROM b WHERE step < 45))
+    SELECT round(max(CASE WHEN side = 'low' THEN (lo + hi) / 2 END), 7) AS low, round(max(CASE WHEN side = 'high' THEN (lo + hi) / 2 END), 7) AS high FROM b WHERE step = 45"""
 )
 def accuracy_interval(spark, sf_dir):
-    a = _predictions(spark, sf_dir).agg(F.sum((F.col("truth") == F.col("pred")).cast("double")).alias("ok"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = a.select(metrics.wilson(F.col("ok"), F.col("n")).alias("w"))
-    return w.select(F.round("w.low", 9).alias("low"), F.round("w.high", 9).alias("high"))
+    """The exact binomial interval of the accuracy."""
+    a = _predictions(spark, sf_dir).agg(F.sum((F.col("truth") == F.col("pred")).cast("long")).alias("ok"), F.count(F.lit(1)).alias("n"))
+    w = a.select(metrics.binomial_interval("ok", "n").alias("w"))
+    return w.select(F.round("w.low", 7).alias("low"), F.round("w.high", 7).alias("high"))
 
 
 _TURNS = r"""
@@ -333,11 +341,11 @@ def context_blocks(spark, sf_dir):
     return docs.select("doc_id", F.sha2(block, 256).alias("block"))
 
 
-@register()
+@register(_SCORED + "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def ivf_search(spark, sf_dir):
-    """All queries: the rows whose id is divisible by 20."""
-    _, e = _vectors(spark, sf_dir)
-    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    """The inverted-file index finds the exact top 10."""
+    q, e = _vectors(spark, sf_dir)
+    q = q.select("query_id", "q")
     return retrieval.ivf_search(q, retrieval.ivf_index(e.select("id", "v"), lists=20), k=10, probes=10).select("query_id", "rank", "id")
 
 
