@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,26 +31,49 @@ def pending(decoded: DataFrame, articles: DataFrame, done: DataFrame | None) ->
     return ids.join(articles.withColumn("_known", F.lit(True)), "unique_id", "left").withColumn("status", F.when(F.col("_known"), "enriched").otherwise("not_found")).drop("_known")
 
 
-def run_once(spark: SparkSession, source: str, articles: DataFrame, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], *, files_per_trigger: int = 100) -> None:
+def finished(spark: SparkSession, out: str, query: str, number: int) -> DataFrame | None:
+    """Ids enriched under out by all batches but this one; None where nothing has been written yet."""
+    try:
+        rows = spark.read.schema("unique_id string, status string, query string, batch long").parquet(f"{out}/enriched")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.filter("status = 'enriched'").filter((F.col("query") != query) | (F.col("batch") != number)).select("unique_id")
+
+
+def publish(enriched: DataFrame, topic: str | None) -> bool:
+    """Append the events of enriched articles to a topic folder; without a topic nothing happens."""
+    if not topic:
+        return False
+    events_of(enriched).write.mode("append").text(topic)
+    return True
+
+
+def run_once(spark: SparkSession, source: str, articles: DataFrame, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], *, files_per_trigger: int = 100, at_least_seconds: int | None = None):
     """Process all messages that have come and stop.
 
-    Each micro-batch writes its own folder, by batch id: a batch that is run again after a failure
-    replaces what it wrote, so results are there once. Malformed messages go to a folder of their own.
+    Each micro-batch writes its own folder, by query id (kept in the checkpoint) and batch id: a batch
+    that is run again after a failure replaces what it wrote, and a stream with a checkpoint of its
+    own writes beside what others wrote. Articles that are enriched anywhere under out are not
+    enriched again; an unknown id is reported again each time a later batch holds it. Malformed
+    messages go to a folder of their own. files_per_trigger bounds a batch; at_least_seconds, if
+    given, runs on and starts a batch at that pace instead of stopping (the caller then stops it).
     """
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(source)
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = f"query={query}/batch={number}"
         decoded = decode(batch)
-        malformed(decoded).select("value").write.mode("overwrite").parquet(f"{out}/malformed/batch={number}")
-        done = None
-        try:
-            done = session.read.parquet(f"{out}/enriched").filter(F.col("batch") != number).filter("status = 'enriched'")
-        except Exception:  # noqa: BLE001 - nothing has been written yet
-            done = None
-        enrich(pending(decoded, articles, done)).write.mode("overwrite").parquet(f"{out}/enriched/batch={number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        malformed(decoded).select("value").write.mode("overwrite").parquet(f"{out}/malformed/{own}")
+        enrich(pending(decoded, articles, finished(session, out, query, number))).write.mode("overwrite").parquet(f"{out}/enriched/{own}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if at_least_seconds is not None:
+        return writer.trigger(processingTime=f"{at_least_seconds} seconds").start()
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def events_of(enriched: DataFrame) -> DataFrame:
