@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
+from newsloom.operators.components import connected_components
 from newsloom.sources.scratch import materialise
 
 #: Thresholds of the gates and of reuse by type.
@@ -89,33 +90,50 @@ def alias_add(existing: DataFrame, new: DataFrame) -> DataFrame:
     return ranked.filter("r = 1").select("alias_norm", "type", "entity_id", F.coalesce(F.col("was") != F.col("entity_id"), F.lit(False)).alias("promoted"), (F.col("n") - 1).cast("long").alias("contenders"))
 
 
+def promotions(existing: DataFrame, owners: DataFrame) -> DataFrame:
+    """Merges that alias_add() brings about: where an id of the public base took an alias over from a minted id, the minted entity goes into it."""
+    taken = owners.filter("promoted").select("alias_norm", "type", F.col("entity_id").alias("target"))
+    rows = existing.join(taken, ["alias_norm", "type"]).filter((F.col("entity_id") != F.col("target")) & ~t.is_qid("entity_id") & t.is_qid("target"))
+    return rows.select(F.col("entity_id").alias("source"), "target").distinct()
+
+
 def duplicate_candidates(registry: DataFrame, *, limit: float | None = None) -> DataFrame:
     """Pairs (id_a < id_b) of one type that are near duplicates, with their Jaccard similarity.
 
     registry: entity_id, canonical_name, type. Names of different years never pair. Pairs meet on a
     shared token of the prefix that a pair of the type's threshold must share (tokens in rising
     order of frequency), so frequent tokens join nothing; acronym variants meet on the name without
-    parentheses. No pair of all names is formed.
+    parentheses. No pair of all names is formed, and what a name is compared by is computed once for
+    each entity.
     """
-    rows = registry.select("entity_id", "canonical_name", "type", t.name_tokens("canonical_name").alias("tokens"), t.strip_parens("canonical_name").alias("base"))
     least = F.lit(limit) if limit is not None else threshold(F.col("type"))
-    rows = rows.withColumn("least", least)
-    each = rows.select("entity_id", "type", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    names = registry.select(
+        "entity_id", "type", t.name_tokens("canonical_name").alias("tokens"), t.strip_parens("canonical_name").alias("base"),
+        t.paren_contents("canonical_name").alias("inside"), t.year_tokens("canonical_name").alias("years"), least.alias("least"),
+    )
+    names = materialise(names, "entity-names")
+    each = names.select("entity_id", "type", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = each.groupBy("type", "token").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("entity_id").orderBy("df", "token")
     prefix = each.join(often, ["type", "token"]).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("least") * F.col("n")) + 1)
-    a = prefix.select("type", "token", F.col("entity_id").alias("id_a"), F.col("n").alias("n_a"), "least")
-    b = prefix.select("type", "token", F.col("entity_id").alias("id_b"), F.col("n").alias("n_b"))
-    near = a.join(b, ["type", "token"]).filter((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.col("least") * F.greatest("n_a", "n_b"))).select("id_a", "id_b")
-    base_a = rows.filter("base <> ''").select("type", "base", F.col("entity_id").alias("id_a"), F.col("canonical_name").alias("x"))
-    base_b = rows.select("type", "base", F.col("entity_id").alias("id_b"), F.col("canonical_name").alias("y"))
-    short = base_a.join(base_b, ["type", "base"]).filter((F.col("id_a") < F.col("id_b")) & t.acronym_variant("x", "y")).select("id_a", "id_b")
-    pairs = near.unionByName(short).distinct()
-    left = rows.select(F.col("entity_id").alias("id_a"), F.col("canonical_name").alias("name_a"), F.col("tokens").alias("tokens_a"), "type", "least")
-    right = rows.select(F.col("entity_id").alias("id_b"), F.col("canonical_name").alias("name_b"), F.col("tokens").alias("tokens_b"))
-    full = pairs.join(left, "id_a").join(right, "id_b").withColumn("similarity", t.jaccard(F.col("tokens_a"), F.col("tokens_b")))
-    full = full.withColumn("by_acronym", t.acronym_variant("name_a", "name_b"))
-    return full.filter(~t.differs_by_year("name_a", "name_b") & ((F.col("similarity") >= F.col("least")) | F.col("by_acronym"))).select("type", "id_a", "id_b", "similarity", "by_acronym")
+    prefix = materialise(prefix.select("type", "token", "entity_id", "n", "least"), "entity-prefixes")
+    side = lambda s: [F.col("type"), F.col("token"), F.col("entity_id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")]
+    pairs = prefix.select(*side("a"), "least").join(prefix.select(*side("b")), ["type", "token"])
+    pairs = pairs.filter((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.col("least") * F.greatest("n_a", "n_b"))).select("id_a", "id_b").distinct()
+    own = lambda s, *more: names.select(F.col("entity_id").alias(f"id_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("years").alias(f"years_{s}"), *more)
+    alike = t.jaccard(F.col("tokens_a"), F.col("tokens_b"))
+    near = pairs.join(own("a", F.col("type"), F.col("least")), "id_a").join(own("b"), "id_b").filter("years_a = years_b").withColumn("similarity", alike)
+    near = near.filter(F.col("similarity") >= F.col("least")).select("type", "id_a", "id_b", "similarity", F.lit(False).alias("by_acronym"))
+    full = lambda s: own(s, F.col("type"), F.col("base"), F.col("inside").alias(f"inside_{s}")).filter("base <> ''")
+    groups, letters = F.concat("inside_a", "inside_b"), F.regexp_replace("base", "[^a-z]", "")
+    short = full("a").join(full("b"), ["type", "base"]).filter("id_a < id_b and years_a = years_b and size(inside_a) + size(inside_b) > 0")
+    short = short.filter(F.forall(groups, lambda p: t.is_subsequence(p, letters))).select("type", "id_a", "id_b", alike.alias("similarity"), F.lit(True).alias("by_acronym"))
+    return near.unionByName(short).groupBy("type", "id_a", "id_b").agg(F.max("similarity").alias("similarity"), F.max("by_acronym").alias("by_acronym"))
+
+
+def alias_counts(aliases: DataFrame) -> DataFrame:
+    """entity_id, n_aliases: distinct (alias_norm, type) of each entity."""
+    return aliases.select("entity_id", "alias_norm", "type").distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_aliases"))
 
 
 def merge_targets(pairs: DataFrame, alias_counts: DataFrame) -> DataFrame:
@@ -127,24 +145,22 @@ def merge_targets(pairs: DataFrame, alias_counts: DataFrame) -> DataFrame:
     return rows.withColumns({"target": F.when(first, F.col("id_a")).otherwise(F.col("id_b")), "source": F.when(first, F.col("id_b")).otherwise(F.col("id_a"))})
 
 
-def merge_map(pairs: DataFrame) -> DataFrame:
+def merge_map(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(source, target) with chains followed: each source goes to the best id of its component.
 
-    Components come from distributed star steps over edges, never from the driver.
+    An id of the public base is best, then (with counts: entity_id, n_aliases) the one of more
+    aliases, then the smaller id. Components come from star steps over shuffled edges, a few rounds
+    whatever the length of a chain.
     """
-    names = pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    rank = F.struct((~t.is_qid("id")).cast("int").alias("q"), F.col("id").alias("id"))
-    label = names.select("id", rank.alias("label"))
-    edges = pairs.select(F.col("source").alias("u"), F.col("target").alias("v"))
-    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    while True:
-        near = edges.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        now = label.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        now = materialise(now, "merge-labels")
-        changed = now.join(label.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
-        label = now
-        if not changed:
-            return label.filter("label.id <> id").select(F.col("id").alias("source"), F.col("label.id").alias("target"))
+    ends = pairs.select("source", "target")
+    for c in ("source", "target"):
+        n = F.lit(0) if counts is None else F.coalesce("n_aliases", F.lit(0))
+        ends = ends if counts is None else ends.join(counts.select(F.col("entity_id").alias(c), "n_aliases"), c, "left")
+        rank = F.concat(F.when(t.is_qid(c), F.lit("0")).otherwise(F.lit("1")), F.lpad((F.lit(10**15) - n).cast("string"), 16, "0"), F.col(c))
+        ends = ends.withColumn(c, rank).drop("n_aliases")
+    roots = connected_components(ends.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    plain = lambda c: F.substr(F.col(c), F.lit(18))
+    return roots.select(plain("v").alias("source"), plain("root").alias("target"))
 
 
 def rewrite_mentions(features: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -160,15 +176,44 @@ def rewrite_mentions(features: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def backfill(features: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Attach canonical_id to mentions whose normal form and type an alias knows; others keep what they have."""
-    flat = features.select("unique_id", F.posexplode("entities").alias("pos", "e"))
+    """Attach canonical_id to mentions whose normal form and type an alias knows; others keep what they have.
+
+    unique_id, entities, changed, n_linked of every document; null entities stay null, empty ones empty.
+    """
+    flat = features.select("unique_id", F.col("entities").isNull().alias("none"), F.posexplode_outer("entities").alias("pos", "e"))
     form = F.coalesce(F.nullif(F.col("e.forma_canonica"), F.lit("")), F.col("e.text"))
     flat = flat.withColumns({"alias_norm": t.normalize(form), "type": F.col("e.type")})
     joined = flat.join(aliases.select("alias_norm", "type", "entity_id"), ["alias_norm", "type"], "left")
     new = F.coalesce("entity_id", "e.canonical_id")
-    joined = joined.withColumns({"differs": ~new.eqNullSafe(F.col("e.canonical_id")), "linked": F.col("entity_id").isNotNull(), "e": F.col("e").withField("canonical_id", new)})
-    done = joined.groupBy("unique_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("entities"), F.max("differs").alias("changed"), F.count_if("linked").alias("n_linked"))
-    return done
+    joined = joined.withColumns({"differs": F.col("pos").isNotNull() & ~new.eqNullSafe(F.col("e.canonical_id")), "linked": F.col("pos").isNotNull() & F.col("entity_id").isNotNull(), "e": F.col("e").withField("canonical_id", new)})
+    kept = F.when(F.col("pos").isNotNull(), F.struct("pos", "e"))
+    done = joined.groupBy("unique_id").agg(F.max("none").alias("none"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["e"]).alias("entities"), F.max("differs").alias("changed"), F.count_if("linked").alias("n_linked"))
+    return done.select("unique_id", F.when(~F.col("none"), F.col("entities")).alias("entities"), "changed", "n_linked")
+
+
+def with_entities(features: DataFrame) -> DataFrame:
+    """Rows whose features object (JSON text) has the key entities, be its value null or not."""
+    return features.filter(F.array_contains(F.json_object_keys("features"), "entities"))
+
+
+def mentions_of(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose entities hold a canonical_id of ids (entity_id): only distinct ids of each row are shuffled."""
+    used = features.select("unique_id", F.explode(F.array_distinct("entities.canonical_id")).alias("entity_id")).join(ids.select("entity_id"), "entity_id", "left_semi")
+    return features.join(used.select("unique_id"), "unique_id", "left_semi")
+
+
+def rename_aliases(aliases: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Aliases that can move to their entity's target (source, target): those whose (alias_norm, type) the target does not hold yet."""
+    moving = aliases.join(mapping, F.col("entity_id") == F.col("source")).select("alias_norm", "type", F.col("target").alias("entity_id"))
+    return moving.distinct().join(aliases.select("alias_norm", "type", "entity_id"), ["alias_norm", "type", "entity_id"], "left_anti")
+
+
+def merge_features(old: Column, new: Column) -> Column:
+    """Shallow merge of two JSON objects (text): keys of the new one win, at the top level; null is an empty object."""
+    parse = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>")
+    a, b = parse(old), parse(new)
+    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+    return F.to_json(F.map_concat(kept, b))
 
 
 def keep_earlier_entities(old: Column, new: Column) -> Column:
@@ -176,15 +221,40 @@ def keep_earlier_entities(old: Column, new: Column) -> Column:
     return F.when(F.coalesce(F.size(new), F.lit(0)) > 0, new).otherwise(old)
 
 
-def reuse_by_name(probes: DataFrame, registry: DataFrame) -> DataFrame:
+def shortlist(probes: DataFrame, registry: DataFrame, *, k: int = 10, least: float = 0.3) -> DataFrame:
+    """For each probe (name, type) the k registry names of the type with the highest trigram similarity of `least` or more; ties to the smaller id.
+
+    Pairs meet on a trigram of the prefix that names of that similarity must share (trigrams in
+    rising order of frequency), so common trigrams join nothing.
+    """
+    p = probes.select("name", "type").distinct().withColumns({"key": F.xxhash64("name", "type"), "grams": t.trigrams("name")})
+    r = registry.select("entity_id", "canonical_name", "type", t.trigrams("canonical_name").alias("grams"))
+    p, r = materialise(p, "probe-grams"), materialise(r, "registry-grams")
+    each = lambda d, key: d.select(key, "type", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = each(r, "entity_id").groupBy("type", "g").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(d: DataFrame, key: str) -> DataFrame:
+        rare = Window.partitionBy(key, "type").orderBy(F.coalesce("df", F.lit(0)), "g")
+        rows = each(d, key).join(often, ["type", "g"], "left").withColumn("p", F.row_number().over(rare))
+        return rows.filter(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(key, "type", "g")
+
+    pairs = prefix(p, "key").join(prefix(r, "entity_id"), ["type", "g"]).select("key", "type", "entity_id").distinct()
+    full = pairs.join(p.select("key", "name", F.col("grams").alias("a")), "key").join(r.select("entity_id", "type", "canonical_name", F.col("grams").alias("b")), ["entity_id", "type"])
+    full = full.withColumn("similarity", t.jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
+    best = Window.partitionBy("name", "type").orderBy(F.desc("similarity"), "entity_id")
+    return full.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("name", "type", "entity_id", "canonical_name", "similarity", "place")
+
+
+def reuse_by_name(probes: DataFrame, registry: DataFrame, *, k: int = 10) -> DataFrame:
     """For each probe (name, type) the registry entry to reuse: best score over the type's threshold, else an acronym variant.
 
-    Candidates share a trigram or token with the probe; ties go to the smaller id.
+    Judged are the k entries of the trigram shortlist and the entries of equal name but for
+    parentheses; ties go to the smaller id.
     """
-    keys = lambda c: F.array_union(t.trigrams(c), t.name_tokens(c))
-    p = probes.select("name", "type", F.explode(keys("name")).alias("k"))
-    r = registry.select("entity_id", "canonical_name", "type", F.explode(keys("canonical_name")).alias("k"))
-    pairs = p.join(r, ["type", "k"]).select("name", "type", "entity_id", "canonical_name").distinct()
+    near = shortlist(probes, registry, k=k).select("name", "type", "entity_id", "canonical_name")
+    base = lambda d, c: d.withColumn("_base", t.strip_parens(c)).filter("_base <> ''")
+    same = base(probes.select("name", "type").distinct(), "name").join(base(registry.select("entity_id", "canonical_name", "type"), "canonical_name"), ["type", "_base"])
+    pairs = near.unionByName(same.select(near.columns)).distinct()
     pairs = pairs.filter(~t.differs_by_year("name", "canonical_name")).withColumns({"score": t.best_score("name", "canonical_name"), "variant": t.acronym_variant("name", "canonical_name")})
     pairs = pairs.filter((F.col("score") >= threshold(F.col("type"))) | F.col("variant"))
     best = Window.partitionBy("name", "type").orderBy(F.desc(F.col("score") >= threshold(F.col("type"))), F.desc("score"), "entity_id")
@@ -203,13 +273,15 @@ def find_by_public_id(probes: DataFrame, registry: DataFrame) -> DataFrame:
 def merge_registry(registry: DataFrame, mapping: DataFrame) -> DataFrame:
     """Apply (source, target) to the registry: targets inherit missing links and all aliases, sources go.
 
-    registry: entity_id, canonical_name, aliases (array), wikidata_id, description.
+    registry: entity_id, canonical_name, wikidata_id, description and, if there, aliases (array), type
+    and confidence (the target's own, else the first found).
     """
     moved = registry.join(mapping, registry["entity_id"] == mapping["source"], "left").withColumn("home", F.coalesce("target", "entity_id"))
-    own = Window.partitionBy("home").orderBy((F.col("entity_id") != F.col("home")).cast("int"), "entity_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = lambda c: F.first(c, ignorenulls=True).over(own).alias(c)
-    flat = moved.select("home", "entity_id", first("canonical_name"), first("wikidata_id"), first("description"), "aliases")
-    return flat.groupBy(F.col("home").alias("entity_id")).agg(F.first("canonical_name").alias("canonical_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"), F.first("wikidata_id").alias("wikidata_id"), F.first("description").alias("description"))
+    rank = F.struct((F.col("entity_id") != F.col("home")).cast("int").alias("o"), F.col("entity_id").alias("i"))
+    # the first value that is not null, own before inherited: a minimum, so it combines before the shuffle
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(rank.alias("r"), F.col(c).alias("x"))))["x"].alias(c)
+    aliases = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases") if "aliases" in registry.columns else None
+    return moved.groupBy(F.col("home").alias("entity_id")).agg(*[aliases if c == "aliases" else first(c) for c in registry.columns if c != "entity_id"])
 
 
 def merge_aliases(aliases: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -224,10 +296,10 @@ def orphans(features: DataFrame, registry: DataFrame) -> DataFrame:
     return used.join(registry.select("entity_id"), "entity_id", "left_anti")
 
 
-def queue(state: DataFrame, *, limit: int, most_attempts: int = 5) -> DataFrame:
-    """Pending forms, oldest first."""
+def queue(state: DataFrame, *, limit: int | None = None, most_attempts: int = 5) -> DataFrame:
+    """Pending forms, oldest first; all of them without a limit."""
     rows = state.filter((F.col("status") == "pending") & (F.coalesce("attempts", F.lit(0)) < most_attempts))
-    return rows.orderBy(F.col("first_seen_at").asc_nulls_last(), "surface_norm").limit(limit)
+    return rows if limit is None else rows.orderBy(F.col("first_seen_at").asc_nulls_last(), "surface_norm").limit(limit)
 
 
 def record_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
+from urllib.parse import parse_qs, unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +92,96 @@ def append_raw_replies(df: DataFrame, path: str) -> None:
         warnings.warn(f"raw replies not logged: {e}", stacklevel=2)
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log of raw replies; empty where none was written yet."""
+    schema = "unique_id string, prompt_hash string, raw_response string, run int, task string, prompt_version string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_stated(spark: SparkSession, path: str, *, cap: int | None = None) -> DataFrame:
+    """A training set kept as Parquet; cap: its first rows only, as many as a streamed build asked for."""
+    rows = spark.read.parquet(path)
+    return rows if cap is None else rows.limit(cap)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A curated sheet: CSV by Spark, a workbook by pandas on the driver (sheets are typed by hand and small)."""
+    if path.lower().endswith((".xlsx", ".xls")):
+        import pandas as pd
+
+        return spark.createDataFrame(pd.read_excel(path), schema)
+    return read_csv(spark, path, schema)
+
+
+def write_frames(frames: dict[str, DataFrame], path: str) -> None:
+    """Each frame as CSV with a header, in a folder of its name."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def write_report(rows: DataFrame, path: str, *, title: str, order: list) -> None:
+    """A report's rows as CSV and JSON lines, and a text of them; rows are one for each model and fit the driver."""
+    write_frames({"csv": rows}, path)
+    write_lines(rows, f"{path}/json")
+    lines = [title, "=" * len(title), *[" | ".join(f"{c}: {r[c]}" for c in rows.columns) for r in rows.orderBy(*order).limit(1000).collect()]]
+    rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/txt")
+
+
+def write_benchmark(runs: list[DataFrame], path: str, *, columns: list[str], about: dict) -> None:
+    """All runs as one Parquet table (missing columns null), selected columns as CSV, and what the runs were as JSON."""
+    whole = runs[0]
+    for r in runs[1:]:
+        whole = whole.unionByName(r, allowMissingColumns=True)
+    whole.write.mode("overwrite").parquet(f"{path}/runs")
+    write_frames({"selected": whole.select(*columns)}, path)
+    spark = whole.sparkSession
+    spark.createDataFrame([(json.dumps(about, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def create_indexes(name: str, columns: dict[str, str]) -> list[str]:
+    """Index statements for a table's columns; kinds: btree, gin, trgm, vector."""
+    how = {"btree": "{0}", "gin": "USING gin ({0})", "trgm": "USING gin ({0} gin_trgm_ops)", "vector": "USING ivfflat ({0} vector_cosine_ops)"}
+    if not all(re.fullmatch(r"\w+", c) for c in (name, *columns)):
+        raise ValueError("names have letters, digits and underscores")
+    body = lambda c, k: f"({c})" if k == "btree" else how[k].format(c)
+    return [f"CREATE INDEX IF NOT EXISTS {name}_{c}_{k} ON {name} {body(c, k)}" for c, k in columns.items()]
+
+
+def write_index(documents: DataFrame, chunks: DataFrame, path: str) -> int:
+    """Documents with their chunks as one version: readers see both or neither.
+
+    Chunks without a document are refused. The version counts once its marker is there.
+    """
+    lost = chunks.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti")
+    if lost.limit(1).count():
+        raise ValueError("chunks without a document")
+    state = Snapshots(documents.sparkSession, path)
+    version = (state.versions() or [0])[-1] + 1
+    documents.write.mode("overwrite").parquet(f"{path}/v={version}/documents")
+    chunks.write.mode("overwrite").parquet(f"{path}/v={version}/chunks")
+    fs, _ = state._fs()
+    fs.create(documents.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version}/_SUCCESS"), True).close()
+    return version
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Documents and chunks of the last whole version."""
+    found = Snapshots(spark, path).versions()
+    return None if not found else (spark.read.parquet(f"{path}/v={found[-1]}/documents"), spark.read.parquet(f"{path}/v={found[-1]}/chunks"))
+
+
+def credentials(uri: str, *, region: str = "us-east-1") -> tuple[str | None, str | None, str]:
+    """User, password and region of a connection URI like scheme://user:password@/?region_name=x; percent escapes are read."""
+    parsed = urlparse(uri)
+    part = lambda x: unquote(x) if x else None
+    return part(parsed.username), part(parsed.password), parse_qs(parsed.query).get("region_name", [region])[0]
+
+
 def sql_type(kind: T.DataType) -> str:
     """Column type of the relational export; unknown kinds are text."""
     table = {T.StringType: "TEXT", T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE PRECISION", T.FloatType: "REAL", T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP"}
