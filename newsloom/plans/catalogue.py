@@ -43,7 +43,7 @@ def corpus_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import corpus_queries, entity_queries, retrieval_queries, stream_queries  # noqa: F401
+    from . import corpus_queries, entity_queries, retrieval_queries, state_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
