@@ -9,13 +9,16 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_held
-from .tokens import crc32
+from .common import trimmed, worker_held
+from .tokens import crc32, parts_of
 
 SPACE = "▁"
+#: Set between cuts while a batch is split; texts that hold it are split in another way.
+CUT = "\x01"
 #: Symbols of single characters that are no piece start here; ids of pieces lie below.
 LONE = 1 << 24
 
@@ -74,14 +77,14 @@ def load_pieces(path: str) -> Pieces:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` codes (prefix doubling); codes are positive."""
+    """Suffixes in the order of their first `depth` codes (prefix doubling), those equal so far in any order; codes are positive."""
     n, rank, width = len(codes), codes.astype(np.int64), 1
     while True:
         ahead = np.zeros(n, np.int64)
         if width < depth and width < n:
             ahead[: n - width] = rank[width:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + ahead if width < depth else rank
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if width >= depth:
             return order
         sorted_key = key[order]
@@ -114,22 +117,26 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray
 class PieceEncoder:
     """Encodes texts chunk by chunk; chunks met before come from a table of bounded size."""
 
-    def __init__(self, model: Pieces, most: int = 200_000):
+    def __init__(self, model: Pieces, most: int = 400_000):
         self.model, self.most = model, most
         self.depth = max(len(model.pieces[int(k)]) for k in model.usable)
         self.sizes_of = np.array([len(model.pieces[int(k)]) for k in model.usable], np.int64)
         self.patterns = np.zeros((len(model.usable), self.depth), np.int64)
         for row, k in enumerate(model.usable):
             self.patterns[row, : self.sizes_of[row]] = [ord(c) + 1 for c in model.pieces[int(k)]]
+        ends = np.take_along_axis(self.patterns, np.maximum(self.sizes_of[:, None] - 2 + np.arange(2), 0), 1)
+        pairs = [(p[:, 0] << 21) | p[:, 1] for p in (self.patterns, ends)]
+        triples = (pairs[0] << 21) | self.patterns[:, 2 % self.depth]
+        self.heads = {2: [np.where(self.sizes_of >= 2, x, -1) for x in pairs], 3: [np.where(self.sizes_of >= 3, triples, -1)]}
         self.single = {model.pieces[int(k)] for k in model.usable if len(model.pieces[int(k)]) == 1}
         self.known, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places: dict[str, int] = {"": 0}
         self.ids = np.empty(0, np.uint32)
-        self.starts = self.sizes = np.empty(0, np.int64)
+        self.starts = self.sizes = np.zeros(1, np.int64)
 
     def _surface(self, symbol: int) -> str:
         return chr(symbol - LONE) if symbol >= LONE else self.model.pieces[symbol]
@@ -150,6 +157,18 @@ class PieceEncoder:
             at = np.searchsorted(self.known, pairs)
         return self.fits[at][back]
 
+    def _can_occur(self, codes: np.ndarray) -> np.ndarray:
+        """Pieces whose first three (or fewer) and last two characters stand side by side in the text: the others need no search."""
+        able = np.ones(len(self.patterns), bool)
+        for width, heads in self.heads.items():
+            there = np.zeros(max(0, len(codes) - width + 1), np.int64)
+            for k in range(width):
+                there = (there << 21) | codes[k : len(codes) - width + 1 + k]
+            there = np.unique(there)
+            for own in heads:
+                able &= (own < 0) | (there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own if len(there) else own < 0)
+        return np.flatnonzero(able)
+
     def learn(self, chunks: list[str]) -> None:
         """Match all pieces in the chunks' joined text, sort the edges by where they end, and relax them.
 
@@ -163,14 +182,15 @@ class PieceEncoder:
         codes = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
         codes[(begin + lengths)[:-1]] = 0
         order = suffix_array(codes, self.depth)
-        low, high = occurrence_ranges(codes, order, self.patterns, self.sizes_of)
+        able = self._can_occur(codes)
+        low, high = occurrence_ranges(codes, order, self.patterns[able], self.sizes_of[able])
         count = high - low
         total = int(count.sum())
         at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         small = np.int32  # edges are many: places, sizes and symbols of a batch fit
         start = order[at].astype(small)
         del at, order
-        size, symbol = np.repeat(self.sizes_of.astype(small), count), np.repeat(self.model.usable.astype(small), count)
+        size, symbol = np.repeat(self.sizes_of[able].astype(small), count), np.repeat(self.model.usable[able].astype(small), count)
         lone = np.flatnonzero(~np.isin(codes, [0, *(ord(c) + 1 for c in self.single)]))
         start, size, symbol = np.r_[start, lone.astype(small)], np.r_[size, np.ones(len(lone), small)], np.r_[symbol, (LONE + codes[lone] - 1).astype(small)]
 
@@ -217,25 +237,36 @@ class PieceEncoder:
         self.ids = np.r_[self.ids, out.astype(np.uint32)]
         self.places.update(zip(chunks, range(len(self.places), len(self.places) + len(chunks)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _cuts(self, texts: pa.Array) -> pa.ListArray:
+        """Each text cut before runs of white space and around line ends; some cuts may be empty."""
+        texts = pc.replace_substring(texts, " ", SPACE)
+        if self.model.prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, ""))
+        if not self.model.splits:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+        if pc.any(pc.match_substring(texts, CUT)).as_py():
+            return pa.array([self.cut.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        marked = pc.replace_substring(pc.replace_substring_regex(texts, f"({SPACE}+)", f"{CUT}\\1"), "\n", f"{CUT}\n{CUT}")
+        return pc.split_pattern(marked, CUT)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none."""
-        cuts = []
-        for text in texts:
-            text = (text or "").replace(" ", SPACE)
-            if text and self.model.prefix:
-                text = SPACE + text
-            cuts.append(self.cut.findall(text) if self.model.splits else [text] if text else [])
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        cut = self._cuts(texts)
+        words = cut.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
         if len(self.places) > self.most:
             self.clear()
-        self.learn(sorted({c for cut in cuts for c in cut}.difference(self.places)))
-        return [self._gather(cut) for cut in cuts]
-
-    def _gather(self, cut: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.places.__getitem__, cut), np.int64, len(cut))
+        self.learn([c for c in names if c not in self.places])
+        at = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
+        ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
+        edges = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, without the space put before the text."""
@@ -256,21 +287,7 @@ def _encoder(values: tuple) -> PieceEncoder:
     return worker_held(f"pieces {values[0]}", lambda: PieceEncoder(Pieces(*values)))
 
 
-def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
-    """Rows in parts of about `most` characters of text."""
-    keys, texts, size = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        keys.append(key)
-        texts.append(text.as_py())
-        size += len(texts[-1] or "")
-        if size >= most:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
-
-
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", part: int = 2 << 20) -> DataFrame:
     """id (long), n_tokens (long), ids (binary: little-endian unsigned 32-bit) of each whole text.
 
     Texts are cut where no piece reaches over (before white space, around line ends). The distinct
@@ -289,11 +306,11 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            for keys, texts in _parts(batch, part):
-                ids = encoder.encode(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
+            for own in parts_of(batch, 1, part):
+                ids = encoder.encode(own.column(1))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -306,4 +323,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             ids = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([crc32(x) for x in ids], pa.int64()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=["id", "n_tokens", "ids_crc32", "text"])
 
-    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids_crc32 long, text string")
+    return encoded.select("id", "n_tokens", "ids").mapInArrow(trimmed(run), "id long, n_tokens long, ids_crc32 long, text string")
