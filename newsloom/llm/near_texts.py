@@ -16,6 +16,8 @@ from .components import connected_components
 
 #: Posting lists a text is in: one for each of as many pairs of positional bytes of its fingerprint.
 TABLES = 80
+#: Lists that are gone through first.
+FIRST = 8
 #: Words of 64 bits that travel with a posting: the positional bytes that are tallied in its list.
 CARRIED = 4
 #: Positional bytes that a pair must share of those 8 * CARRIED, and bits of them that it may differ in.
@@ -131,9 +133,21 @@ def similar_roots(texts: DataFrame, *, shingle: int = 5, seed: int = 42, least:
     """
     prints = materialise(_fingerprints(texts, shingle, seed).dropDuplicates(["v"]), "wide-fingerprints")
     words = [f"w{k}" for k in range(CARRIED)]
-    index = prints.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "v", *words)
-    groups = connected_components(postings.links(index, words, lambda x: postings.near(x, LEAST, BITS)))
+
+    def near(rows: DataFrame, first: int, tables: int) -> DataFrame:
+        keys = F.explode(F.slice(F.col("keys").cast("array<long>"), first + 1, tables)).alias("key")
+        found = postings.links(rows.select(keys, "v", *words), words, lambda x: postings.near(x, LEAST, BITS))
+        return connected_components(found)
+
+    # a few lists connect most of a large group; in the others its texts go by the group's name, so links inside it are none
+    some = near(prints, 0, FIRST)
+    named = prints.join(some, "v", "left").withColumn("name", F.coalesce("root", "v")).drop("root")
+    named = materialise(named, "named-fingerprints")
+    more = near(named.drop("v").withColumnRenamed("name", "v"), FIRST, TABLES - FIRST)
+    groups = named.select("v", "name").join(more.select(F.col("v").alias("name"), "root"), "name", "left").select("v", F.coalesce("root", "name").alias("root"))
+    groups = materialise(groups.filter("v <> root"), "groups")
     discard(prints)
+    discard(named)
     members = materialise(groups.unionByName(groups.select(F.col("root").alias("v"), "root").distinct()), "candidates")
     held = texts.select("v", "text").join(members, "v").groupBy("v").agg(F.first("root").alias("root"), F.first("text").alias("text"))
     held = materialise(held, "candidate-texts")

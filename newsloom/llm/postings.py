@@ -46,7 +46,7 @@ def bucket_links(names: np.ndarray, prints: np.ndarray, accept: Accept) -> list[
 
 
 def run_links(keys: np.ndarray, names: np.ndarray, prints: np.ndarray, accept: Accept, small: int = 16) -> np.ndarray:
-    """Links within runs of equal keys: pairs at a short distance at once, long runs one by one."""
+    """Links within runs of equal keys: pairs at a short distance at once, long runs one by one. Members of one name are linked already."""
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(edges)
     short = np.repeat(sizes <= small, sizes)
@@ -61,7 +61,8 @@ def run_links(keys: np.ndarray, names: np.ndarray, prints: np.ndarray, accept: A
         a, b = edges[k], edges[k + 1]
         if own := bucket_links(names[a:b], prints[a:b], accept):
             pairs.append(np.array(own, np.int64))
-    return np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+    found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.Table]:
