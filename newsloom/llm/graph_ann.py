@@ -1,13 +1,16 @@
-"""Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched by beam."""
+"""Approximate nearest neighbours: vectors dealt to shards by coarse centres, a robust-pruned directed graph for each shard, searched by beam."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, trimmed
 
 
 def _squares(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -122,16 +125,56 @@ def usable(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     return rows.filter(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = 8192, degree: int = 32, beam: int = 64, search_beam: int = 128, alpha: float = 1.2, block: int = 4096, seed: int = 42) -> DataFrame:
+def coarse_centres(x: np.ndarray, k: int, *, seed: int = 42, rounds: int = 10) -> np.ndarray:
+    """k-means centres of the rows of x; a centre that loses all its rows stays where it was."""
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        own = nearest_centres(x, centres, 1)[:, 0]
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
+        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return centres
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, k: int, step: int = 4096) -> np.ndarray:
+    """The k nearest centres of each row, nearest first."""
+    parts = [np.argsort((centres * centres).sum(axis=1) - 2 * x[at : at + step] @ centres.T, axis=1, kind="stable")[:, :k] for at in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.empty((0, min(k, len(centres))), np.int64)
+
+
+def _routed(rows: DataFrame, shared, name: str, wide) -> DataFrame:
+    """rows (dim, v and more) with an array of the shards of the wide(number of shards of the dimension) nearest centres."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    dim, v = rows.columns.index("dim"), rows.columns.index("v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(dim).to_numpy()
+            out: list = [None] * batch.num_rows
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                centres = shared.value.get(int(d), np.zeros((1, int(d))))
+                x = np.asarray(batch.column(v).take(pa.array(at)).flatten(), np.float64).reshape(-1, int(d))
+                for i, found in zip(at.tolist(), nearest_centres(x, centres, wide(len(centres))).tolist(), strict=True):
+                    out[i] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
+
+    return rows.mapInArrow(trimmed(run), schema)
+
+
+def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = 4096, homes: int = 3, probes: float = 2.0, sample: int = 20_000, degree: int = 32, beam: int = 64, search_beam: int = 128, alpha: float = 1.2, block: int = 4096, seed: int = 42) -> DataFrame:
     """For each query row its k nearest other rows: query_id, rank (int, from 1), vec_id, score (Euclidean distance, double).
 
     is_query: a condition on the column id. Equal vectors are one vertex that carries its k + 1
     smallest ids, all that any answer can name, so a vector shared by a third of all rows is one
-    vertex. Distinct vectors are dealt by hash into shards of about shard_size. Each shard's graph is
-    built by batch insertion: a beam search proposes neighbours, robust pruning with factor alpha
-    keeps diverse ones, reversed edges are pruned alike. Queries go in blocks against every shard;
-    the best of all shards are merged. Distances of what is found are computed in double precision
-    from the original vectors; ties go to the smaller id.
+    vertex. Distinct vectors are dealt to shards by coarse centres: one for each shard_size vectors of a
+    dimension, by k-means over a sample of at most `sample` vectors; each vector goes to the shards of
+    its `homes` nearest centres, and a shard of over twice the expected size is split by hash. Each
+    shard's graph is built by batch insertion: a beam search proposes neighbours, robust pruning with
+    factor alpha keeps diverse ones, reversed edges are pruned alike. A query beam-searches the shards
+    of the probes * sqrt(number of shards) nearest centres, so work grows less than with the square of
+    the table; the best of them are merged. Distances of what is found are computed in double
+    precision from the original vectors; ties go to the smaller id.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite numbers take
     no part; only vectors of the query's length are candidates; rows that repeat id and vector count
@@ -142,9 +185,21 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id"
     first = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.dense_rank().over(first)).filter(F.col("r") <= k + 1)
     distinct = materialise(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("dim", F.size("v")), "ann-distinct")
-    n = distinct.count()
-    shards = max(1, -(-n // shard_size))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(shards)).cast("int"))
+    # bounded: a count for each length of a vector, and the sample
+    counts = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = distinct.orderBy(F.xxhash64(F.lit(seed), "v")).limit(sample).select("dim", "v").collect()
+    centres = {}
+    for dim, n in counts.items():
+        x = np.array([r["v"] for r in drawn if r["dim"] == dim], np.float64).reshape(-1, dim)
+        centres[dim] = coarse_centres(x, max(1, -(-n // shard_size)), seed=seed) if len(x) else np.zeros((1, dim))
+    shared = spark.sparkContext.broadcast(centres)
+
+    homed = _routed(distinct, shared, "homes", lambda s: min(homes, s)).select("ids", "v", "dim", F.explode("homes").alias("shard"))
+    homed = materialise(homed, "ann-homes")
+    room = 2 * shard_size * homes
+    sizes = homed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(room)).cast("int").alias("parts"))  # a row for each shard
+    sizes = materialise(sizes, "ann-shards")
+    dealt = homed.join(sizes, ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "v"), F.col("parts")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
@@ -153,17 +208,21 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id"
         x = np.ascontiguousarray(x[rank])
         ids = [table.column("ids")[int(i)].as_py() for i in rank]
         graph, start = build_graph(x.astype(np.float32), degree=degree, beam=beam, alpha=alpha, seed=seed)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "start": pa.array([start], pa.int32()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))), "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary())})
+        one = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("dim", "shard", "part")}
+        return pa.table({**one, "start": pa.array([start], pa.int32()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))), "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary())})
 
-    index = materialise(dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, start int, ids array<array<bigint>>, x binary, graph binary"), "ann-index")
+    index = dealt.select("dim", "shard", "part", "ids", "v").groupBy("dim", "shard", "part").applyInArrow(build, "dim int, shard int, part int, start int, ids array<array<bigint>>, x binary, graph binary")
+    index = materialise(index, "ann-index")
 
     asked = rows.filter(is_query).select("id", "v").distinct()
     heads = asked.groupBy("v").agg(F.min("id").alias("head")).withColumn("dim", F.size("v"))
-    heads = materialise(heads, "ann-queries")
-    blocks = max(1, -(-heads.count() // block))
-    heads = heads.withColumn("block", F.pmod(F.xxhash64("head"), F.lit(blocks)).cast("int"))
+    heads = materialise(_routed(heads, shared, "shards", lambda s: min(s, int(np.ceil(probes * np.sqrt(s))))), "ann-queries")
+    visits = heads.select("dim", "v", "head", F.explode("shards").alias("shard"))
+    most = visits.groupBy("dim", "shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // block))
+    visits = visits.join(sizes, ["dim", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = visits.select("dim", "shard", "part", "v", "head", F.pmod(F.xxhash64("head"), F.lit(blocks)).cast("int").alias("block"))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = heads.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(own: pa.Table, queries: pa.Table) -> pa.Table:
         heads, lists = [], []
@@ -184,11 +243,13 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id"
                     lists.append([{"score": d, "vec_id": i} for d, i in best])
         return pa.table({"head": pa.array(heads, pa.int64()), "found": pa.array(lists, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
 
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "shard", "part", "block"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "head long, found array<struct<score:double,vec_id:bigint>>")
-    merged = parts.select("head", F.explode("found").alias("f")).select("head", "f.score", "f.vec_id")
+    # a vector of several homes is found more than once
+    merged = parts.select("head", F.explode("found").alias("f")).select("head", "f.score", "f.vec_id").distinct()
     merged = merged.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
     merged = merged.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     answers = asked.join(heads.select("v", "head"), "v").select("id", "head").join(merged, "head")
     others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("id")), 1, k)
-    return answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+    out = answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("p", "f"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
