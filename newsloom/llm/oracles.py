@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import BEGIN, END, MIDDLE
+from .quality_rules import RULES
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +72,11 @@ WITH {_WORDS}, tri AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures FROM f
 """
 
+ABLATIONS = rf"""
+WITH o AS ({OP3}), r AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {1 << k}::BIGINT)" for k, (name, _) in enumerate(RULES))}) AS t(rule, bit))
+SELECT rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures = bit) AS n_only, count(*) FILTER (failures & ~bit <> 0) AS n_rejected_without FROM o, r GROUP BY 1
+"""
+
 OP6 = rf"""
 WITH {_WORDS}, windows AS (
   SELECT doc_id, pos, word, list(word) OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
@@ -83,4 +89,4 @@ SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sh
 FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY 1
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op6_substring_dedup": OP6, "op7_chat_formatting": OP7}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op6_substring_dedup": OP6, "op7_chat_formatting": OP7, "quality_ablations": ABLATIONS}

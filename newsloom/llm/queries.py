@@ -85,8 +85,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and with others, from the ledger's bits."""
+    ledger = quality_rules.quality_ledger(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return quality_rules.ablations(ledger, quality_rules.POLICIES["v1"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
