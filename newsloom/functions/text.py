@@ -203,22 +203,6 @@ def truncation_variants(x: Column | str) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in (("whole", text), ("first", F.get(paragraphs, F.lit(0))), ("middle", middle), ("half", half))])
 
 
-def validated_category(predicted: Column, topics: Column, default: str) -> Column:
-    """A topic's code from a free prediction: its code, "code - name", its name, or a level-1 name's first topic; else the default.
-
-    topics: array of structs (code, name, area), in order of code.
-    """
-    said = normalize(predicted)
-    hit = lambda cond: F.get(F.filter(topics, cond), F.lit(0))["code"]
-    return F.coalesce(
-        hit(lambda x: normalize(x["code"]) == said),
-        hit(lambda x: normalize(F.concat(x["code"], F.lit(" - "), x["name"])) == said),
-        hit(lambda x: normalize(x["name"]) == said),
-        hit(lambda x: normalize(x["area"]) == said),
-        F.lit(default),
-    )
-
-
 #: Frequent words that full-text search ignores.
 STOPWORDS = ("a", "as", "ao", "com", "da", "das", "de", "do", "dos", "e", "em", "na", "no", "o", "os", "para", "por", "que", "se", "um", "uma")
 

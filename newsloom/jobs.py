@@ -64,7 +64,7 @@ def extract_mentions(articles: DataFrame, features: DataFrame, *, raw_path: str,
     for k in range(chunks):
         part = todo.filter(F.pmod(F.xxhash64("unique_id"), F.lit(chunks)) == k) if chunks > 1 else todo
         prompts = part.select("unique_id", models.ner_prompt(F.col("title"), F.col("content")).alias("prompt"))
-        said = materialise(models.provided(prompts, make, workers=workers, waits=waits), "replies").filter("error is null")
+        said = materialise(models.provided(prompts, make, workers=workers_for(n, workers), waits=waits), "replies").filter("error is null")
         tables.append_raw_replies(said.select("unique_id", F.sha2("prompt", 256).alias("prompt_hash"), F.col("response").alias("raw_response"), F.lit(run + 1 + k).alias("run"), F.lit("ner").alias("task"), F.lit(version).alias("prompt_version")), raw_path)
     replies = tables.read_log(spark, raw_path).filter((F.col("task") == "ner") & (F.col("prompt_version") == version) & (F.col("run") > run))
     last = replies.groupBy("unique_id").agg(F.max_by("raw_response", "run").alias("raw_response"))
@@ -79,6 +79,11 @@ def extract_mentions(articles: DataFrame, features: DataFrame, *, raw_path: str,
     return stats
 
 
+def workers_for(rows: int, workers: int | None, *, least: int = 100) -> int | None:
+    """Model clients for a number of rows: one up to `least` rows, as told beyond."""
+    return 1 if rows <= least else workers
+
+
 def current(features: DataFrame, mentions: DataFrame | None) -> DataFrame:
     """Features with the entities of the mentions snapshot (unique_id, entities) in the place of their own."""
     if mentions is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,10 +190,15 @@ def grouped_documents(chunks: DataFrame, documents: DataFrame, *, filters: dict[
 
     chunks: document_id and more; documents: id and more.
     """
+    return chunks.join(filtered(documents, filters).withColumnRenamed("id", "document_id"), "document_id")
+
+
+def filtered(documents: DataFrame, filters: dict[str, object] | None) -> DataFrame:
+    """Documents whose columns have these values, or one of them where a list is given; None does not filter."""
     for column, value in (filters or {}).items():
         if value is not None:
             documents = documents.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
-    return chunks.join(documents.withColumnRenamed("id", "document_id"), "document_id")
+    return documents
 
 
 def linear_fusion(first: DataFrame, second: DataFrame, *, alpha: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -405,27 +411,48 @@ def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: Re
     return one(vector_ranking, "vector").unionByName(one(text_ranking, "fulltext")).unionByName(one(hybrid_search(vector_ranking, text_ranking, config), "hybrid"))
 
 
-def answer(question: str, chunks: DataFrame, answer_with, *, cache: DataFrame | None = None, now: str, seconds: int = 3600, budget_chars: int = 32_000, least_score: float = 0.0, kind: str = "default") -> dict:
-    """The query endpoint as a function: question and scored chunks in; answer, sources, cached and the key to store the answer under out.
+def answer(
+    question: str, chunks: DataFrame, model, *, documents: DataFrame | None = None, filters: dict[str, object] | None = None, cache: DataFrame | None = None, now: str, seconds: int = 3600,
+    top_k: int | None = None, use_reranking: bool = False, budget_chars: int = 32_000, least_score: float = 0.0, kind: str = "default", prices: tuple[float, float] = (0.0, 0.0), clock=time.perf_counter,
+) -> dict:
+    """The query endpoint as a function: question and scored chunks in, the endpoint's response out.
 
-    answer_with(prompt) is the model. An answer in the cache (key, answer, stored_at) that is younger
-    than `seconds` and was drawn from the same documents is given again. What comes to the driver is
-    one prompt and its sources, both within the budget.
+    model(prompt) answers; a model with count_tokens() gives the token counts, prices (a million tokens
+    in, out) their cost. documents and filters: chunks of documents whose columns have these values
+    (None does not filter). top_k: that many sources at most; use_reranking: by shared words with the
+    question. An answer in the cache (key, answer, stored_at) that is younger than `seconds` and was
+    drawn from the same documents is given again; key is what to store the answer under. What comes to
+    the driver is one prompt and its sources, both within the budget.
     """
+    began = clock()
+    if documents is not None:
+        chunks = chunks.join(filtered(documents, filters).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     best = best_chunk(chunks.filter((F.col("score") >= least_score) & (F.length("content") > 0)))
-    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=budget_chars).withColumn("one", F.lit(1))
+    most = budget_chars if top_k is None else min(top_k, budget_chars)
+    if use_reranking:
+        best = rerank(best.withColumnRenamed("document_id", "id"), question, k=most).withColumnRenamed("id", "document_id").withColumn("score", F.col("rerank_score")).drop("rerank_score")
+    top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=most).withColumn("one", F.lit(1))
     packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
-    sources = [r.asDict() for r in packed.select("rank", "id", "title", "score").orderBy("rank").collect()]
+    rows = packed.select("rank", "id", "title", "score", "content", context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content")).alias("block")).orderBy("rank").collect()
+    sources = [{"index": r["rank"], "id": r.id, "title": r.title, "score": r.score, "chunk_text": r.content} for r in rows]
     spark = chunks.sparkSession
-    key = spark.range(1).select(answer_key(F.lit(question), F.array(*[F.lit(s["id"]) for s in sources]).cast("array<string>")).alias("k")).first().k
-    if cache is not None:
-        hit = cached_answers(spark.createDataFrame([(key,)], "key long"), cache.filter(F.col("key") == key), now=now, seconds=seconds).first()
-        if hit.answer is not None:
-            return {"answer": hit.answer, "sources": sources, "cached": True, "key": key}
-    if not sources:
-        return {"answer": None, "sources": [], "cached": False, "key": key}
-    prompt = answer_context(chunks, question=question, budget_chars=budget_chars, least_score=least_score, kind=kind).first().prompt
-    return {"answer": answer_with(prompt), "sources": sources, "cached": False, "key": key}
+    key = spark.range(1).select(answer_key(F.lit(question), F.array(*[F.lit(r.id) for r in rows]).cast("array<string>")).alias("k")).first().k
+    found = clock()
+    said, prompt, cached = None, "", False
+    if rows and cache is not None:
+        said = cached_answers(spark.createDataFrame([(key,)], "key long"), cache.filter(F.col("key") == key), now=now, seconds=seconds).first().answer
+        cached = said is not None
+    if rows and not cached:
+        prompt = spark.range(1).select(answer_prompt(F.lit("\n\n".join(r.block for r in rows)), F.lit(question), kind).alias("p")).first().p
+        said = model(prompt)
+    done, count = clock(), getattr(model, "count_tokens", len)
+    tokens = (0, 0) if cached or not rows else (count(prompt), count(said))
+    return {
+        "answer": said, "sources": sources, "query": question, "cached": cached, "key": key,
+        "latency_ms": {"retrieval_ms": (found - began) * 1000, "generation_ms": (done - found) * 1000, "total_ms": (done - began) * 1000},
+        "tokens_input": tokens[0], "tokens_output": tokens[1], "cost_usd": tokens[0] / 1e6 * prices[0] + tokens[1] / 1e6 * prices[1],
+        "llm_model": getattr(model, "name", None), "retrieval_config": {"num_results": len(sources), "reranking": use_reranking},
+    }
 
 
 def answer_key(query: Column, ids: Column) -> Column:

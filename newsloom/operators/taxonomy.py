@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as t
+
 _NODE = re.compile(r"(\d\d(?:\.\d\d){0,2}) - (.+?):?\s*$")
 
 
@@ -31,6 +33,15 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     return level(3, "l2_code").join(level(2, "l1_code"), "l2_code").join(level(1, None), "l1_code")
 
 
+def nested(nodes: DataFrame) -> DataFrame:
+    """One row a level-1 code: code, label, children (array of code, label, children of level 3), all in order of code."""
+    third = nodes.filter("level = 3").groupBy("parent_code").agg(F.array_sort(F.collect_list(F.struct("code", "label"))).alias("children"))
+    second = nodes.filter("level = 2").select("code", "label", F.col("parent_code").alias("up")).join(third.withColumnRenamed("parent_code", "code"), "code", "left")
+    empty = F.expr("cast(array() as array<struct<code:string,label:string>>)")
+    second = second.groupBy("up").agg(F.array_sort(F.collect_list(F.struct("code", "label", F.coalesce("children", empty).alias("children")))).alias("children"))
+    return nodes.filter("level = 1").select("code", "label").join(second.withColumnRenamed("up", "code"), "code", "left")
+
+
 def sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
 
@@ -42,3 +53,16 @@ def attach_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         ids = nodes.select(F.col("code").alias(f"l{n}"), F.col("id").alias(f"theme_l{n}_id"))
         out = out.join(ids, f"l{n}", "left")
     return out.withColumn("most_specific_theme_id", F.coalesce("theme_l3_id", "theme_l2_id", "theme_l1_id")).filter("most_specific_theme_id is not null")
+
+
+def categorised(rows: DataFrame, topics: DataFrame, *, said: str, default: str) -> DataFrame:
+    """rows with code: a topic from a free prediction, by its code, "code - name", its name, or its area's first topic; else the default.
+
+    topics: code, name, area. What can be said of a topic is normalised once for each topic, a
+    prediction once for each row; they meet in one equi-join.
+    """
+    ways = [F.col("code"), F.concat("code", F.lit(" - "), "name"), F.col("name"), F.col("area")]
+    known = topics.select("code", F.posexplode(F.array(*[t.normalize(w) for w in ways])).alias("way", "_said"))
+    best = known.groupBy("_said").agg(F.min(F.struct("way", "code"))["code"].alias("code"))
+    out = rows.withColumn("_said", t.normalize(said)).join(best, "_said", "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("code", F.lit(default)).alias("code"))

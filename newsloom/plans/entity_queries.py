@@ -45,7 +45,7 @@ def slug_mint(spark, sf_dir):
     return part.unionByName(long_names).select("id", t.slugify("name").alias("slug"), t.mint_id("name").alias("entity_id"))
 
 
-_YEARS = "('Enem 2025','Enem 2026'),('Ministério da Educação','Ministério da Educação (MEC)'),('Processo 20240','Processo 20240'),('Lei 14.967/2024','Lei 14.967/2025'),('Plano 2024-2027','Plano 2027-2024'),('Copa 1999','Copa')"
+_YEARS = "('Feira 2011','Feira 2012'),('Museu do Vento','Museu do Vento (MV)'),('Lote 20110','Lote 20110'),('Ato 3.001/2011','Ato 3.001/2012'),('Ciclo 2011-2014','Ciclo 2014-2011'),('Mostra 1987','Mostra')"
 
 
 @register(
@@ -59,11 +59,11 @@ def year_guard(spark, sf_dir):
 
 
 _NAMES = (
-    "('Ministério da Educação','Ministério da Educação (MEC)'),('Financiadora de Estudos e Projetos (Finep)','Financiadora de Estudos e Projetos'),"
-    "('Ministério da Educação e Cultura','MEC'),('Forças Armadas do Brasil','Força Aérea Brasileira (FAB)'),"
-    "('Secretaria de Política Agrícola (SPA)','Secretaria de Prêmios e Apostas (SPA)'),('Ministério da Saúde (Brasil)','Ministério da Saúde (Líbano)'),"
-    "('Ministério da Saúde','Ministério da Saúde (Líbano)'),('Universidade Federal (Bahia)','Universidade Federal (Ceará)'),"
-    "('Tribunal (Primeira Turma)','Tribunal (Segunda Turma)'),('Banco Central do Brasil','Banco do Brasil'),('','Ministério da Educação')"
+    "('Museu do Vento Sul','Museu do Vento Sul (MVS)'),('Oficina de Barcos e Redes (Obar)','Oficina de Barcos e Redes'),"
+    "('Museu do Vento Sul e Norte','MVS'),('Coros Unidos da Serra','Coro Urbano Serrano (CUS)'),"
+    "('Casa de Tintas Abertas (CTA)','Casa de Trigo e Aveia (CTA)'),('Liga das Flores (Serra)','Liga das Flores (Litoral)'),"
+    "('Liga das Flores','Liga das Flores (Litoral)'),('Escola Livre (Norte)','Escola Livre (Sul)'),"
+    "('Coro (Manhã)','Coro (Noite)'),('Clube Novo das Águas','Clube das Águas'),('','Museu do Vento Sul')"
 )
 
 
@@ -381,9 +381,33 @@ _TOPICS = "('01.01.01','Política Fiscal','Economia'),('01.01.02','Juros','Econo
 
 @register("SELECT * FROM (VALUES ('01.01.02','01.01.02'),('03.01.01 - Vacinas','03.01.01'),('politica fiscal','01.01.01'),('economia','01.01.01'),('???','20.01.01')) AS t(said, code)")
 def category_cascade(spark, sf_dir):
-    topics = _rows(spark, _TOPICS, "code, name, area").agg(F.array_sort(F.collect_list(F.struct("code", "name", "area"))).alias("topics"))
+    from newsloom.operators import taxonomy
+
     rows = _rows(spark, "('01.01.02'),('03.01.01 - Vacinas'),('politica fiscal'),('economia'),('???')", "said")
-    return rows.join(F.broadcast(topics)).select("said", t.validated_category(F.col("said"), F.col("topics"), "20.01.01").alias("code"))
+    return taxonomy.categorised(rows, _rows(spark, _TOPICS, "code, name, area"), said="said", default="20.01.01")
+
+
+@register(
+    f"""
+    WITH t AS (SELECT n_nationkey::VARCHAR AS code, lower(n_name) AS name, lower(r_name) AS area FROM nation JOIN region ON n_regionkey = r_regionkey),
+    k AS (SELECT code, 0 AS way, code AS said FROM t UNION ALL SELECT code, 1, code || ' - ' || name FROM t UNION ALL SELECT code, 2, name FROM t UNION ALL SELECT code, 3, area FROM t),
+    b AS (SELECT said, arg_min(code, (way, code)) AS code FROM k GROUP BY 1),
+    p AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN n_nationkey::VARCHAR WHEN 1 THEN n_nationkey || ' -  ' || n_name WHEN 2 THEN n_name WHEN 3 THEN r_name ELSE 'nowhere' END AS said
+          FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT c_custkey, coalesce(code, 'none') AS code FROM p LEFT JOIN b ON b.said = {_norm('p.said')}
+    """
+)
+def categories_of_customers(spark, sf_dir):
+    """The cascade over a table: nations as topics, regions as their areas."""
+    from newsloom.operators import taxonomy
+
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    topics = places.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("area"))
+    rows = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, code = F.col("c_custkey") % 5, F.col("n_nationkey").cast("string")
+    said = F.when(k == 0, code).when(k == 1, F.concat(code, F.lit(" -  "), "n_name")).when(k == 2, F.col("n_name")).when(k == 3, F.col("r_name")).otherwise("nowhere")
+    return taxonomy.categorised(rows.select("c_custkey", said.alias("said")), topics, said="said", default="none").select("c_custkey", "code")
 
 
 @register("SELECT * FROM (VALUES ('As eleições municipais do Brasil','eleicao|municipal|brasil'),('de a o',''),('Papéis e leis','papel|leis')) AS t(q, terms)")

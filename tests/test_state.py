@@ -358,13 +358,26 @@ def test_vector_topk_in_blocks(spark):
 
 def test_answers_come_from_the_cache(spark):
     chunks = spark.createDataFrame([(1, 0, "A", "2024-01-01", "um", 0.9), (2, 0, "B", "2024-01-02", "dois", 0.8), (3, 0, "C", "2024-01-02", "", 1.0)], "document_id int, chunk_index int, title string, published_at string, content string, score double").withColumn("published_at", F.col("published_at").cast("date"))
-    asked = []
-    said = retrieval.answer("q?", chunks, lambda p: asked.append(p) or "sim", now="2024-01-01 10:00:00")
-    assert said["answer"] == "sim" and [s["id"] for s in said["sources"]] == [1, 2] and not said["cached"] and "dois" in asked[0]
+    asked, ticks = [], iter([0.0, 0.25, 1.0])
+    said = retrieval.answer("q?", chunks, lambda p: asked.append(p) or "sim", now="2024-01-01 10:00:00", clock=lambda: next(ticks), prices=(1e6, 0.0))
+    assert said["answer"] == "sim" and [s["id"] for s in said["sources"]] == [1, 2] and not said["cached"] and "[Fonte 2: B] (02/01/2024)\ndois" in asked[0]
+    assert said["latency_ms"] == {"retrieval_ms": 250.0, "generation_ms": 750.0, "total_ms": 1000.0} and said["cost_usd"] == len(asked[0]) and said["tokens_output"] == 3
     cache = spark.createDataFrame([(said["key"], "antes", "2024-01-01 09:30:00")], "key long, answer string, stored_at string")
     assert retrieval.answer("q?", chunks, lambda p: 1 / 0, cache=cache, now="2024-01-01 10:00:00")["answer"] == "antes"
     assert retrieval.answer("q?", chunks, lambda p: "novo", cache=cache, now="2024-01-01 11:00:00")["cached"] is False
     assert retrieval.answer("q?", chunks, lambda p: 1 / 0, now="2024-01-01 10:00:00", least_score=2.0)["answer"] is None
+    docs = spark.createDataFrame([(1, "x"), (2, "y")], "id int, category string")
+    only = retrieval.answer("dois", chunks, lambda p: p, documents=docs, filters={"category": "y", "agency": None}, now="2024-01-01 10:00:00", use_reranking=True, top_k=1)
+    assert [(s["id"], s["score"]) for s in only["sources"]] == [(2, 1.0)] and only["retrieval_config"] == {"num_results": 1, "reranking": True}
+
+
+def test_taxonomy_nests(spark):
+    from newsloom.operators import taxonomy
+
+    nodes = taxonomy.themes(spark, "01 - A\n01.01 - B\n01.01.02 - D\n01.01.01 - C\n01.02 - E\n02 - F\n")
+    got = {r.code: None if r.children is None else [(c.code, [x.code for x in c.children]) for c in r.children] for r in taxonomy.nested(nodes).collect()}
+    assert got == {"01": [("01.01", ["01.01.01", "01.01.02"]), ("01.02", [])], "02": None}
+    assert jobs.workers_for(100, 8) == 1 and jobs.workers_for(101, 8) == 8
 
 
 def test_stems_match(spark):
