@@ -56,7 +56,9 @@ def format_trees(messages: DataFrame, *, best: int = 1) -> DataFrame:
     deepest = max(1, rows.count()).bit_length() + 1
 
     there = rows.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    links = rows.join(there, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps"))
+    links = rows.join(there, ["c", "parent"], "left").select(
+        "c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps"),
+    )
     levels = [materialise(links, "chat-links")]
     while len(levels) <= deepest and levels[-1].filter("up is not null").limit(1).count():
         # only rows whose link has not come to a root yet are joined again
@@ -65,7 +67,10 @@ def format_trees(messages: DataFrame, *, best: int = 1) -> DataFrame:
             ahead = ahead.unionByName(done.filter("up is null"))
         ahead = ahead.select("c", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"), F.col("steps").alias("on"))
         step = levels[-1].filter("up is not null").join(ahead, ["c", "up"])
-        levels.append(materialise(step.select("c", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("steps") + F.col("on")).alias("steps")), "chat-links"))
+        levels.append(materialise(
+            step.select("c", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("steps") + F.col("on")).alias("steps")),
+            "chat-links",
+        ))
 
     totals = levels[0].filter("up is null")
     for links in levels[1:]:
@@ -76,20 +81,27 @@ def format_trees(messages: DataFrame, *, best: int = 1) -> DataFrame:
     on_path = leaves.select("c", "branch", F.col("gain").alias("path_score"), "node", F.col("steps").alias("n_turns"))
     for links in reversed(levels[:-1]):
         jump = links.filter("up is not null").select("c", "node", "up")
-        on_path = on_path.join(jump, ["c", "node"], "left").select("c", "branch", "path_score", "n_turns", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
+        on_path = on_path.join(jump, ["c", "node"], "left").select(
+            "c", "branch", "path_score", "n_turns", F.explode(F.array_compact(F.array("node", "up"))).alias("node"),
+        )
 
     place = totals.select("c", "node", F.col("steps").alias("at"))
     said = on_path.join(place, ["c", "node"]).join(rows.select("c", "node", "conv_id", "role", "text"), ["c", "node"])
     said = said.withColumns({"piece_role": escape(F.col("role")), "piece_text": escape(F.col("text")), "learn": F.coalesce("role", F.lit("")) == "assistant"})
     said = said.withColumn("piece", F.concat(F.lit(BEGIN), "piece_role", F.lit(MIDDLE), "piece_text", F.lit(END)))
     before = Window.partitionBy("c", "branch").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    said = said.withColumn("start", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.length("piece_role") + F.lit(len(BEGIN) + len(MIDDLE)))
+    said = said.withColumn(
+        "start", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.length("piece_role") + F.lit(len(BEGIN) + len(MIDDLE)),
+    )
     span = F.when(F.col("learn"), F.struct(F.col("start").cast("long").alias("start"), F.length("piece_text").cast("long").alias("length")))
     paths = said.groupBy("c", "branch").agg(
         F.first("conv_id").alias("conv_id"), F.first("path_score").alias("score"), F.first("n_turns").alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"), F.array_sort(F.collect_list(span)).alias("loss"),
     )
-    return paths.select("conv_id", F.col("branch").cast("int").alias("branch"), "score", F.col("n_turns").cast("long").alias("n_turns"), F.array_join("pieces.piece", "").alias("formatted"), "loss")
+    return paths.select(
+        "conv_id", F.col("branch").cast("int").alias("branch"), "score", F.col("n_turns").cast("long").alias("n_turns"),
+        F.array_join("pieces.piece", "").alias("formatted"), "loss",
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def _squares(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("bmd,bmd->bm", x, x) - 2 * np.einsum("bmd,bd->bm", x, q) + np.einsum("bd,bd->b", q, q)[:, None]
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def beam_search(
+    x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int = 4,
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Greedy search for all queries at once: nearest found and their squared distances, and all vertices expanded (-1: none)."""
     b, n = len(queries), len(x)
     near = np.full((b, beam), -1, np.int64)
@@ -162,7 +164,11 @@ def _routed(rows: DataFrame, shared, name: str, wide) -> DataFrame:
     return rows.mapInArrow(trimmed(run), schema)
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = 4096, homes: int = 3, probes: float = 2.0, sample: int = 20_000, degree: int = 32, beam: int = 64, search_beam: int = 128, alpha: float = 1.2, block: int = 4096, seed: int = 42) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = 4096, homes: int = 3,
+    probes: float = 2.0, sample: int = 20_000, degree: int = 32, beam: int = 64, search_beam: int = 128, alpha: float = 1.2, block: int = 4096,
+    seed: int = 42,
+) -> DataFrame:
     """For each query row its k nearest other rows: query_id, rank (int, from 1), vec_id, score (Euclidean distance, double).
 
     is_query: a condition on the column id. Equal vectors are one vertex that carries its k + 1
@@ -209,9 +215,14 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id"
         ids = [table.column("ids")[int(i)].as_py() for i in rank]
         graph, start = build_graph(x.astype(np.float32), degree=degree, beam=beam, alpha=alpha, seed=seed)
         one = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("dim", "shard", "part")}
-        return pa.table({**one, "start": pa.array([start], pa.int32()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))), "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary())})
-
-    index = dealt.select("dim", "shard", "part", "ids", "v").groupBy("dim", "shard", "part").applyInArrow(build, "dim int, shard int, part int, start int, ids array<array<bigint>>, x binary, graph binary")
+        return pa.table({
+            **one, "start": pa.array([start], pa.int32()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))),
+            "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary()),
+        })
+
+    index = dealt.select("dim", "shard", "part", "ids", "v").groupBy("dim", "shard", "part").applyInArrow(
+        build, "dim int, shard int, part int, start int, ids array<array<bigint>>, x binary, graph binary",
+    )
     index = materialise(index, "ann-index")
 
     asked = rows.filter(is_query).select("id", "v").distinct()

@@ -35,7 +35,10 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     once = docs.select(
         F.col(f"`{id_col}`").alias("id"),
-        F.explode(F.array_distinct(F.transform(F.filter(F.transform(lines, line), lambda k: F.length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))).alias("k"),
+        F.explode(F.array_distinct(F.transform(
+            F.filter(F.transform(lines, line), lambda k: F.length(k) >= min_chars),
+            lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")),
+        ))).alias("k"),
     ).select("id", "k.h1", "k.h2")
     common = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("h1", "h2", "keeper")
 
@@ -48,7 +51,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.array_join(F.transform(F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))), lambda i: F.get(F.col("lines"), i)), "\n")
     )
     rest = F.col("row")[text_col]
-    out = whole.join(gone, whole["id"].eqNullSafe(gone["id"]) & (whole["mark"] == gone["mark"]), "left").select("row", "gone", F.coalesce(rest, F.lit("")).alias("whole_text"))
+    out = whole.join(
+        gone, whole["id"].eqNullSafe(gone["id"]) & (whole["mark"] == gone["mark"]), "left",
+    ).select("row", "gone", F.coalesce(rest, F.lit("")).alias("whole_text"))
     out = out.withColumn("lines", F.split("whole_text", "\n", -1))
     names = whole.schema["row"].dataType.names
     return out.select(

@@ -37,7 +37,9 @@ def shingle_set(text: str | None, *, shingle: int = 5, seed: int = 42) -> np.nda
     starts = ends - sizes
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[i:j], seed) for i, j in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    return np.unique(np.array(
+        [digest(joined[i:j], seed) for i, j in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64
+    ))
 
 
 def wide_fingerprint(found: np.ndarray, width: int = 2 * TABLES, step: int = 255) -> np.ndarray:
@@ -66,7 +68,9 @@ def _fingerprints(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
             keys = (np.arange(TABLES, dtype=np.int32) << 16) + prints.view("<u2").astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), TABLES).cast(pa.list_(pa.int32()))
             carried = np.ascontiguousarray(prints[:, : 8 * CARRIED]).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *[pa.array(np.ascontiguousarray(carried[:, k])) for k in range(CARRIED)]], names=["v", "keys", *words])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, *[pa.array(np.ascontiguousarray(carried[:, k])) for k in range(CARRIED)]], names=["v", "keys", *words]
+            )
 
     return texts.select("v", "text").mapInArrow(trimmed(run), "v long, keys array<int>, " + ", ".join(f"{w} long" for w in words))
 
@@ -174,7 +178,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tally and the bits lose 0.08 % more at 0.8. A row comes out for each row in, repeated rows
     too; a null id never names a component of rows with ids. No rows in, no rows out.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("v", text_hash(F.col("text")))
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+    ).withColumn("v", text_hash(F.col("text")))
     roots = similar_roots(rows, shingle=shingle, seed=seed, least=least)
     each = rows.select("id", "v").join(roots, "v", "left").select("id", "v", F.coalesce("root", "v").alias("root"))
     return each.join(each.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "v", "root", "component")

@@ -89,4 +89,6 @@ SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sh
 FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY 1
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op6_substring_dedup": OP6, "op7_chat_formatting": OP7, "quality_ablations": ABLATIONS}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1, "op3_quality_rules": OP3, "op6_substring_dedup": OP6, "op7_chat_formatting": OP7, "quality_ablations": ABLATIONS,
+}

@@ -131,7 +131,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     return reduce_by_dominance(left, capacity) + best_fit(left, capacity)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
     """Token pieces of all documents: id, piece, start, length, ids_crc32 (and ids: little-endian unsigned 32-bit)."""
     shared = shared_definition(docs.sparkSession, tokenizer_path)
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -153,7 +156,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
     """Pack all documents into few sequences of at most `capacity` tokens.
 
     Documents are encoded with their end id; only longer ones are cut, into pieces of `capacity`
@@ -166,7 +172,12 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
     asked for. Null and empty texts are the end id alone; null ids and repeated rows are packed like
     any other row. Extra columns are ignored. No rows in, no rows out.
     """
-    cut = materialise(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids).withColumn("part", F.spark_partition_id()), "token-pieces")
+    cut = materialise(
+        pieces(
+            docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids,
+        ).withColumn("part", F.spark_partition_id()),
+        "token-pieces",
+    )
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
 

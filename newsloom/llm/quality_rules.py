@@ -85,7 +85,9 @@ def quality_ledger(docs: DataFrame, *, text_col: str = "text", carry: list[str]
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([measure(x.as_py()) for x in batch.column(batch.num_columns - 1)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(found[:, k]) for k in range(len(MEASURES))]], names=[f"c{k}" for k in range(len(schema))])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *[pa.array(found[:, k]) for k in range(len(MEASURES))]], names=[f"c{k}" for k in range(len(schema))]
+            )
 
     ledger = map_arrow(packed, judge, schema)
     bits = [F.expr(f"if({rule}, {1 << k}L, 0L)") for k, (_, rule) in enumerate(RULES)]

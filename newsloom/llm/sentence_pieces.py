@@ -308,9 +308,14 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
         for batch in batches:
             for own in parts_of(batch, 1, part):
                 ids = encoder.encode(own.column(1))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    names=["id", "n_tokens", "ids"],
+                )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
+    return docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
+    ).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -321,6 +326,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         encoder = _encoder(shared.value)
         for batch in batches:
             ids = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([crc32(x) for x in ids], pa.int64()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=["id", "n_tokens", "ids_crc32", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([crc32(x) for x in ids], pa.int64()), pa.array([encoder.decode(x) for x in ids], pa.string())],
+                names=["id", "n_tokens", "ids_crc32", "text"],
+            )
 
     return encoded.select("id", "n_tokens", "ids").mapInArrow(trimmed(run), "id long, n_tokens long, ids_crc32 long, text string")

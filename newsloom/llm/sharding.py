@@ -69,7 +69,9 @@ def shard_records(docs: DataFrame, *, text_col: str = "text", shards: int = 16,
     if buckets <= 1 << 16:
         starts = F.broadcast(starts)
     p = F.col("start") + F.col("at")
-    return written.join(starts, "bucket").select("row.*", F.pmod(p, F.lit(shards)).cast("int").alias("shard"), F.floor(p / F.lit(shards)).cast("long").alias("slot"))
+    return written.join(starts, "bucket").select(
+        "row.*", F.pmod(p, F.lit(shards)).cast("int").alias("shard"), F.floor(p / F.lit(shards)).cast("long").alias("slot"),
+    )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

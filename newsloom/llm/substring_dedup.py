@@ -151,7 +151,10 @@ def _cut(window: int, core: int, chunk_bytes: int):
                     start, size, cores, body = pieces(Spans(known.hashes(words)), own, window, core)
                     who = own[start]
                     begin = np.cumsum([0, *owner[:-1]])
-                    found.append((cores, body, np.array(keys, np.int64)[who], np.array(marks, np.int32)[who], start - begin[who] + np.array(base, np.int64)[who], size))
+                    found.append((
+                        cores, body, np.array(keys, np.int64)[who], np.array(marks, np.int32)[who],
+                        start - begin[who] + np.array(base, np.int64)[who], size,
+                    ))
                 for x in (words, owner, keys, marks, base):
                     x.clear()
 
@@ -204,7 +207,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = kind == GONE
         if done.any():
             at = place[done]
-            yield _batch(_SPANS, len(at), kind=GONE, key=key[done], mark=mark[done], pos=pos[done], n=n[done], fkey=body[done], fmark=at >> 32, fpos=at & 0xFFFFFFFF)
+            yield _batch(
+                _SPANS, len(at), kind=GONE, key=key[done], mark=mark[done], pos=pos[done], n=n[done], fkey=body[done], fmark=at >> 32,
+                fpos=at & 0xFFFFFFFF,
+            )
         core, body, key, mark, pos, n = (x[~done] for x in (core, body, key, mark, pos, n))
         if not len(core):
             continue
@@ -238,7 +244,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_SPANS, len(out), kind=BRANCH, key=key[out], mark=mark[out], pos=pos[out], n=n[out])
         if gone.any():
             first = heads[gone]
-            yield _batch(_SPANS, len(first), kind=GONE, key=key[gone], mark=mark[gone], pos=pos[gone], n=n[gone], fkey=key[first], fmark=mark[first], fpos=pos[first])
+            yield _batch(
+                _SPANS, len(first), kind=GONE, key=key[gone], mark=mark[gone], pos=pos[gone], n=n[gone], fkey=key[first], fmark=mark[first],
+                fpos=pos[first],
+            )
         last = (core[end], body[end], key[end], mark[end], pos[end])
 
 
@@ -263,7 +272,9 @@ def _edges(window: int):
                 words += own
             sums, at = Spans(known.hashes(words)), np.concatenate(starts)
             h1, h2 = (sums.hash(k, at, at + window).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *(pa.array(np.concatenate(x)) for x in (keys, marks, places))], names=["h1", "h2", "key", "mark", "pos"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1), pa.array(h2), *(pa.array(np.concatenate(x)) for x in (keys, marks, places))], names=["h1", "h2", "key", "mark", "pos"]
+            )
 
     return run
 
@@ -280,8 +291,12 @@ def compacted(spans: DataFrame) -> DataFrame:
     each = materialise(each, "repeated-spans")
     order = lambda c: F.row_number().over(Window.partitionBy(*line).orderBy(c)).alias("k")
     # distinct on the join's own keys: spans of repeated rows meet there without another shuffle
-    starts = each.select(*line, "pos").join(each.select(*line, F.col("end").alias("pos")), [*line, "pos"], "left_anti").distinct().select(*line, "pos", order("pos"))
-    ends = each.select(*line, "end").join(each.select(*line, F.col("pos").alias("end")), [*line, "end"], "left_anti").distinct().select(*line, "end", order("end"))
+    starts = each.select(*line, "pos").join(
+        each.select(*line, F.col("end").alias("pos")), [*line, "pos"], "left_anti",
+    ).distinct().select(*line, "pos", order("pos"))
+    ends = each.select(*line, "end").join(
+        each.select(*line, F.col("pos").alias("end")), [*line, "end"], "left_anti",
+    ).distinct().select(*line, "end", order("end"))
     whole = starts.join(ends, [*line, "k"])
     return whole.select("key", "mark", "pos", (F.col("end") - F.col("pos")).alias("n"), "fkey", "fmark", (F.col("far") + F.col("pos")).alias("fpos"))
 
@@ -302,7 +317,9 @@ def _first_words(window: int):
                     keys.append(key), marks.append(mark), places.append(s["pos"]), sizes.append(s["n"])
                     found.append(_digest(words, s["pos"], s["n"], window))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (marks, places, sizes)), pa.array(found, pa.binary())], names=["fkey", "fmark", "fpos", "n", "words"]
+                [
+                    pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (marks, places, sizes)), pa.array(found, pa.binary())
+                ], names=["fkey", "fmark", "fpos", "n", "words"]
             )
 
     return run
@@ -327,7 +344,10 @@ def _keep(text: bytes, spans: list[dict], window: int, layout: str) -> tuple[str
     return kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 8, layout: str = "words", chunk_bytes: int = 2 << 20) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 8, layout: str = "words",
+    chunk_bytes: int = 2 << 20,
+) -> DataFrame:
     """Remove each word covered by a window of words that also starts earlier in the corpus.
 
     Windows are the edges of a De Bruijn graph over the words of all texts. Each text is cut into
@@ -364,15 +384,23 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spans = materialise(cut.repartition("core").sortWithinPartitions(*order).mapInArrow(trimmed(_resolve), _SPANS), "repeated-paths")
 
     fork = spans.filter(F.col("kind") == BRANCH).groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    edges = materialise(lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(trimmed(_edges(window)), _EDGES).distinct(), "branching-edges")
+    edges = materialise(
+        lean.join(fork, ["key", "mark"]).select("key", "mark", "text", "spans").mapInArrow(trimmed(_edges(window)), _EDGES).distinct(),
+        "branching-edges",
+    )
     first = edges.groupBy("h1", "h2").agg(F.min(F.struct("key", "mark", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     first = materialise(first, "first-edges")  # a join of two plain exchanges, which Spark can split where an edge is frequent
     again = edges.join(first, ["h1", "h2"]).filter(F.struct("key", "mark", "pos") != F.col("first"))
-    again = again.select("key", "mark", "pos", F.lit(1).alias("n"), F.col("first.key").alias("fkey"), F.col("first.mark").alias("fmark"), F.col("first.pos").alias("fpos"))
+    again = again.select(
+        "key", "mark", "pos", F.lit(1).alias("n"), F.col("first.key").alias("fkey"), F.col("first.mark").alias("fmark"),
+        F.col("first.pos").alias("fpos"),
+    )
 
     paths = spans.filter(F.col("kind") == GONE).select(*again.columns)
     gone = materialise(compacted(paths.unionByName(again)), "repeated-spans")
-    asked = gone.select("fkey", "fmark", F.struct(F.col("fpos").alias("pos"), "n").alias("s")).distinct().groupBy("fkey", "fmark").agg(F.collect_list("s").alias("spans"))
+    asked = gone.select(
+        "fkey", "fmark", F.struct(F.col("fpos").alias("pos"), "n").alias("s"),
+    ).distinct().groupBy("fkey", "fmark").agg(F.collect_list("s").alias("spans"))
     at_first = lean.join(asked.withColumnsRenamed({"fkey": "key", "fmark": "mark"}), ["key", "mark"]).select("key", "mark", "text", "spans")
     words = at_first.mapInArrow(trimmed(_first_words(window)), "fkey long, fmark int, fpos int, n int, words binary")
     words = materialise(words.dropDuplicates(["fkey", "fmark", "fpos", "n"]), "first-words")
@@ -380,15 +408,26 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = gone.groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "n", "words")).alias("\u0001spans")).withColumnsRenamed({"key": "key\u0002", "mark": "mark\u0002"})
     rows = docs.select(*without(docs, ["n_words", "n_removed"]), key.alias("key\u0001"), mark.alias("mark\u0001"))
     names = rows.columns[:-2]
-    rows = rows.join(gone, (rows["key\u0001"] == gone["key\u0002"]) & (rows["mark\u0001"] == gone["mark\u0002"]), "left").select(*[F.col(f"`{c}`") for c in names], "\u0001spans")
+    rows = rows.join(
+        gone, (rows["key\u0001"] == gone["key\u0002"]) & (rows["mark\u0001"] == gone["mark\u0002"]), "left",
+    ).select(*[F.col(f"`{c}`") for c in names], "\u0001spans")
     place = names.index(text_col)
-    schema = T.StructType([*[T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in rows.schema.fields[:-1]], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([
+        *[T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in rows.schema.fields[:-1]],
+        T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_keep((t.as_py() or "").encode("utf-8", "surrogatepass"), s.as_py() or [], window, layout) for t, s in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True)]
+            out = [
+                _keep((t.as_py() or "").encode("utf-8", "surrogatepass"), s.as_py() or [], window, layout) for t,
+                s in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True)
+            ]
             columns = list(batch.columns[:-1])
             columns[place] = pa.array([x[0] for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[f"c{k}" for k in range(len(schema))])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())],
+                names=[f"c{k}" for k in range(len(schema))]
+            )
 
     return map_arrow(rows, run, schema)

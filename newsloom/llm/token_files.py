@@ -103,7 +103,10 @@ def decode_block(data: bytes, checkpoints: bytes, n: int, table: tuple[np.ndarra
 _FILE = "shard int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, bits binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, limit: int = 16, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, limit: int = 16, block: int = BLOCK, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> None:
     """Encode documents and write their ids in ascending order of id under path.
 
     path/blocks holds rows of independent blocks of whole documents (about `block` ids, more for a
@@ -149,7 +152,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             ids = np.concatenate(parts)
             bits, points = encode_block(ids, codes, lengths)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([points], pa.binary()), pa.array([bits], pa.binary())],
+                [
+                    pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
+                    pa.array([keys], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
+                    pa.array([points], pa.binary()), pa.array([bits], pa.binary()),
+                ],
                 names=["shard", "block", "first_token", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"],
             )
 
@@ -190,13 +197,18 @@ def read_token_files(spark: SparkSession, path: str, *, digest: bool = False) ->
                 ends = np.cumsum(sizes)
                 each = [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
                 out = pa.array([crc32(x) for x in each], pa.int64()) if digest else pa.array([x.astype("<u4").tobytes() for x in each], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), pa.array(ends - sizes + start.as_py()), pa.array(sizes), out], names=["id", "start", "n_tokens", last])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.as_py(), pa.int64()), pa.array(ends - sizes + start.as_py()), pa.array(sizes), out],
+                    names=["id", "start", "n_tokens", last],
+                )
 
     shards = spark.read.schema("shard int, n_tokens long").parquet(f"{path}/shards")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("shard", before.alias("before"))  # a row for each written file
     blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks").join(F.broadcast(starts), "shard")
-    return blocks.select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(trimmed(decode), f"id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
+    return blocks.select(
+        (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits",
+    ).mapInArrow(trimmed(decode), f"id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, *, digest: bool = False, **options) -> DataFrame:
