@@ -74,7 +74,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def trigrams(x: Column | str) -> Column:
     """Distinct trigrams of each word, padded by two spaces before and one after."""
     words = F.filter(F.split(F.regexp_replace(normalize(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    each = F.transform(
+        words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
+    )
     return F.array_distinct(F.flatten(each))
 
 
@@ -187,6 +189,20 @@ def level1_code(x: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in tries])
 
 
+def level_code(x: Column | str, level: int, default: str | None = None) -> Column:
+    """The code of a level (two digits, dots between) in a free reply.
+
+    In turn: one that stands alone, one at the start, one anywhere, the first digits whatever stands
+    between them, the default.
+    """
+    text = F.coalesce(_c(x), F.lit(""))
+    code = r"\d{2}" + r"\.\d{2}" * (level - 1)
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    first = F.concat_ws(".", *[F.substring(digits, 2 * k + 1, 2) for k in range(level)])
+    tries = [F.nullif(F.regexp_extract(text, p.format(code), 1), F.lit("")) for p in (r"\b({})\b", r"^\s*({})", r"({})")]
+    return F.coalesce(*tries, F.when(F.length(digits) >= 2 * level, first), F.lit(default))
+
+
 def hierarchy_holds(l1: Column | str, l2: Column | str, l3: Column | str) -> Column:
     """Each level's code starts with the one above; a missing level ends the check."""
     a, b, c = _c(l1), _c(l2), _c(l3)
@@ -200,7 +216,10 @@ def truncation_variants(x: Column | str) -> Column:
     paragraphs, words = F.split(text, "\n\n", -1), F.split(text, " ", -1)
     half = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))), " ")
     middle = F.get(paragraphs, F.floor(F.size(paragraphs) / 2).cast("int"))
-    return F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in (("whole", text), ("first", F.get(paragraphs, F.lit(0))), ("middle", middle), ("half", half))])
+    return F.array(*[
+        F.struct(F.lit(k).alias("variant"), v.alias("text")) for k,
+        v in (("whole", text), ("first", F.get(paragraphs, F.lit(0))), ("middle", middle), ("half", half))
+    ])
 
 
 #: Frequent words that full-text search ignores.

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
-from newsloom.operators import entities, knowledge, models
+from newsloom.operators import corpus, entities, knowledge, models
 from newsloom.sources import tables
 from newsloom.sources.scratch import materialise
 from newsloom.sources.tables import Snapshots
@@ -23,7 +24,10 @@ KINDS = {
 }
 
 
-def enrich(df: DataFrame, *, text_col: str, key: str, kind: str, make, done: DataFrame | None = None, most_chars: int | None = None, workers: int | None = None, waits: models.Waits = models.Waits()) -> DataFrame:
+def enrich(
+    df: DataFrame, *, text_col: str, key: str, kind: str, make, done: DataFrame | None = None, most_chars: int | None = None,
+    workers: int | None = None, waits: models.Waits = models.Waits(),
+) -> DataFrame:
     """Enrich any frame through a provider: one reply for each row that is not done, parsed to the kind's columns.
 
     Whole texts go into the prompts, or their first most_chars characters where the model's context
@@ -39,7 +43,31 @@ def enrich(df: DataFrame, *, text_col: str, key: str, kind: str, make, done: Dat
     return todo.join(parsed.select(key, "p.*", "error"), key, "left")
 
 
-def extract_mentions(articles: DataFrame, features: DataFrame, *, raw_path: str, out: str, make, version: str, since=None, until=None, again: bool = False, limit: int | None = None, workers: int | None = None, chunk_rows: int | None = None, waits: models.Waits = models.MENTIONS) -> dict:
+def classify(articles: DataFrame, *, outline: str, make, workers: int | None = None, waits: models.Waits = models.FAILED) -> DataFrame:
+    """Articles (unique_id, title, content) with the theme fields of their reply, null where there was none."""
+    kept, bad = corpus.required(articles, ["title", "content"])
+    prompts = kept.select("unique_id", models.classify_prompt(F.col("title"), F.col("content"), outline).alias("prompt"))
+    said = materialise(models.provided(prompts, make, workers=workers, waits=waits), "replies")
+    return models.enriched(articles, said.select("unique_id", "response"))
+
+
+def classify_one(spark: SparkSession, news: dict, *, outline: str, make, return_format: str = "json") -> dict | str:
+    """The classification of one article (title and content needed), as JSON text or as a dict."""
+    if return_format not in ("json", "dict"):
+        raise ValueError("return_format must be json or dict")
+    if lack := [c for c in ("title", "content") if not news.get(c)]:
+        raise ValueError(f"missing fields: {lack}")
+    row = spark.createDataFrame([(str(news.get("unique_id") or "0"), news["title"], news["content"])], "unique_id string, title string, content string")
+    found = classify(row, outline=outline, make=make).drop("title", "content").first().asDict(recursive=True)
+    if "unique_id" not in news:
+        found.pop("unique_id")
+    return found if return_format == "dict" else json.dumps(found, ensure_ascii=False)
+
+
+def extract_mentions(
+    articles: DataFrame, features: DataFrame, *, raw_path: str, out: str, make, version: str, since=None, until=None, again: bool = False,
+    limit: int | None = None, workers: int | None = None, chunk_rows: int | None = None, waits: models.Waits = models.MENTIONS,
+) -> dict:
     """Back-fill mentions over the corpus: articles (unique_id, title, content, published_at) without a logged reply for this prompt version.
 
     since, until: only a half-open window; again: also those with a reply whose features hold entities,
@@ -65,13 +93,25 @@ def extract_mentions(articles: DataFrame, features: DataFrame, *, raw_path: str,
         part = todo.filter(F.pmod(F.xxhash64("unique_id"), F.lit(chunks)) == k) if chunks > 1 else todo
         prompts = part.select("unique_id", models.ner_prompt(F.col("title"), F.col("content")).alias("prompt"))
         said = materialise(models.provided(prompts, make, workers=workers_for(n, workers), waits=waits), "replies").filter("error is null")
-        tables.append_raw_replies(said.select("unique_id", F.sha2("prompt", 256).alias("prompt_hash"), F.col("response").alias("raw_response"), F.lit(run + 1 + k).alias("run"), F.lit("ner").alias("task"), F.lit(version).alias("prompt_version")), raw_path)
+        tables.append_raw_replies(
+            said.select(
+                "unique_id", F.sha2("prompt", 256).alias("prompt_hash"), F.col("response").alias("raw_response"), F.lit(run + 1 + k).alias("run"),
+                F.lit("ner").alias("task"), F.lit(version).alias("prompt_version"),
+            ),
+            raw_path,
+        )
     replies = tables.read_log(spark, raw_path).filter((F.col("task") == "ner") & (F.col("prompt_version") == version) & (F.col("run") > run))
     last = replies.groupBy("unique_id").agg(F.max_by("raw_response", "run").alias("raw_response"))
     new = last.select("unique_id", models.parse_mentions(F.col("raw_response")).alias("_new")).filter("size(_new) > 0")
     found = new.join(features.select("unique_id", F.col("entities").alias("_old")), "unique_id", "left")
     shape = Snapshots(spark, out)
-    held = new.select("unique_id", F.transform("_new", lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["forma_canonica"].alias("forma_canonica"), F.lit(None).cast("string").alias("canonical_id"))).alias("entities"))
+    held = new.select(
+        "unique_id",
+        F.transform(
+            "_new",
+            lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["forma_canonica"].alias("forma_canonica"), F.lit(None).cast("string").alias("canonical_id")),
+        ).alias("entities"),
+    )
     before = shape.read()
     merged = held if before is None else before.join(held.select("unique_id"), "unique_id", "left_anti").unionByName(held)
     stats = {"articles": n, "replies": last.count(), "with_mentions": found.count(), "replaced": found.filter("size(_old) > 0").count()}
@@ -89,7 +129,9 @@ def current(features: DataFrame, mentions: DataFrame | None) -> DataFrame:
     if mentions is None:
         return features
     new = mentions.select("unique_id", F.col("entities").alias("_new"), F.lit(True).alias("_known"))
-    return features.join(new, "unique_id", "left").withColumn("entities", F.when(F.col("_known"), F.col("_new")).otherwise(F.col("entities"))).drop("_new", "_known")
+    return features.join(new, "unique_id", "left").withColumn(
+        "entities", F.when(F.col("_known"), F.col("_new")).otherwise(F.col("entities")),
+    ).drop("_new", "_known")
 
 
 def _keep(mentions: Snapshots, changed: DataFrame) -> None:
@@ -135,7 +177,11 @@ def window(since: str | None, until: str | None, now: datetime) -> tuple[datetim
     return (datetime.fromisoformat(since) if since else end - timedelta(days=30)), end
 
 
-def canonicalise(spark: SparkSession, *, news: DataFrame, features: DataFrame, state_path: str, base: DataFrame, since: datetime, until: datetime, replies: DataFrame | None = None, make=None, dry_run: bool = False, limit: int | None = None, workers: int | None = None, waits: models.Waits = models.Waits()) -> dict:
+def canonicalise(
+    spark: SparkSession, *, news: DataFrame, features: DataFrame, state_path: str, base: DataFrame, since: datetime, until: datetime,
+    replies: DataFrame | None = None, make=None, dry_run: bool = False, limit: int | None = None, workers: int | None = None,
+    waits: models.Waits = models.Waits(),
+) -> dict:
     """Gather forms of a window, decide each once, keep registry, aliases, queue and mentions as snapshots.
 
     replies: surface_norm, type, raw (the model's reply), chosen, chosen_confidence; or make: a
@@ -153,9 +199,15 @@ def canonicalise(spark: SparkSession, *, news: DataFrame, features: DataFrame, s
     features = current(features, mentions.read())
     inside = news.filter((F.col("published_at") >= F.lit(since)) & (F.col("published_at") < F.lit(until))).select("unique_id")
     own = features.join(inside, "unique_id")
-    mentioned = own.select("unique_id", F.explode("entities").alias("e")).select(F.coalesce(F.nullif("e.forma_canonica", F.lit("")), "e.text").alias("surface"), F.col("e.type").alias("type"), F.col("unique_id").alias("sample"))
+    mentioned = own.select("unique_id", F.explode("entities").alias("e")).select(
+        F.coalesce(F.nullif("e.forma_canonica", F.lit("")), "e.text").alias("surface"), F.col("e.type").alias("type"),
+        F.col("unique_id").alias("sample"),
+    )
     fresh = entities.gather_forms(mentioned, old_state.select("surface_norm", "type"), old_aliases)
-    fresh = fresh.select("surface_norm", "type", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("entity_id"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"), F.lit(until.isoformat()).alias("first_seen_at"))
+    fresh = fresh.select(
+        "surface_norm", "type", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("entity_id"), F.lit(0).alias("attempts"),
+        F.lit(None).cast("string").alias("last_error"), F.lit(until.isoformat()).alias("first_seen_at"),
+    )
     whole = materialise(old_state.unionByName(fresh), "queue")
     forms = materialise(entities.queue(whole, limit=limit), "forms")
 
@@ -163,20 +215,32 @@ def canonicalise(spark: SparkSession, *, news: DataFrame, features: DataFrame, s
     if replies is None:
         prompts = asked.select("surface_norm", "type", models.canon_prompt(F.col("surface_norm"), F.col("type"), F.lit("")).alias("prompt"))
         said = materialise(models.provided(prompts, make, workers=workers, waits=waits), "replies")
-        replies = said.select("surface_norm", "type", F.col("response").alias("raw"), F.lit(None).cast("string").alias("chosen"), F.lit(None).cast("double").alias("chosen_confidence"), "error")
+        replies = said.select(
+            "surface_norm", "type", F.col("response").alias("raw"), F.lit(None).cast("string").alias("chosen"),
+            F.lit(None).cast("double").alias("chosen_confidence"), "error",
+        )
     elif "error" not in replies.columns:
         replies = replies.withColumn("error", F.lit(None).cast("string"))
     told = entities.person_fast_path(asked.join(replies, ["surface_norm", "type"], "left"), asked.filter("size(candidates) > 0").select("surface_norm"))
     canon = told.withColumn("c", models.parse_canon(F.coalesce("raw", F.lit("")), F.col("surface_norm")))
     chosen = knowledge.homonym_choice(F.col("chosen"), F.col("chosen_confidence"), F.col("candidates"))
-    rows = canon.select("surface_norm", F.coalesce("c.type", "type").alias("type"), F.col("type").alias("asked_type"), F.col("c.canonical_name").alias("form"), "c.confidence", "c.not_an_entity", "candidates", chosen["qid"].alias("chosen"), chosen["confidence"].alias("chosen_confidence"), "error")
-    failed = rows.filter("error is not null").select("surface_norm", F.col("asked_type").alias("type"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("entity_id"), "error")
+    rows = canon.select(
+        "surface_norm", F.coalesce("c.type", "type").alias("type"), F.col("type").alias("asked_type"), F.col("c.canonical_name").alias("form"),
+        "c.confidence", "c.not_an_entity", "candidates", chosen["qid"].alias("chosen"), chosen["confidence"].alias("chosen_confidence"), "error",
+    )
+    failed = rows.filter("error is not null").select(
+        "surface_norm", F.col("asked_type").alias("type"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("entity_id"), "error",
+    )
     decided = materialise(entities.persist_decisions(entities.gates(rows.filter("error is null").drop("error")), old_registry), "decisions")
     stats = {r["status"]: r["n"] for r in decided.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} | {"forms": forms.count(), "errors": failed.count()}
     if dry_run:
         return stats
     kept = decided.filter("action in ('link', 'internal')")
-    new = kept.groupBy(F.col("final_id").alias("entity_id")).agg(F.min("form").alias("canonical_name"), F.min("type").alias("type"), F.min(F.when(F.col("action") == "link", F.col("entity_id"))).alias("wikidata_id"), F.lit(None).cast("string").alias("description"), F.max("confidence").alias("confidence"))
+    new = kept.groupBy(F.col("final_id").alias("entity_id")).agg(
+        F.min("form").alias("canonical_name"), F.min("type").alias("type"),
+        F.min(F.when(F.col("action") == "link", F.col("entity_id"))).alias("wikidata_id"), F.lit(None).cast("string").alias("description"),
+        F.max("confidence").alias("confidence"),
+    )
     registry.write(entities.registry_upsert(old_registry, new))
     added = kept.select(F.col("surface_norm").alias("alias_norm"), "type", F.col("final_id").alias("entity_id"))
     owners = materialise(entities.alias_add(old_aliases, added), "owners")
@@ -184,7 +248,9 @@ def canonicalise(spark: SparkSession, *, news: DataFrame, features: DataFrame, s
     lost = entities.promotions(old_aliases.unionByName(added), owners.withColumn("promoted", t.is_qid("entity_id") & (F.col("contenders") > 0)))
     lost = materialise(lost, "promoted")
     aliases.write(owners.select("alias_norm", "type", "entity_id"))
-    outcomes = decided.select("surface_norm", F.col("asked_type").alias("type"), "status", F.col("final_id").alias("entity_id"), F.lit(None).cast("string").alias("error")).unionByName(failed)
+    outcomes = decided.select(
+        "surface_norm", F.col("asked_type").alias("type"), "status", F.col("final_id").alias("entity_id"), F.lit(None).cast("string").alias("error"),
+    ).unionByName(failed)
     state.write(entities.record_outcomes(whole, outcomes))
     merged = _merge(spark, features, state_path, lost) if lost.limit(1).count() else {"merged": 0, "rewritten": 0}
     linked = entities.backfill(current(own, mentions.read()), aliases.read()).filter("changed").select("unique_id", "entities")
@@ -222,7 +288,10 @@ def main(args: list[str] | None = None) -> dict:
     if not (a.news and a.replies and a.base):
         options.error("--news, --replies and --base are needed unless --dedup is given")
     since, until = window(a.since, a.until, datetime.now())
-    return canonicalise(spark, news=read(a.news), features=read(a.features), state_path=a.state, replies=read(a.replies), base=read(a.base), since=since, until=until, dry_run=a.dry_run, limit=a.limit, workers=a.workers)
+    return canonicalise(
+        spark, news=read(a.news), features=read(a.features), state_path=a.state, replies=read(a.replies), base=read(a.base), since=since, until=until,
+        dry_run=a.dry_run, limit=a.limit, workers=a.workers,
+    )
 
 
 if __name__ == "__main__":

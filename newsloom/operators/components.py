@@ -29,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.filter("v > u").join(_nearest(both).select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = both.filter("v > u").join(
+            _nearest(both).select("u", F.least("u", "m").alias("m")), "u",
+        ).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.unionByName(_nearest(now).withColumnRenamed("m", "v")).distinct()
         near = _nearest(large)
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))

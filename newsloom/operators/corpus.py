@@ -50,7 +50,9 @@ def stratified_split(df: DataFrame, *, by: str, key: str, shares: tuple[float, f
     placed = ranks.running(df.withColumn("_draw", draw(F.col(key), seed)), by=[by], order=["_draw", key])
     sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
     place = F.col("place") / F.col("_n")
-    out = placed.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("split", F.when(place < shares[0], "train").when(place < sum(shares), "validation").otherwise("test"))
+    out = placed.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn(
+        "split", F.when(place < shares[0], "train").when(place < sum(shares), "validation").otherwise("test"),
+    )
     return out.select(*df.columns, "split")
 
 
@@ -68,8 +70,13 @@ def score_distribution(pairs: DataFrame, *, score: str = "score", by: list[str]
     pair = F.struct("id_a", "id_b")
     low = F.min(F.struct(F.col(score).alias("s"), pair.alias("pair")))
     high = F.min(F.struct((-F.col(score)).alias("s"), pair.alias("pair")))
-    rows = pairs.filter(F.col(score).isNotNull()).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), low.alias("low"), high.alias("high"))
-    return rows.select(*(by or []), "n", "mean", F.col("low.s").alias("least"), (-F.col("high.s")).alias("most"), F.col("low.pair.id_a").alias("least_a"), F.col("low.pair.id_b").alias("least_b"), F.col("high.pair.id_a").alias("most_a"), F.col("high.pair.id_b").alias("most_b"))
+    rows = pairs.filter(F.col(score).isNotNull()).groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), low.alias("low"), high.alias("high"),
+    )
+    return rows.select(
+        *(by or []), "n", "mean", F.col("low.s").alias("least"), (-F.col("high.s")).alias("most"), F.col("low.pair.id_a").alias("least_a"),
+        F.col("low.pair.id_b").alias("least_b"), F.col("high.pair.id_a").alias("most_a"), F.col("high.pair.id_b").alias("most_b"),
+    )
 
 
 def triplets(annotations: DataFrame, *, positive: int = 2) -> DataFrame:
@@ -79,7 +86,9 @@ def triplets(annotations: DataFrame, *, positive: int = 2) -> DataFrame:
     return pos.join(neg, "query_id")
 
 
-def textrank_sentences(text: str, n: int, *, damping: float = 0.85, redundancy: float = 0.7, rounds: int = 50, block: int = 1024, held: int = 1 << 24) -> list[str]:
+def textrank_sentences(
+    text: str, n: int, *, damping: float = 0.85, redundancy: float = 0.7, rounds: int = 50, block: int = 1024, held: int = 1 << 24,
+) -> list[str]:
     """The n best sentences in their order: power iteration over word overlap, early ones boosted, near repeats skipped.
 
     Similarities are computed in blocks of rows and kept up to `held` of them; those of longer texts
@@ -141,10 +150,23 @@ def synthetic_corpus(spark, *, documents: int = 250, queries: int = 60, notes: i
     """A generated corpus for trials: documents, queries, annotations; the same at each call."""
     kinds = F.array(*[F.lit(c) for c in ("economia", "saude", "educacao", "cultura", "seguranca")])
     kind = lambda k: F.get(kinds, (F.col("id") % 5).cast("int")).alias(k)
-    text = F.concat_ws(" ", F.lit("Documento"), F.col("id").cast("string"), F.get(kinds, (F.col("id") % 5).cast("int")), F.repeat(F.lit("texto "), (F.col("id") % 40 + 1).cast("int")))
-    docs = spark.range(documents).select(F.format_string("doc_%04d", "id").alias("id"), F.concat(F.lit("Título "), F.col("id").cast("string")).alias("title"), text.alias("content"), kind("category"), F.length(text).alias("length"))
-    asks = spark.range(queries).select(F.format_string("q_%03d", "id").alias("id"), F.concat_ws(" ", F.lit("sobre"), F.get(kinds, (F.col("id") % 5).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "jargon").otherwise("general").alias("query_type"), kind("expected_category"))
-    marks = spark.range(notes).select(F.format_string("q_%03d", F.col("id") % queries).alias("query_id"), F.format_string("doc_%04d", (F.col("id") * 7) % documents).alias("doc_id"), (F.col("id") % 4).cast("int").alias("relevance"), F.lit(None).cast("string").alias("notes"))
+    text = F.concat_ws(
+        " ", F.lit("Documento"), F.col("id").cast("string"), F.get(kinds, (F.col("id") % 5).cast("int")),
+        F.repeat(F.lit("texto "), (F.col("id") % 40 + 1).cast("int")),
+    )
+    docs = spark.range(documents).select(
+        F.format_string("doc_%04d", "id").alias("id"), F.concat(F.lit("Título "), F.col("id").cast("string")).alias("title"), text.alias("content"),
+        kind("category"), F.length(text).alias("length"),
+    )
+    asks = spark.range(queries).select(
+        F.format_string("q_%03d", "id").alias("id"), F.concat_ws(" ", F.lit("sobre"), F.get(kinds, (F.col("id") % 5).cast("int"))).alias("text"),
+        F.when(F.col("id") % 3 == 0, "jargon").otherwise("general").alias("query_type"), kind("expected_category"),
+    )
+    marks = spark.range(notes).select(
+        F.format_string("q_%03d", F.col("id") % queries).alias("query_id"),
+        F.format_string("doc_%04d", (F.col("id") * 7) % documents).alias("doc_id"), (F.col("id") % 4).cast("int").alias("relevance"),
+        F.lit(None).cast("string").alias("notes"),
+    )
     return docs, asks, marks
 
 
@@ -213,6 +235,11 @@ def without_tail(rows: DataFrame, size: Column, *, most: int) -> DataFrame:
     return rows.filter(size <= most)
 
 
+def recent(rows: DataFrame, date: str, *, key: str, n: int) -> DataFrame:
+    """The n most recent rows that have a date; ties go to the smaller key. A limit below the sort, no full one."""
+    return rows.filter(F.col(date).isNotNull()).orderBy(F.desc(date), key).limit(n)
+
+
 def nested_annotations(notes: DataFrame) -> DataFrame:
     """One row a query: a map from document to relevance. A query's judged documents are few, as people judge them."""
     return notes.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "relevance"))).alias("judged"))

@@ -45,7 +45,9 @@ def gates(rows: DataFrame) -> DataFrame:
         .when((n >= 1) & picked, "link")
         .otherwise("needs_review")
     )
-    entity = F.when(F.col("action") == "link", F.when(hard, F.col("chosen")).otherwise(F.get("candidates", F.lit(0)))).when(F.col("action") == "internal", t.mint_id("form"))
+    entity = F.when(
+        F.col("action") == "link", F.when(hard, F.col("chosen")).otherwise(F.get("candidates", F.lit(0))),
+    ).when(F.col("action") == "internal", t.mint_id("form"))
     return rows.withColumn("action", action).withColumns(
         {
             "status": F.when(F.col("action") == "needs_review", "needs_review").otherwise("resolved"),
@@ -86,8 +88,14 @@ def alias_add(existing: DataFrame, new: DataFrame) -> DataFrame:
     rows = existing.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
     best = Window.partitionBy("alias_norm", "type").orderBy(F.when(t.is_qid("entity_id") , 0).otherwise(1), F.desc("old"), "entity_id")
     every = Window.partitionBy("alias_norm", "type")
-    ranked = rows.withColumns({"r": F.row_number().over(best), "n": F.size(F.collect_set("entity_id").over(every)), "was": F.max(F.when(F.col("old"), F.col("entity_id"))).over(every)})
-    return ranked.filter("r = 1").select("alias_norm", "type", "entity_id", F.coalesce(F.col("was") != F.col("entity_id"), F.lit(False)).alias("promoted"), (F.col("n") - 1).cast("long").alias("contenders"))
+    ranked = rows.withColumns({
+        "r": F.row_number().over(best), "n": F.size(F.collect_set("entity_id").over(every)),
+        "was": F.max(F.when(F.col("old"), F.col("entity_id"))).over(every),
+    })
+    return ranked.filter("r = 1").select(
+        "alias_norm", "type", "entity_id", F.coalesce(F.col("was") != F.col("entity_id"), F.lit(False)).alias("promoted"),
+        (F.col("n") - 1).cast("long").alias("contenders"),
+    )
 
 
 def promotions(existing: DataFrame, owners: DataFrame) -> DataFrame:
@@ -120,14 +128,18 @@ def duplicate_candidates(registry: DataFrame, *, limit: float | None = None) ->
     side = lambda s: [F.col("type"), F.col("token"), F.col("entity_id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")]
     pairs = prefix.select(*side("a"), "least").join(prefix.select(*side("b")), ["type", "token"])
     pairs = pairs.filter((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.col("least") * F.greatest("n_a", "n_b"))).select("id_a", "id_b").distinct()
-    own = lambda s, *more: names.select(F.col("entity_id").alias(f"id_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("years").alias(f"years_{s}"), *more)
+    own = lambda s, *more: names.select(
+        F.col("entity_id").alias(f"id_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("years").alias(f"years_{s}"), *more,
+    )
     alike = t.jaccard(F.col("tokens_a"), F.col("tokens_b"))
     near = pairs.join(own("a", F.col("type"), F.col("least")), "id_a").join(own("b"), "id_b").filter("years_a = years_b").withColumn("similarity", alike)
     near = near.filter(F.col("similarity") >= F.col("least")).select("type", "id_a", "id_b", "similarity", F.lit(False).alias("by_acronym"))
     full = lambda s: own(s, F.col("type"), F.col("base"), F.col("inside").alias(f"inside_{s}")).filter("base <> ''")
     groups, letters = F.concat("inside_a", "inside_b"), F.regexp_replace("base", "[^a-z]", "")
     short = full("a").join(full("b"), ["type", "base"]).filter("id_a < id_b and years_a = years_b and size(inside_a) + size(inside_b) > 0")
-    short = short.filter(F.forall(groups, lambda p: t.is_subsequence(p, letters))).select("type", "id_a", "id_b", alike.alias("similarity"), F.lit(True).alias("by_acronym"))
+    short = short.filter(F.forall(groups, lambda p: t.is_subsequence(p, letters))).select(
+        "type", "id_a", "id_b", alike.alias("similarity"), F.lit(True).alias("by_acronym"),
+    )
     return near.unionByName(short).groupBy("type", "id_a", "id_b").agg(F.max("similarity").alias("similarity"), F.max("by_acronym").alias("by_acronym"))
 
 
@@ -171,8 +183,13 @@ def rewrite_mentions(features: DataFrame, mapping: DataFrame) -> DataFrame:
     ids = features.select("unique_id", F.explode(F.array_distinct("entities.canonical_id")).alias("source")).filter("source is not null")
     moves = ids.join(mapping, "source").groupBy("unique_id").agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("moves"))
     rows = features.join(moves, "unique_id", "left")
-    moved = F.transform("entities", lambda e: e.withField("canonical_id", F.coalesce(F.element_at(F.col("moves"), F.coalesce(e["canonical_id"], F.lit(""))), e["canonical_id"])))
-    return rows.withColumns({"entities": F.when(F.col("moves").isNull(), F.col("entities")).otherwise(moved), "changed": F.col("moves").isNotNull()}).drop("moves")
+    moved = F.transform(
+        "entities",
+        lambda e: e.withField("canonical_id", F.coalesce(F.element_at(F.col("moves"), F.coalesce(e["canonical_id"], F.lit(""))), e["canonical_id"])),
+    )
+    return rows.withColumns({
+        "entities": F.when(F.col("moves").isNull(), F.col("entities")).otherwise(moved), "changed": F.col("moves").isNotNull(),
+    }).drop("moves")
 
 
 def backfill(features: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -185,9 +202,15 @@ def backfill(features: DataFrame, aliases: DataFrame) -> DataFrame:
     flat = flat.withColumns({"alias_norm": t.normalize(form), "type": F.col("e.type")})
     joined = flat.join(aliases.select("alias_norm", "type", "entity_id"), ["alias_norm", "type"], "left")
     new = F.coalesce("entity_id", "e.canonical_id")
-    joined = joined.withColumns({"differs": F.col("pos").isNotNull() & ~new.eqNullSafe(F.col("e.canonical_id")), "linked": F.col("pos").isNotNull() & F.col("entity_id").isNotNull(), "e": F.col("e").withField("canonical_id", new)})
+    joined = joined.withColumns({
+        "differs": F.col("pos").isNotNull() & ~new.eqNullSafe(F.col("e.canonical_id")),
+        "linked": F.col("pos").isNotNull() & F.col("entity_id").isNotNull(), "e": F.col("e").withField("canonical_id", new),
+    })
     kept = F.when(F.col("pos").isNotNull(), F.struct("pos", "e"))
-    done = joined.groupBy("unique_id").agg(F.max("none").alias("none"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["e"]).alias("entities"), F.max("differs").alias("changed"), F.count_if("linked").alias("n_linked"))
+    done = joined.groupBy("unique_id").agg(
+        F.max("none").alias("none"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["e"]).alias("entities"),
+        F.max("differs").alias("changed"), F.count_if("linked").alias("n_linked"),
+    )
     return done.select("unique_id", F.when(~F.col("none"), F.col("entities")).alias("entities"), "changed", "n_linked")
 
 
@@ -198,7 +221,9 @@ def with_entities(features: DataFrame) -> DataFrame:
 
 def mentions_of(features: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose entities hold a canonical_id of ids (entity_id): only distinct ids of each row are shuffled."""
-    used = features.select("unique_id", F.explode(F.array_distinct("entities.canonical_id")).alias("entity_id")).join(ids.select("entity_id"), "entity_id", "left_semi")
+    used = features.select(
+        "unique_id", F.explode(F.array_distinct("entities.canonical_id")).alias("entity_id"),
+    ).join(ids.select("entity_id"), "entity_id", "left_semi")
     return features.join(used.select("unique_id"), "unique_id", "left_semi")
 
 
@@ -239,10 +264,14 @@ def shortlist(probes: DataFrame, registry: DataFrame, *, k: int = 10, least: flo
         return rows.filter(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(key, "type", "g")
 
     pairs = prefix(p, "key").join(prefix(r, "entity_id"), ["type", "g"]).select("key", "type", "entity_id").distinct()
-    full = pairs.join(p.select("key", "name", F.col("grams").alias("a")), "key").join(r.select("entity_id", "type", "canonical_name", F.col("grams").alias("b")), ["entity_id", "type"])
+    full = pairs.join(p.select("key", "name", F.col("grams").alias("a")), "key").join(
+        r.select("entity_id", "type", "canonical_name", F.col("grams").alias("b")), ["entity_id", "type"],
+    )
     full = full.withColumn("similarity", t.jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
     best = Window.partitionBy("name", "type").orderBy(F.desc("similarity"), "entity_id")
-    return full.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("name", "type", "entity_id", "canonical_name", "similarity", "place")
+    return full.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select(
+        "name", "type", "entity_id", "canonical_name", "similarity", "place",
+    )
 
 
 def reuse_by_name(probes: DataFrame, registry: DataFrame, *, k: int = 10) -> DataFrame:
@@ -253,9 +282,13 @@ def reuse_by_name(probes: DataFrame, registry: DataFrame, *, k: int = 10) -> Dat
     """
     near = shortlist(probes, registry, k=k).select("name", "type", "entity_id", "canonical_name")
     base = lambda d, c: d.withColumn("_base", t.strip_parens(c)).filter("_base <> ''")
-    same = base(probes.select("name", "type").distinct(), "name").join(base(registry.select("entity_id", "canonical_name", "type"), "canonical_name"), ["type", "_base"])
+    same = base(probes.select("name", "type").distinct(), "name").join(
+        base(registry.select("entity_id", "canonical_name", "type"), "canonical_name"), ["type", "_base"],
+    )
     pairs = near.unionByName(same.select(near.columns)).distinct()
-    pairs = pairs.filter(~t.differs_by_year("name", "canonical_name")).withColumns({"score": t.best_score("name", "canonical_name"), "variant": t.acronym_variant("name", "canonical_name")})
+    pairs = pairs.filter(~t.differs_by_year("name", "canonical_name")).withColumns({
+        "score": t.best_score("name", "canonical_name"), "variant": t.acronym_variant("name", "canonical_name"),
+    })
     pairs = pairs.filter((F.col("score") >= threshold(F.col("type"))) | F.col("variant"))
     best = Window.partitionBy("name", "type").orderBy(F.desc(F.col("score") >= threshold(F.col("type"))), F.desc("score"), "entity_id")
     return pairs.withColumn("r", F.row_number().over(best)).filter("r = 1").select("name", "type", "entity_id", "score")
@@ -304,7 +337,10 @@ def queue(state: DataFrame, *, limit: int | None = None, most_attempts: int = 5)
 
 def record_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     """New state after a run: (surface_norm, type, status, entity_id, error); an error leaves the form pending, an attempt later."""
-    new = outcomes.select("surface_norm", "type", F.col("status").alias("s"), F.col("entity_id").alias("e"), F.substring("error", 1, 500).alias("x"), F.lit(True).alias("ran"))
+    new = outcomes.select(
+        "surface_norm", "type", F.col("status").alias("s"), F.col("entity_id").alias("e"), F.substring("error", 1, 500).alias("x"),
+        F.lit(True).alias("ran"),
+    )
     rows = state.join(new, ["surface_norm", "type"], "left")
     failed, ran = F.col("x").isNotNull(), F.col("ran").isNotNull()
     return rows.select(
@@ -319,8 +355,12 @@ def record_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def persist_decisions(decided: DataFrame, registry: DataFrame) -> DataFrame:
     """Final id of each decision: reuse by public id, then by name under the type's threshold, then what the gates minted."""
-    known = find_by_public_id(decided.select(F.col("entity_id").alias("qid")), registry).select(F.col("qid").alias("entity_id"), F.col("entity_id").alias("by_id"))
-    named = reuse_by_name(decided.filter("action = 'internal'").select(F.col("form").alias("name"), "type"), registry).select(F.col("name").alias("form"), "type", F.col("entity_id").alias("by_name"))
+    known = find_by_public_id(decided.select(F.col("entity_id").alias("qid")), registry).select(
+        F.col("qid").alias("entity_id"), F.col("entity_id").alias("by_id"),
+    )
+    named = reuse_by_name(
+        decided.filter("action = 'internal'").select(F.col("form").alias("name"), "type"), registry,
+    ).select(F.col("name").alias("form"), "type", F.col("entity_id").alias("by_name"))
     rows = decided.join(known, "entity_id", "left").join(named, ["form", "type"], "left")
     return rows.withColumn("final_id", F.coalesce("by_id", F.when(F.col("action") == "internal", F.col("by_name")), "entity_id")).drop("by_id", "by_name")
 

@@ -18,7 +18,9 @@ def first_claim(claims: Column, prop: str) -> Column:
 
 
 def all_claims(claims: Column, prop: str) -> Column:
-    found = F.coalesce(F.try_element_at(claims, F.lit(prop)), F.expr("cast(array() as array<struct<mainsnak:struct<datavalue:struct<value:struct<id:string>>>>>)"))
+    found = F.coalesce(
+        F.try_element_at(claims, F.lit(prop)), F.expr("cast(array() as array<struct<mainsnak:struct<datavalue:struct<value:struct<id:string>>>>>)"),
+    )
     return F.filter(F.transform(found, lambda c: c["mainsnak"]["datavalue"]["value"]["id"]), lambda i: i.isNotNull())
 
 
@@ -32,7 +34,10 @@ def with_claims(entities: DataFrame) -> DataFrame:
     claims = F.from_json("claims", CLAIMS)
     rows = entities.withColumn("c", claims)
     country = first_claim(F.col("c"), "P17")
-    return rows.select("qid", preferred_label(F.col("labels")).alias("label"), country.alias("country"), F.coalesce(country == HOME, F.lit(False)).alias("country_is_br"), all_claims(F.col("c"), "P31").alias("instance_of"))
+    return rows.select(
+        "qid", preferred_label(F.col("labels")).alias("label"), country.alias("country"),
+        F.coalesce(country == HOME, F.lit(False)).alias("country_is_br"), all_claims(F.col("c"), "P31").alias("instance_of"),
+    )
 
 
 def candidates(forms: DataFrame, base: DataFrame, *, limit: int = 7) -> DataFrame:

@@ -78,6 +78,8 @@ def governed(work: DataFrame, ledger: DataFrame, quota: dict[str, int], *, day:
     limit = quota.get(model)
     if not limit:
         return work.withColumn("runs", F.lit(True))
-    spent = ledger.filter((F.col("day") == day) & (F.col("model_id") == model)).agg(F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0))).first()[0]
+    spent = ledger.filter((F.col("day") == day) & (F.col("model_id") == model)).agg(F.coalesce(
+        F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0),
+    )).first()[0]
     rows = ranks.running(work, by=[by], order=order, value=F.coalesce("tokens", F.lit(0)))
     return rows.withColumn("runs", F.col("before") + F.lit(int(spent)) < F.lit(fraction * limit)).drop("place", "before")

@@ -18,7 +18,9 @@ def ranking_metrics(lists: DataFrame, *, k: int = 10, by: str = "query_id", rele
     """
     order, ideal = Window.partitionBy(by).orderBy("rank"), Window.partitionBy(by).orderBy(F.desc("relevance"), "rank")
     hit = (F.col("relevance") >= relevant).cast("int")
-    rows = lists.withColumns({"hit": hit, "best": F.row_number().over(ideal)}).withColumn("hits", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = lists.withColumns({"hit": hit, "best": F.row_number().over(ideal)}).withColumn(
+        "hits", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    )
     gain = lambda place: F.sum(F.when(F.col(place) <= k, F.col("relevance") / F.log2(F.col(place) + F.lit(1.0))).otherwise(0.0))
     out = rows.groupBy(by).agg(
         gain("rank").alias("dcg"), gain("best").alias("idcg"),
@@ -32,7 +34,9 @@ def ranking_metrics(lists: DataFrame, *, k: int = 10, by: str = "query_id", rele
 def recall_at_k(lists: DataFrame, totals: DataFrame, *, k: int, by: str = "query_id") -> DataFrame:
     """Relevant rows within k over all relevant ones (totals: by, n_relevant)."""
     found = lists.filter((F.col("rank") <= k) & (F.col("relevance") > 0)).groupBy(by).agg(F.count(F.lit(1)).alias("found"))
-    return totals.join(found, by, "left").select(by, F.coalesce(F.try_divide(F.coalesce("found", F.lit(0)).cast("double"), F.col("n_relevant").cast("double")), F.lit(0.0)).alias("recall"))
+    return totals.join(found, by, "left").select(
+        by, F.coalesce(F.try_divide(F.coalesce("found", F.lit(0)).cast("double"), F.col("n_relevant").cast("double")), F.lit(0.0)).alias("recall"),
+    )
 
 
 def judged(rankings: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -46,7 +50,13 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def f1_by_label(rows: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of each label of (truth, pred)."""
-    sides = rows.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), (F.col("truth") == F.col("pred")).cast("int").alias("ok"))
+    sides = rows.select(
+        F.explode(F.array(
+            F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")),
+            F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+        )).alias("s"),
+        (F.col("truth") == F.col("pred")).cast("int").alias("ok"),
+    )
     by = sides.groupBy("s.label").agg(F.sum(F.col("ok") * F.col("s.t")).alias("tp"), F.sum("s.p").alias("n_pred"), F.sum("s.t").alias("support"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     out = by.withColumns({"precision": ratio("tp", "n_pred"), "recall": ratio("tp", "support")})
@@ -65,7 +75,9 @@ def accuracy_by_level(rows: DataFrame, levels: dict[str, tuple[str, str]]) -> Da
     """level, accuracy, n for each (truth, prediction) pair of columns; rows without a true label do not count, one without a prediction is wrong."""
     sides = [F.struct(F.lit(k).alias("level"), F.col(a).cast("string").alias("truth"), F.col(b).cast("string").alias("pred")) for k, (a, b) in levels.items()]
     each = rows.select(F.explode(F.array(*sides)).alias("s")).select("s.*").filter("truth is not null")
-    return each.groupBy("level").agg(F.avg(F.coalesce((F.col("truth") == F.col("pred")).cast("double"), F.lit(0.0))).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy("level").agg(
+        F.avg(F.coalesce((F.col("truth") == F.col("pred")).cast("double"), F.lit(0.0))).alias("accuracy"), F.count(F.lit(1)).alias("n"),
+    )
 
 
 def mean_over_queries(per_query: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
@@ -81,7 +93,10 @@ def search_report(results: DataFrame, queries: DataFrame) -> DataFrame:
     own = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min_by("category", "rank").alias("category"))
     rows = queries.select("query_id", "expected").join(own, "query_id", "left")
     match = F.coalesce((F.col("category") == F.col("expected")).cast("double"), F.lit(0.0))
-    return rows.agg(F.avg(match).alias("match_rate"), F.avg(F.coalesce("top", F.lit(0.0))).alias("mean_top_score"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_results"))
+    return rows.agg(
+        F.avg(match).alias("match_rate"), F.avg(F.coalesce("top", F.lit(0.0))).alias("mean_top_score"),
+        F.avg(F.coalesce("n", F.lit(0))).alias("mean_results"),
+    )
 
 
 def agreement(a: Column, b: Column, c: Column) -> Column:
@@ -134,7 +149,9 @@ def binomial_interval(ok: pd.Series, n: pd.Series) -> pd.DataFrame:
 
 def grams(tokens: Column, n: int) -> Column:
     size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def rouge_n(pairs: DataFrame, *, n: int, key: str = "id") -> DataFrame:
@@ -193,7 +210,10 @@ def rouge_band(x: Column) -> Column:
 
 
 #: Measure, low, high, points, whether less is better.
-SCORE_PARTS = (("ndcg_general", 0.70, 0.90, 25, False), ("ndcg_jargon", 0.70, 0.90, 25, False), ("map", 0.70, 0.90, 10, False), ("mrr", 0.75, 0.95, 5, False), ("throughput", 50, 150, 15, False), ("latency_p99", 500, 100, 10, True), ("ndcg_long", 0.60, 0.85, 10, False))
+SCORE_PARTS = (
+    ("ndcg_general", 0.70, 0.90, 25, False), ("ndcg_jargon", 0.70, 0.90, 25, False), ("map", 0.70, 0.90, 10, False), ("mrr", 0.75, 0.95, 5, False),
+    ("throughput", 50, 150, 15, False), ("latency_p99", 500, 100, 10, True), ("ndcg_long", 0.60, 0.85, 10, False),
+)
 
 
 def weighted_score(compat: bool = True) -> Column:

@@ -31,7 +31,10 @@ def parse_mentions(raw: Column) -> Column:
     """Mentions (text, type, count, forma_canonica, salience) from {"entities": [...]} or a bare list; invalid ones drop out."""
     bare, whole = F.regexp_extract(raw, r"(?s)(\[.*\])", 1), t.first_object(raw)
     inner = F.from_json(whole, f"entities {MENTION_SCHEMA}")["entities"]
-    first = F.when((F.instr(raw, "[") > 0) & ((F.instr(raw, "{") == 0) | (F.instr(raw, "[") < F.instr(raw, "{"))), F.coalesce(F.from_json(bare, MENTION_SCHEMA), inner))
+    first = F.when(
+        (F.instr(raw, "[") > 0) & ((F.instr(raw, "{") == 0) | (F.instr(raw, "[") < F.instr(raw, "{"))),
+        F.coalesce(F.from_json(bare, MENTION_SCHEMA), inner),
+    )
     found = F.coalesce(first, inner, F.expr(f"cast(array() as {MENTION_SCHEMA})"))
     good = F.filter(found, lambda e: e["text"].isNotNull() & (e["text"] != "") & t.sanctioned_type(e["type"]).isNotNull())
     return F.transform(
@@ -76,11 +79,16 @@ def total_usage(*calls: Column) -> Column:
 
 
 def classify_prompt(title: Column, content: Column, outline: str) -> Column:
-    return F.concat(F.lit("Classifique a notícia na taxonomia.\n"), F.lit(outline), F.lit("\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 2000), F.lit("")))
+    return F.concat(
+        F.lit("Classifique a notícia na taxonomia.\n"), F.lit(outline), F.lit("\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "),
+        F.coalesce(t.preview(content, 2000), F.lit("")),
+    )
 
 
 def ner_prompt(title: Column, content: Column) -> Column:
-    return F.concat(F.lit("Extraia as entidades.\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 3000), F.lit("")))
+    return F.concat(
+        F.lit("Extraia as entidades.\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 3000), F.lit("")),
+    )
 
 
 def canon_prompt(form: Column, kind: Column, context: Column) -> Column:
@@ -90,28 +98,43 @@ def canon_prompt(form: Column, kind: Column, context: Column) -> Column:
 def homonym_prompt(form: Column, offered: Column, context: Column) -> Column:
     """offered: array of structs (qid, label)."""
     lines = F.array_join(F.transform(offered, lambda c: F.concat(F.lit("- "), c["qid"], F.lit(": "), F.coalesce(c["label"], F.lit("")))), "\n")
-    return F.concat(F.lit("Qual candidato é a entidade? Responda só com o id.\nForma: "), form, F.lit("\nCandidatos:\n"), lines, F.lit("\nContexto: "), F.coalesce(t.preview(context, 1500), F.lit("")))
+    return F.concat(
+        F.lit("Qual candidato é a entidade? Responda só com o id.\nForma: "), form, F.lit("\nCandidatos:\n"), lines, F.lit("\nContexto: "),
+        F.coalesce(t.preview(context, 1500), F.lit("")),
+    )
 
 
 def organic_prompt(title: Column, content: Column) -> Column:
     """Classification without a given taxonomy: the model makes the tree."""
-    return F.concat(F.lit("Crie uma árvore temática de três níveis para a notícia, com códigos 01, 01.01 e 01.01.01.\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 2000), F.lit("")))
+    return F.concat(
+        F.lit("Crie uma árvore temática de três níveis para a notícia, com códigos 01, 01.01 e 01.01.01.\nTítulo: "), F.coalesce(title, F.lit("")),
+        F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 2000), F.lit("")),
+    )
 
 
 def compact_prompt(title: Column, content: Column, outline: str) -> Column:
     """The classification prompt in few tokens: short outline and 1000 characters of content."""
-    return F.concat(F.lit("Classifique (JSON): "), F.lit(outline), F.lit("\n"), F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(t.preview(content, 1000), F.lit("")))
+    return F.concat(
+        F.lit("Classifique (JSON): "), F.lit(outline), F.lit("\n"), F.coalesce(title, F.lit("")), F.lit("\n"),
+        F.coalesce(t.preview(content, 1000), F.lit("")),
+    )
 
 
 def local_prompt(title: Column, content: Column, outline: str) -> Column:
     """For small local models: one instruction and one field a line."""
-    return F.concat(F.lit("Responda apenas com o código do tema.\nTemas:\n"), F.lit(outline), F.lit("\nTítulo: "), F.coalesce(title, F.lit("")), F.lit("\nTexto: "), F.coalesce(t.preview(content, 1500), F.lit("")), F.lit("\nCódigo:"))
+    return F.concat(
+        F.lit("Responda apenas com o código do tema.\nTemas:\n"), F.lit(outline), F.lit("\nTítulo: "), F.coalesce(title, F.lit("")),
+        F.lit("\nTexto: "), F.coalesce(t.preview(content, 1500), F.lit("")), F.lit("\nCódigo:"),
+    )
 
 
 def levels_prompt(title: Column, content: Column, outline: str, *, examples: str = "") -> Column:
     """For comparisons of prompts: lines "Nível n: code - label", with or without examples."""
     shots = F.lit(f"Exemplos:\n{examples}\n" if examples else "")
-    return F.concat(F.lit("Classifique em três níveis.\n"), F.lit(outline), F.lit("\n"), shots, F.lit("Título: "), F.coalesce(title, F.lit("")), F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 2000), F.lit("")), F.lit("\nNível 1: "))
+    return F.concat(
+        F.lit("Classifique em três níveis.\n"), F.lit(outline), F.lit("\n"), shots, F.lit("Título: "), F.coalesce(title, F.lit("")),
+        F.lit("\nConteúdo: "), F.coalesce(t.preview(content, 2000), F.lit("")), F.lit("\nNível 1: "),
+    )
 
 
 def replayed(prompts: DataFrame, raw_log: DataFrame, *, task: str) -> DataFrame:
@@ -194,7 +217,10 @@ def timed(run: Callable[[list[str]], object], texts: list[str], *, iterations: i
     return {"throughput": len(texts) / mean if mean > 0 else 0.0, "latencies_ms": latencies}
 
 
-def provided(rows: DataFrame, make: Callable[[], Callable[[str], str]], *, attempts: int = 3, fallbacks: tuple = (), workers: int | None = None, waits: Waits = Waits(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def provided(
+    rows: DataFrame, make: Callable[[], Callable[[str], str]], *, attempts: int = 3, fallbacks: tuple = (), workers: int | None = None,
+    waits: Waits = Waits(), sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """Call a provider for each prompt, a client for each task; failures become error text, never a failed task.
 
     workers: tasks, and so clients, at a time at most (else one for each input partition). Between
@@ -241,7 +267,10 @@ def parse_levels(reply: Column) -> Column:
 
 
 #: The columns that a failed enrichment leaves null.
-FALLBACK = {f: "string" for f in ("theme_1_level_1", *[f"theme_1_level_{n}_{c}" for n in (1, 2, 3) for c in ("code", "label")], "most_specific_theme_code", "most_specific_theme_label", "summary")} | {"sentiment": "struct<label:string,score:double>"}
+FALLBACK = {f: "string" for f in (
+    "theme_1_level_1", *[f"theme_1_level_{n}_{c}" for n in (1, 2, 3) for c in ("code", "label")], "most_specific_theme_code",
+    "most_specific_theme_label", "summary",
+)} | {"sentiment": "struct<label:string,score:double>"}
 
 
 def fallback(rows: DataFrame) -> DataFrame:
@@ -259,11 +288,15 @@ def row_merge(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
 def mock_classification(articles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Deterministic offline classifier: the first level-1 code for all."""
     first = nodes.filter("level = 1").agg(F.min_by(F.struct("code", "label"), "code").alias("n"))
-    return articles.join(F.broadcast(first)).select(*articles.columns, F.col("n.code").alias("theme_1_level_1_code"), F.col("n.label").alias("theme_1_level_1_label"))
+    return articles.join(F.broadcast(first)).select(
+        *articles.columns, F.col("n.code").alias("theme_1_level_1_code"), F.col("n.label").alias("theme_1_level_1_label")
+    )
 
 
 def enriched(articles: DataFrame, replies: DataFrame) -> DataFrame:
     """Articles with the parsed theme fields of their reply (null where there is none), right side winning."""
     parsed = replies.select("unique_id", parse_theme(F.col("response")).alias("p"))
     kept = [c for c in articles.columns if c not in {*THEME_FIELDS, "sentiment"}]
-    return articles.select(*kept).join(parsed, "unique_id", "left").select(*kept, *[F.col(f"p.{f}").alias(f) for f in THEME_FIELDS], F.col("p.sentiment").alias("sentiment"))
+    return articles.select(*kept).join(parsed, "unique_id", "left").select(
+        *kept, *[F.col(f"p.{f}").alias(f) for f in THEME_FIELDS], F.col("p.sentiment").alias("sentiment")
+    )

@@ -20,13 +20,21 @@ def running(df: DataFrame, *, by: list[str], order: list[Column | str], value: C
     dealt = df.withColumn("_value", value).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     dealt = materialise(dealt, "ranges")
     own = Window.partitionBy(*by, "_part").orderBy(*order)
-    local = dealt.withColumns({"_place": F.row_number().over(own) - 1, "_before": F.coalesce(F.sum("_value").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    local = dealt.withColumns({
+        "_place": F.row_number().over(own) - 1, "_before": F.coalesce(F.sum("_value").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_sum"))
-    parts = parts.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    parts = parts.select(
+        *by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"),
+    )
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_part"]]
     out = local.alias("l").join(parts.alias("r"), same)
-    return out.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("l._place") + F.col("r._first")).alias("place"), (F.col("l._before") + F.col("r._carried")).alias("before"))
+    return out.select(
+        *[F.col(f"l.`{c}`") for c in df.columns], (F.col("l._place") + F.col("r._first")).alias("place"),
+        (F.col("l._before") + F.col("r._carried")).alias("before"),
+    )
 
 
 def percentiles(df: DataFrame, *, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:

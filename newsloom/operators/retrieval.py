@@ -36,7 +36,10 @@ def chunk_fixed(docs: DataFrame, *, size: int = 1000, overlap: int = 200) -> Dat
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(step))
     rows = docs.filter(F.length(text) > 0).select("id", F.posexplode(starts).alias("chunk_index", "char_start"), text.alias("text"))
     content = F.substr("text", F.col("char_start") + 1, F.lit(size))
-    return rows.select("id", "chunk_index", content.alias("content"), F.lit("fixed").alias("chunk_type"), "char_start", (F.col("char_start") + F.length(content)).alias("char_end"))
+    return rows.select(
+        "id", "chunk_index", content.alias("content"), F.lit("fixed").alias("chunk_type"), "char_start",
+        (F.col("char_start") + F.length(content)).alias("char_end"),
+    )
 
 
 def chunk_paragraph(docs: DataFrame, *, separator: str = "\n") -> DataFrame:
@@ -131,8 +134,12 @@ def vector_topk(queries: DataFrame, items: DataFrame, *, k: int = 10, item_block
     columns, rows = max(1, -(-n_items // item_block)), max(1, -(-n_queries // query_block))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     number = lambda c: F.coalesce(c.cast("array<double>"), F.array().cast("array<double>"))
-    dealt = items.select("id", number(F.col("v")).alias("v"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("x")).withColumn("y", spread(rows))
-    asked = queries.select("query_id", number(F.col("q")).alias("q"), F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("y")).withColumn("x", spread(columns))
+    dealt = items.select(
+        "id", number(F.col("v")).alias("v"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("x"),
+    ).withColumn("y", spread(rows))
+    asked = queries.select(
+        "query_id", number(F.col("q")).alias("q"), F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("y"),
+    ).withColumn("x", spread(columns))
 
     def unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
         x = np.nan_to_num(np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, dim), nan=0.0)
@@ -173,7 +180,9 @@ def class_similarity(queries: DataFrame, items: DataFrame) -> DataFrame:
     units = lambda d, c: d.withColumn("_u", F.col(c).cast("array<double>")).withColumn("_n", norm(F.col("_u"))).filter("_n > 0").withColumn("_u", F.transform("_u", lambda x: x / F.col("_n")))
     each = units(items, "v").select("label", F.size("_u").alias("dim"), F.posexplode("_u").alias("p", "x"))
     sums = each.groupBy("label", "dim", "p").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    vector = lambda d, by, n, s: d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias(s), F.max("n").alias(n))
+    vector = lambda d, by, n, s: d.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias(s), F.max("n").alias(n),
+    )
     own = vector(sums, ["label", "dim"], "n_own", "own")
     whole = vector(sums.groupBy("dim", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")), ["dim"], "n_all", "all")
     q = units(queries, "q").select("query_id", "label", F.col("_u").alias("u"), F.size("_u").alias("dim"))
@@ -223,8 +232,13 @@ def stemmed_match(docs: DataFrame, question: str) -> DataFrame:
     marks = F.array(*[F.lit(x) for x in terms]).cast("array<string>")
     # the words are cut and stemmed before they are counted: a generator keeps the two projections apart
     each = words.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    rows = each.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.when(F.array_contains(marks, F.col("word")), F.col("n")).otherwise(0)).alias("hits"), F.count_if(F.array_contains(marks, F.col("word"))).alias("present"))
-    return rows.filter((F.col("present") == len(terms)) & F.lit(bool(terms))).select("id", "hits", (F.col("hits") / (F.lit(1.0) + F.log(F.col("n").cast("double")))).alias("rank_score"))
+    rows = each.groupBy("id").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.array_contains(marks, F.col("word")), F.col("n")).otherwise(0)).alias("hits"),
+        F.count_if(F.array_contains(marks, F.col("word"))).alias("present"),
+    )
+    return rows.filter((F.col("present") == len(terms)) & F.lit(bool(terms))).select(
+        "id", "hits", (F.col("hits") / (F.lit(1.0) + F.log(F.col("n").cast("double")))).alias("rank_score"),
+    )
 
 
 def fulltext_match(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -408,7 +422,9 @@ def ivf_search(queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: in
 def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: RetrieverConfig = RetrieverConfig()) -> DataFrame:
     """Vector only, full text only and hybrid, side by side: mode, id, rank."""
     one = lambda d, mode: d.filter(F.col("rank") <= config.final_k).select(F.lit(mode).alias("mode"), "id", "rank")
-    return one(vector_ranking, "vector").unionByName(one(text_ranking, "fulltext")).unionByName(one(hybrid_search(vector_ranking, text_ranking, config), "hybrid"))
+    return one(vector_ranking, "vector").unionByName(one(text_ranking, "fulltext")).unionByName(one(
+        hybrid_search(vector_ranking, text_ranking, config), "hybrid",
+    ))
 
 
 def answer(
@@ -430,10 +446,15 @@ def answer(
     best = best_chunk(chunks.filter((F.col("score") >= least_score) & (F.length("content") > 0)))
     most = budget_chars if top_k is None else min(top_k, budget_chars)
     if use_reranking:
-        best = rerank(best.withColumnRenamed("document_id", "id"), question, k=most).withColumnRenamed("id", "document_id").withColumn("score", F.col("rerank_score")).drop("rerank_score")
+        best = rerank(
+            best.withColumnRenamed("document_id", "id"), question, k=most,
+        ).withColumnRenamed("id", "document_id").withColumn("score", F.col("rerank_score")).drop("rerank_score")
     top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=most).withColumn("one", F.lit(1))
     packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
-    rows = packed.select("rank", "id", "title", "score", "content", context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content")).alias("block")).orderBy("rank").collect()
+    rows = packed.select(
+        "rank", "id", "title", "score", "content",
+        context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content")).alias("block"),
+    ).orderBy("rank").collect()
     sources = [{"index": r["rank"], "id": r.id, "title": r.title, "score": r.score, "chunk_text": r.content} for r in rows]
     spark = chunks.sparkSession
     key = spark.range(1).select(answer_key(F.lit(question), F.array(*[F.lit(r.id) for r in rows]).cast("array<string>")).alias("k")).first().k
@@ -478,5 +499,8 @@ def answer_context(chunks: DataFrame, *, question: str, budget_chars: int = 32_0
     top = ranked(best.withColumnRenamed("document_id", "id"), "score", k=budget_chars).withColumn("one", F.lit(1))
     packed = pack_context(top, budget=budget_chars, by=["one"], order=["rank"], size=F.length("content"))
     block = context_block(F.col("rank"), F.col("title"), F.col("published_at"), F.col("content"))
-    joined = packed.groupBy("one").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_sources"))
+    joined = packed.groupBy("one").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"),
+        F.count(F.lit(1)).alias("n_sources"),
+    )
     return joined.select("n_sources", answer_prompt(F.col("context"), F.lit(question), kind).alias("prompt"))

@@ -29,16 +29,22 @@ def themes(spark: SparkSession, outline: str) -> DataFrame:
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """Level-3 rows with their parents (two equi-joins); rows whose parent is missing drop out."""
-    level = lambda n, s: nodes.filter(F.col("level") == n).select(F.col("code").alias(f"l{n}_code"), F.col("label").alias(f"l{n}_label"), *([F.col("parent_code").alias(s)] if s else []))
+    level = lambda n, s: nodes.filter(F.col("level") == n).select(
+        F.col("code").alias(f"l{n}_code"), F.col("label").alias(f"l{n}_label"), *([F.col("parent_code").alias(s)] if s else []),
+    )
     return level(3, "l2_code").join(level(2, "l1_code"), "l2_code").join(level(1, None), "l1_code")
 
 
 def nested(nodes: DataFrame) -> DataFrame:
     """One row a level-1 code: code, label, children (array of code, label, children of level 3), all in order of code."""
     third = nodes.filter("level = 3").groupBy("parent_code").agg(F.array_sort(F.collect_list(F.struct("code", "label"))).alias("children"))
-    second = nodes.filter("level = 2").select("code", "label", F.col("parent_code").alias("up")).join(third.withColumnRenamed("parent_code", "code"), "code", "left")
+    second = nodes.filter("level = 2").select("code", "label", F.col("parent_code").alias("up")).join(
+        third.withColumnRenamed("parent_code", "code"), "code", "left",
+    )
     empty = F.expr("cast(array() as array<struct<code:string,label:string>>)")
-    second = second.groupBy("up").agg(F.array_sort(F.collect_list(F.struct("code", "label", F.coalesce("children", empty).alias("children")))).alias("children"))
+    second = second.groupBy("up").agg(F.array_sort(F.collect_list(F.struct(
+        "code", "label", F.coalesce("children", empty).alias("children"),
+    ))).alias("children"))
     return nodes.filter("level = 1").select("code", "label").join(second.withColumnRenamed("up", "code"), "code", "left")
 
 

@@ -238,6 +238,30 @@ def levels_parsed(spark, sf_dir):
     return p.select("doc_id", F.col("p.theme_1_level_1_code").alias("l1"), F.col("p.theme_1_level_1").alias("label1"), F.col("p.theme_1_level_2_code").alias("l2"), F.col("p.most_specific_theme_code").alias("deepest"), F.col("p.most_specific_theme_label").alias("deepest_label"))
 
 
+@register(
+    r"""
+    WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Tema 0' || event_id % 9 || '.02 aqui' WHEN 1 THEN ' 03.04x' WHEN 2 THEN 'a05.06.07b' WHEN 3 THEN 'sem' WHEN 4 THEN '0 3 - 0 ' || event_id % 10 END AS s FROM events),
+    d AS (SELECT *, coalesce(s, '') AS t, regexp_replace(coalesce(s, ''), '[^0-9]', '', 'g') AS g FROM r)
+    SELECT event_id, coalesce(nullif(regexp_extract(t, '\b(\d{2}\.\d{2})\b', 1), ''), nullif(regexp_extract(t, '^\s*(\d{2}\.\d{2})', 1), ''), nullif(regexp_extract(t, '(\d{2}\.\d{2})', 1), ''), CASE WHEN length(g) >= 4 THEN g[1:2] || '.' || g[3:4] END, '20.01') AS l2,
+      coalesce(nullif(regexp_extract(t, '(\d{2}\.\d{2}\.\d{2})', 1), ''), CASE WHEN length(g) >= 6 THEN g[1:2] || '.' || g[3:4] || '.' || g[5:6] END) AS l3 FROM d
+    """
+)
+def codes_of_levels(spark, sf_dir):
+    """Codes of levels 2 and 3 in free replies, with all fallbacks."""
+    i, k = F.col("event_id"), F.col("event_id") % 6
+    a, b = F.concat(F.lit("Tema 0"), (i % 9).cast("string"), F.lit(".02 aqui")), F.concat(F.lit("0 3 - 0 "), (i % 10).cast("string"))
+    said = F.when(k == 0, a).when(k == 1, F.lit(" 03.04x")).when(k == 2, F.lit("a05.06.07b")).when(k == 3, F.lit("sem")).when(k == 4, b)
+    return _t(spark, sf_dir, "events").select("event_id", t.level_code(said, 2, "20.01").alias("l2"), t.level_code(said, 3).alias("l3"))
+
+
+@register("SELECT event_id FROM events WHERE event_id % 5 <> 0 AND event_id NOT IN (SELECT doc_id FROM labels) ORDER BY ts DESC, event_id LIMIT 50")
+def dated_backlog(spark, sf_dir):
+    """The most recent rows that have a date and are not done."""
+    rows = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("at"))
+    done = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"))
+    return corpus.recent(rows.join(done, "event_id", "left_anti"), "at", key="event_id", n=50).select("event_id")
+
+
 @register("SELECT doc_id, 'v2' AS source, NULL::VARCHAR AS summary, NULL::VARCHAR AS most_specific_theme_code FROM documents")
 def fallback_rows(spark, sf_dir):
     """Rows of a failed enrichment: what was merged into them stays, the enriched fields are null."""

@@ -184,7 +184,10 @@ def credentials(uri: str, *, region: str = "us-east-1") -> tuple[str | None, str
 
 def sql_type(kind: T.DataType) -> str:
     """Column type of the relational export; unknown kinds are text."""
-    table = {T.StringType: "TEXT", T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE PRECISION", T.FloatType: "REAL", T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP"}
+    table = {
+        T.StringType: "TEXT", T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE PRECISION", T.FloatType: "REAL",
+        T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP",
+    }
     if isinstance(kind, T.ArrayType):
         return "TEXT[]"
     return table.get(type(kind), "TEXT")

@@ -28,7 +28,9 @@ def pending(decoded: DataFrame, articles: DataFrame, done: DataFrame | None) ->
     ids = decoded.filter("unique_id is not null and unique_id <> ''").select("unique_id").distinct()
     if done is not None:
         ids = ids.join(done.select("unique_id"), "unique_id", "left_anti")
-    return ids.join(articles.withColumn("_known", F.lit(True)), "unique_id", "left").withColumn("status", F.when(F.col("_known"), "enriched").otherwise("not_found")).drop("_known")
+    return ids.join(articles.withColumn("_known", F.lit(True)), "unique_id", "left").withColumn(
+        "status", F.when(F.col("_known"), "enriched").otherwise("not_found"),
+    ).drop("_known")
 
 
 def finished(spark: SparkSession, out: str, query: str, number: int) -> DataFrame | None:
@@ -50,7 +52,10 @@ def publish(enriched: DataFrame, topic: str | None) -> bool:
     return True
 
 
-def run_once(spark: SparkSession, source: str, articles: DataFrame, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], *, files_per_trigger: int = 100, at_least_seconds: int | None = None):
+def run_once(
+    spark: SparkSession, source: str, articles: DataFrame, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], *,
+    files_per_trigger: int = 100, at_least_seconds: int | None = None,
+):
     """Process all messages that have come and stop.
 
     Each micro-batch writes its own folder, by query id (kept in the checkpoint) and batch id: a batch

@@ -10,7 +10,7 @@ import pytest
 
 from newsloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERIES_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

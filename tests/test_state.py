@@ -179,6 +179,20 @@ def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
     assert run(again=True, since=datetime(2024, 1, 2))["articles"] == 1
 
 
+def test_classify_one_and_many(spark):
+    say = '{"theme_1_level_1_code":"01","theme_1_level_1_label":"A","summary":"s","sentiment":{"label":"neutral","score":0.0}}'
+    make = lambda: lambda p: say if "01 - A" in p and "bom" in p else 1 / 0
+    rows = spark.createDataFrame([("a", "t", "bom"), ("b", "t", "mau"), ("c", None, "bom")], "unique_id string, title string, content string")
+    got = {r.unique_id: (r.theme_1_level_1_code, r.summary) for r in jobs.classify(rows, outline="01 - A", make=make, waits=models.Waits()).collect()}
+    assert got == {"a": ("01", "s"), "b": (None, None), "c": (None, None)}
+    one = jobs.classify_one(spark, {"title": "t", "content": "bom"}, outline="01 - A", make=make, return_format="dict")
+    assert one["theme_1_level_1_label"] == "A" and one["sentiment"] == {"label": "neutral", "score": 0.0} and "unique_id" not in one
+    assert json.loads(jobs.classify_one(spark, {"title": "t", "content": "bom", "unique_id": "u"}, outline="01 - A", make=make))["unique_id"] == "u"
+    for news, form in (({"title": "t"}, "dict"), ({"title": "t", "content": "c"}, "xml")):
+        with pytest.raises(ValueError):
+            jobs.classify_one(spark, news, outline="", make=make, return_format=form)
+
+
 def test_providers_wait_and_stream(spark):
     waited = []
     assert models.THROTTLED.after(3, 0.5) == 8.25 and models.FAILED.after(2, 0.9) == 0.8
