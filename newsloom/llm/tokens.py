@@ -83,7 +83,7 @@ class Encoder:
     lower-cases) and those of its marks; new letter words are encoded as one text and told apart by the model's end-of-word tokens.
     """
 
-    def __init__(self, definition: str, most: int = 250_000):
+    def __init__(self, definition: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,14 +130,17 @@ class Encoder:
         cut = pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()
         ended = np.flatnonzero(plain & (cut > 0))
         tails = [w[-k:] for w, k in zip(words.take(pa.array(ended)).to_pylist(), cut[ended].tolist(), strict=True)]
-        new = [n for n, is_word in zip(names, letters.tolist(), strict=True) if is_word and n not in known]
-        if new:
+        places = list(map(known.get, names))
+        missing = [k for k, place in enumerate(places) if place is None]
+        if new := [names[k] for k in missing if letters[k]]:
             self.parts.add(new, *self._letters(new))
-        others = list({"", *tails, *(n for n, is_word in zip(names, letters.tolist(), strict=True) if not is_word)}.difference(known))
+        others = list({"", *tails, *(names[k] for k in missing if not letters[k])}.difference(known))
         if others:
             self.parts.add(others, *self._whole(others))
+        for k in missing:
+            places[k] = known[names[k]]
         at = np.full(2 * len(words), known[""], np.int64)
-        at[::2] = self.parts.at(names)[index]
+        at[::2] = np.array(places, np.int64)[index]
         at[1::2][ended] = self.parts.at(tails)
         return at
 
@@ -161,7 +164,7 @@ class Encoder:
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def parts_of(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text each, and a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
@@ -198,9 +201,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, i
         for batch in batches:
             for part in parts_of(batch, 1):
                 ids = [np.r_[x, np.uint32(end_id)].astype(width) for x in encoder.encode(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    names=["id", "n_tokens", "ids"],
+                )
+
+    return docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
+    ).mapInArrow(trimmed(run), "id long, n_tokens long, ids binary")
 
 
 def id_width(definition: str) -> str:
