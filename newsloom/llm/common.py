@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from newsloom.sources.scratch import discard, materialise, scratch_path
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "discard", "map_arrow", "materialise", "read_table", "scratch_path", "trimmed", "without", "worker_held"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "discard", "map_arrow", "materialise", "read_table", "scratch_path", "trimmed", "without", "worker_free", "worker_held"]
 
 ASCII_SPACE = " \t\n\u000b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +48,11 @@ def worker_held(name: str, make):
     return held[name]
 
 
+def worker_free() -> None:
+    """Drop what worker_held() keeps in this process: for steps that come after those that need it."""
+    sys.modules.pop("_worker_held", None)
+
+
 def trimmed(run):
     """run for mapInArrow, after which the worker hands free memory back: workers wait for their next task beside others that work."""
 

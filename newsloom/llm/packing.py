@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, trimmed
+from .common import materialise, trimmed, worker_free
 from .tokens import crc32, parts_of, shared_definition, worker_encoder
 
 
@@ -202,6 +202,7 @@ def pack(
     ranked = ranked.select(*columns, (F.col("before") + F.col("local")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         table = shared.value
         for batch in batches:
             size, rank = batch.column(3).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, trimmed
+from .common import materialise, scratch_path, trimmed, worker_free
 from .tokens import crc32, encode_documents, id_width, tokenizer_json
 
 #: Symbols between two bit offsets of a block.
@@ -122,6 +122,7 @@ def write_token_files(
     plain = materialise(encode_documents(docs, tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
