@@ -338,15 +338,17 @@ def ivf_index(items: DataFrame, *, lists: int = 100, sample: int = 20_000, seed:
     """Cells of an inverted-file index: items (id, v) with the cell of the nearest of `lists` centres and their angle to it.
 
     Centres come from k-means over at most `sample` items in hash order, all vectors at unit length;
-    every item is indexed. A zero vector has the angle pi.
+    every item is indexed. A zero vector and one that is not finite have the angle pi. Cells are written once and read by each step of a search.
     """
     from newsloom.operators.corpus import draw
+    from newsloom.sources.scratch import materialise
 
     rows = _unit([r.v for r in items.orderBy(draw(F.col("id"), seed), "id").limit(sample).select("v").collect()])
+    rows = rows[np.isfinite(rows).all(axis=-1)]
     rng = np.random.default_rng(seed)
     centres = rows[rng.permutation(len(rows))[: min(lists, len(rows))]].copy()
     for _ in range(10):
-        near = ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) if len(rows) * len(centres) < 5_000_000 else _nearest_centre(rows, centres)
+        near = _nearest_centre(rows, centres)
         for c in range(len(centres)):
             if (near == c).any():
                 centres[c] = rows[near == c].mean(axis=0)
@@ -356,10 +358,10 @@ def ivf_index(items: DataFrame, *, lists: int = 100, sample: int = 20_000, seed:
             if len(b):
                 x = _unit(b["v"].tolist())
                 cell = _nearest_centre(x, centres)
-                angle = np.where(x.any(axis=1), _angles(x, centres)[np.arange(len(x)), cell], np.pi)
+                angle = np.where(x.any(axis=1) & np.isfinite(x).all(axis=1), _angles(x, centres)[np.arange(len(x)), cell], np.pi)
                 yield b.assign(cell=cell, angle=angle)
 
-    return items.select("id", "v").mapInPandas(run, "id long, v array<float>, cell long, angle double"), centres
+    return materialise(items.select("id", "v").mapInPandas(run, "id long, v array<float>, cell long, angle double"), "ivf-cells"), centres
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -376,17 +378,25 @@ def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1)[None] - 2 * x @ centres.T).argmin(axis=1)
 
 
-def ivf_search(queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: int = 10, probes: int = 10) -> DataFrame:
-    """Exact top k: an equi-join on the probed cells, then on every other cell that can hold a better item.
+def ivf_search(
+    queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: int = 10, probes: int = 10, item_block: int = 16_384, query_block: int = 16_384,
+) -> DataFrame:
+    """Exact top k: the probed cells of each query, then every other cell that can hold a better item.
 
     The `probes` nearest cells are searched first. By the triangle inequality of angles no item of a
     cell is nearer to a query than its centre's angle less the cell's widest one, so cells beyond the
-    k-th angle found are left out without loss; the driver sees one widest angle a cell.
+    k-th angle found are left out without loss; the driver sees one widest angle and one count a cell.
+    Cells and the queries that probe them are dealt by hash into blocks whose number follows from
+    their counts; a pair of blocks is one matrix product that gives k rows a query. The product only
+    picks what can be among the k; those are scored again as cosine() does, which decides.
     """
+    from newsloom.sources.scratch import materialise
+
     cells, centres = index
-    widest = np.full(len(centres), -1.0)  # no items
-    for r in cells.groupBy("cell").agg(F.max("angle").alias("a")).collect():
-        widest[r.cell] = r.a
+    widest, columns = np.full(len(centres), -1.0), [1] * len(centres)  # no items
+    for r in cells.groupBy("cell").agg(F.max("angle").alias("a"), F.count(F.lit(1)).alias("n")).collect():
+        widest[r.cell], columns[r.cell] = r.a, -(-r.n // item_block)
+    rows = max(1, -(-queries.count() // query_block))
 
     def probe(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,16 +419,74 @@ def ivf_search(queries: DataFrame, index: tuple[DataFrame, np.ndarray], *, k: in
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.select("query_id", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
+    n_columns = F.element_at(F.array(*[F.lit(n) for n in columns]), (F.col("cell") + 1).cast("int")) if columns else F.lit(1)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_columns).cast("int").alias("x")).withColumn("y", upto(F.lit(rows)))
+    block = _best_of_block(k)
+
     def search(asked: DataFrame, first: bool) -> DataFrame:
         probed = asked.mapInPandas(probe(first), "query_id long, q array<float>, cells array<long>").select("query_id", "q", F.explode("cells").alias("cell"))
-        return best(cells.join(probed, "cell").withColumn("score", v.cosine(F.col("v"), F.col("q"))))
+        stated = probed.select("query_id", "q", "cell", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("y")).withColumn("x", upto(n_columns))
+        keys = ["cell", "x", "y"]
+        return best(dealt.groupBy(*keys).cogroup(stated.groupBy(*keys)).applyInArrow(block, "query_id long, id long, score double"))
 
-    near = search(queries.select("query_id", "q"), True)
+    near = materialise(search(queries.select("query_id", "q"), True), "ivf-near")
     kth = near.groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("kth"))
     rest = search(queries.select("query_id", "q").join(kth, "query_id", "left"), False)
     return best(near.drop("rank").unionByName(rest.drop("rank")))
 
 
+def _best_of_block(k: int):
+    """A function of a block of items (id, v) and one of queries (query_id, q): the k best items of each query, nulls last, NaN first, ties to the smaller id."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
+
+    def squares(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for p in range(x.shape[1]):  # in the order of cosine(), so that equal vectors get equal scores
+            out += x[:, p] * x[:, p]
+        return np.sqrt(out)
+
+    def kth(rough: np.ndarray) -> np.ndarray:
+        """For each row a number that at least k of its entries reach: the k-th largest of the maxima of groups of 64, or of all if those are few."""
+        if (whole := rough.shape[1] // 64) >= k:
+            rough = rough[:, : whole * 64].reshape(len(rough), whole, 64).max(axis=2)
+        n = rough.shape[1]
+        return np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -3, np.float32)
+
+    def best(own: pa.Table, stated: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if own.num_rows and stated.num_rows:
+            ids, names, x, q = own.column("id").to_numpy(), stated.column("query_id").to_numpy(), matrix(own.column("v")), matrix(stated.column("q"))
+            with np.errstate(all="ignore"):
+                norms, q_norms = squares(x), squares(q)
+                unit = lambda m, n: np.where(n[:, None] == 0, 0.0, m / n[:, None]).astype(np.float32)
+                units, q_units, zero = unit(x, norms), unit(q, q_norms), np.flatnonzero(norms == 0)
+                slack = np.float32((x.shape[1] + 8) * 2.0**-23)  # twice what a product in single precision can be off
+                for at in range(0, len(q), 64):
+                    some, own_norms = q[at : at + 64], q_norms[at : at + 64]
+                    rough = q_units[at : at + 64] @ units.T
+                    np.nan_to_num(rough, copy=False, nan=2.0)
+                    rough[:, zero] = -2
+                    i, j = np.nonzero(rough >= (kth(rough) - slack)[:, None])
+                    dot = np.zeros(len(i))
+                    for p in range(x.shape[1]):
+                        dot += some[i, p] * x[j, p]
+                    below = own_norms[i] * norms[j]
+                    score = dot / below
+                    none = below == 0
+                    order = np.lexsort((ids[j], np.where(none, np.inf, np.where(np.isnan(score), -np.inf, -score)), i))
+                    i, j, score, none = i[order], j[order], score[order], none[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    out.append((names[at + i[keep]], ids[j[keep]], score[keep], none[keep]))
+        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)]
+        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64(), mask=parts[3])})
+
+    return best
+
+
 def compare_modes(vector_ranking: DataFrame, text_ranking: DataFrame, config: RetrieverConfig = RetrieverConfig()) -> DataFrame:
     """Vector only, full text only and hybrid, side by side: mode, id, rank."""
     one = lambda d, mode: d.filter(F.col("rank") <= config.final_k).select(F.lit(mode).alias("mode"), "id", "rank")
