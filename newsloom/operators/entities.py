@@ -83,19 +83,17 @@ def registry_upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
 def alias_add(existing: DataFrame, new: DataFrame) -> DataFrame:
     """One owner for each (alias_norm, type): an id of the public base beats a minted one, then what was there, then the smaller id.
 
-    Returns the owner, whether it changed hands, and how many others contend for the alias.
+    Returns the owner, whether it changed hands, and how many others contend for the alias. Owners are
+    minima and counts of distinct rows, which combine before the shuffle, so an alias of any number of
+    ids is one row of a task.
     """
     rows = existing.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-    best = Window.partitionBy("alias_norm", "type").orderBy(F.when(t.is_qid("entity_id") , 0).otherwise(1), F.desc("old"), "entity_id")
-    every = Window.partitionBy("alias_norm", "type")
-    ranked = rows.withColumns({
-        "r": F.row_number().over(best), "n": F.size(F.collect_set("entity_id").over(every)),
-        "was": F.max(F.when(F.col("old"), F.col("entity_id"))).over(every),
-    })
-    return ranked.filter("r = 1").select(
-        "alias_norm", "type", "entity_id", F.coalesce(F.col("was") != F.col("entity_id"), F.lit(False)).alias("promoted"),
-        (F.col("n") - 1).cast("long").alias("contenders"),
+    each = rows.groupBy("alias_norm", "type", "entity_id").agg(F.max("old").alias("old"))
+    rank = F.struct((~F.coalesce(t.is_qid("entity_id"), F.lit(False))).alias("minted"), (~F.col("old")).alias("new"), "entity_id")
+    owners = each.groupBy("alias_norm", "type").agg(
+        F.min(rank)["entity_id"].alias("entity_id"), F.max(F.when(F.col("old"), F.col("entity_id"))).alias("was"), F.count("entity_id").alias("n"),
     )
+    return owners.select("alias_norm", "type", "entity_id", F.coalesce(F.col("was") != F.col("entity_id"), F.lit(False)).alias("promoted"), (F.col("n") - 1).alias("contenders"))
 
 
 def promotions(existing: DataFrame, owners: DataFrame) -> DataFrame:
