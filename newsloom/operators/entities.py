@@ -14,6 +14,10 @@ AUTOLINK, REVIEW, OTHER = 0.85, 0.70, 0.70
 REUSE = {"ORG": 0.85, "LAW": 0.75, "POLICY": 0.70, "PROGRAM": 0.70, "EVENT": 0.80}
 
 
+#: Ids in a block of members of a class.
+BLOCK = 1024
+
+
 def threshold(kind: Column) -> Column:
     table = F.create_map(*[F.lit(v) for pair in REUSE.items() for v in pair])
     return F.coalesce(F.element_at(table, kind), F.lit(OTHER))
@@ -103,42 +107,78 @@ def promotions(existing: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.select(F.col("entity_id").alias("source"), "target").distinct()
 
 
-def duplicate_candidates(registry: DataFrame, *, limit: float | None = None) -> DataFrame:
-    """Pairs (id_a < id_b) of one type that are near duplicates, with their Jaccard similarity.
+def duplicate_classes(registry: DataFrame, *, limit: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates of a registry (entity_id, canonical_name, type) as pairs of classes, and who belongs to them.
+
+    Returns pairs (type, class_a <= class_b, similarity, by_acronym) and members (class, block,
+    ids): a class is all that names are compared by (type, tokens, years, name without parentheses,
+    letters inside them), so a pair holds for every member of the one and of the other, and a class
+    that pairs with itself for its own members. Copies cost a row of members, not pairs.
 
-    registry: entity_id, canonical_name, type. Names of different years never pair. Pairs meet on a
-    shared token of the prefix that a pair of the type's threshold must share (tokens in rising
-    order of frequency), so frequent tokens join nothing; acronym variants meet on the name without
-    parentheses. No pair of all names is formed, and what a name is compared by is computed once for
-    each entity.
+    Names of different years never pair. Classes meet on a shared token of the prefix that a pair of
+    the type's threshold must share (tokens in rising order of frequency), so frequent tokens join
+    nothing; acronym variants meet on the name without parentheses. Members come in blocks of about
+    BLOCK ids. An id is the key of a name: repeated rows count once, an id of several names is in the class of each.
     """
     least = F.lit(limit) if limit is not None else threshold(F.col("type"))
     names = registry.select(
-        "entity_id", "type", t.name_tokens("canonical_name").alias("tokens"), t.strip_parens("canonical_name").alias("base"),
-        t.paren_contents("canonical_name").alias("inside"), t.year_tokens("canonical_name").alias("years"), least.alias("least"),
+        "entity_id", "type", F.array_sort(t.name_tokens("canonical_name")).alias("tokens"), t.strip_parens("canonical_name").alias("base"),
+        t.paren_contents("canonical_name").alias("inside"), t.year_tokens("canonical_name").alias("years"),
     )
-    names = materialise(names, "entity-names")
-    each = names.select("entity_id", "type", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = each.groupBy("type", "token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("entity_id").orderBy("df", "token")
+    key = ["type", "tokens", "base", "inside", "years"]
+    names = materialise(names.withColumn("class", F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)), "entity-names")
+    sizes = names.groupBy("class").agg(*[F.first(c).alias(c) for c in key], F.count(F.lit(1)).alias("members"))
+    classes = materialise(sizes.withColumn("least", least), "entity-classes")
+    blocks = names.select("class", "entity_id").join(classes.select("class", F.ceil(F.col("members") / BLOCK).alias("n")), "class")
+    blocks = blocks.groupBy("class", F.pmod(F.xxhash64("entity_id"), F.col("n")).alias("block")).agg(F.sort_array(F.collect_set("entity_id")).alias("ids"))
+    each = classes.select("class", "type", "least", "members", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = each.groupBy("type", "token").agg(F.sum("members").alias("df"))
+    order = Window.partitionBy("class").orderBy("df", "token")
     prefix = each.join(often, ["type", "token"]).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("least") * F.col("n")) + 1)
-    prefix = materialise(prefix.select("type", "token", "entity_id", "n", "least"), "entity-prefixes")
-    side = lambda s: [F.col("type"), F.col("token"), F.col("entity_id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")]
+    prefix = materialise(prefix.select("type", "token", "class", "n", "least"), "entity-prefixes")
+    side = lambda s: [F.col("type"), F.col("token"), F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}")]
     pairs = prefix.select(*side("a"), "least").join(prefix.select(*side("b")), ["type", "token"])
-    pairs = pairs.filter((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.col("least") * F.greatest("n_a", "n_b"))).select("id_a", "id_b").distinct()
-    own = lambda s, *more: names.select(
-        F.col("entity_id").alias(f"id_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("years").alias(f"years_{s}"), *more,
+    pairs = pairs.filter((F.col("class_a") <= F.col("class_b")) & (F.least("n_a", "n_b") >= F.col("least") * F.greatest("n_a", "n_b"))).select("class_a", "class_b").distinct()
+    own = lambda s, *more: classes.select(
+        F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("years").alias(f"years_{s}"), F.col("members").alias(f"members_{s}"), *more,
     )
     alike = t.jaccard(F.col("tokens_a"), F.col("tokens_b"))
-    near = pairs.join(own("a", F.col("type"), F.col("least")), "id_a").join(own("b"), "id_b").filter("years_a = years_b").withColumn("similarity", alike)
-    near = near.filter(F.col("similarity") >= F.col("least")).select("type", "id_a", "id_b", "similarity", F.lit(False).alias("by_acronym"))
+    other = "(class_a < class_b or members_a > 1)"  # an only member has none to pair with
+    near = pairs.join(own("a", F.col("type"), F.col("least")), "class_a").join(own("b"), "class_b").filter(f"years_a = years_b and {other}").withColumn("similarity", alike)
+    near = near.filter(F.col("similarity") >= F.col("least")).select("type", "class_a", "class_b", "similarity", F.lit(False).alias("by_acronym"))
     full = lambda s: own(s, F.col("type"), F.col("base"), F.col("inside").alias(f"inside_{s}")).filter("base <> ''")
     groups, letters = F.concat("inside_a", "inside_b"), F.regexp_replace("base", "[^a-z]", "")
-    short = full("a").join(full("b"), ["type", "base"]).filter("id_a < id_b and years_a = years_b and size(inside_a) + size(inside_b) > 0")
+    short = full("a").join(full("b"), ["type", "base"]).filter(f"class_a <= class_b and {other} and years_a = years_b and size(inside_a) + size(inside_b) > 0")
     short = short.filter(F.forall(groups, lambda p: t.is_subsequence(p, letters))).select(
-        "type", "id_a", "id_b", alike.alias("similarity"), F.lit(True).alias("by_acronym"),
+        "type", "class_a", "class_b", alike.alias("similarity"), F.lit(True).alias("by_acronym"),
     )
-    return near.unionByName(short).groupBy("type", "id_a", "id_b").agg(F.max("similarity").alias("similarity"), F.max("by_acronym").alias("by_acronym"))
+    found = near.unionByName(short).groupBy("type", "class_a", "class_b").agg(F.max("similarity").alias("similarity"), F.max("by_acronym").alias("by_acronym"))
+    return found, blocks
+
+
+def class_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Every pair (id_a < id_b) of members of the classes that pair, with the other columns of pairs.
+
+    Blocks of members meet, are dealt anew and unfold in the task that writes them, so no pair of
+    entities is shuffled, sorted or stored but as a result.
+    """
+    side = lambda s: members.select(F.col("class").alias(f"class_{s}"), F.col("block").alias(f"block_{s}"), F.col("ids").alias(f"ids_{s}"))
+    met = pairs.join(side("a"), "class_a").join(side("b"), "class_b").filter("class_a < class_b or block_a <= block_b")
+    more = [c for c in pairs.columns if c not in ("type", "class_a", "class_b")]
+    apart = F.expr("class_a < class_b or block_a < block_b").alias("apart")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is stated is not made less for small input
+    spread = met.select("type", *more, apart, "ids_a", "ids_b", F.xxhash64("class_a", "block_a", "class_b", "block_b").alias("at")).repartition(tasks, "at")
+    rows = spread.withColumn("x", F.explode("ids_a")).drop("ids_a", "at").withColumn("y", F.explode("ids_b")).filter("x < y or apart and x <> y")
+    return rows.select("type", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), *more)
+
+
+def duplicate_candidates(registry: DataFrame, *, limit: float | None = None) -> DataFrame:
+    """Pairs (id_a < id_b) of one type that are near duplicates, with their Jaccard similarity and whether one abbreviates the other.
+
+    registry: entity_id, canonical_name, type. Names are compared as classes (see duplicate_classes)
+    and the pairs of classes unfold last: copies of a name are all paired, whatever their number.
+    """
+    return class_members(*duplicate_classes(registry, limit=limit))
 
 
 def alias_counts(aliases: DataFrame) -> DataFrame:

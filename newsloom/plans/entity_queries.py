@@ -120,8 +120,9 @@ def jaccard_pairs(spark, sf_dir):
     """Near-duplicate names of parts by type, through prefix-filtered tokens."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     reg = part.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_name").alias("canonical_name"), F.when(F.col("p_size") % 2 == 0, "LAW").otherwise("ORG").alias("type"))
-    found = entities.duplicate_candidates(reg).filter(~F.col("by_acronym"))
-    return found.select("type", "id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+    found, members = entities.duplicate_classes(reg)
+    found = found.filter(~F.col("by_acronym")).select("type", "class_a", "class_b", F.round("similarity", 9).alias("similarity"))
+    return entities.class_members(found, members)
 
 
 _REG = (
